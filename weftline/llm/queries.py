@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.canonical import map_values
 from weftline.llm.leakage import leaks
 from weftline.llm.packing import fill, pack
 from weftline.llm.percentiles import group_percentiles
@@ -40,6 +41,26 @@ def p3_targets(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("dst_addr", "n", cut(0).alias("p05"), cut(1).alias("p50"), cut(2).alias("p90"), cut(3).alias("p99"))
 
 
+def _city_map(spark: SparkSession, folder: str) -> DataFrame:
+    airports = _table(spark, folder, "airports")
+    rows = airports.select("municipality", F.col("iata_code").alias("code"))
+    other = airports.select("municipality", F.explode(F.split("keywords", ",")).alias("alias")).select("municipality", F.trim("alias").alias("alias"))
+    # country codes are a bounded set: two letters each
+    countries = frozenset(r[0].lower() for r in airports.select("iso_country").where(F.length("iso_country") == 2).distinct().collect())
+    return map_values(_table(spark, folder, "regions"), "city", rows.select("municipality"), "municipality", rows, "code", other, "alias", countries)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    regions = _table(spark, folder, "regions").select(F.col("id").alias("region_id"), F.col("city").alias("value")).where(F.col("value").rlike(r"\S"))
+    return regions.join(_city_map(spark, folder), "value").select("region_id", F.col("entry").alias("municipality")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed values that fit no municipality, with the number of regions."""
+    regions = _table(spark, folder, "regions").select(F.col("city").alias("value"))
+    return regions.join(_city_map(spark, folder).where(F.col("entry") == ""), "value").groupBy("value").agg(F.count("*").alias("regions"))
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -70,7 +91,7 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p8_found, p8_containers, p8_fill, p9_found, p9_items)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p4_found, p4_unmatched, p8_found, p8_containers, p8_fill, p9_found, p9_items)}
 
 _TS = "CASE WHEN abs(timestamp) >= 100000000000000000 THEN timestamp // 1000000000 WHEN abs(timestamp) >= 100000000000000 THEN timestamp // 1000000 WHEN abs(timestamp) >= 100000000000 THEN timestamp // 1000 ELSE timestamp END"
 _RTTS = f"""one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msm_id, prb_id, {_TS} ORDER BY rec_id) AS k FROM pings WHERE prb_id IS NOT NULL AND dst_addr IS NOT NULL) WHERE k = 1),
