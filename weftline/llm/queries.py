@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.canonical import map_values
+from weftline.llm.language import languages
 from weftline.llm.leakage import leaks
 from weftline.llm.packing import fill, pack
 from weftline.llm.percentiles import group_percentiles
@@ -91,7 +92,24 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p4_found, p4_unmatched, p8_found, p8_containers, p8_fill, p9_found, p9_items)}
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").where(F.length("text") >= 40)
+    return languages(docs, "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    wrong = F.col("label").isNull() | (F.lower(F.trim("label")) != F.col("lang"))
+    found = _languages(spark, folder).where(F.col("lang").isNotNull() & ((F.col("role") == "segment") | wrong))
+    return found.select("doc_id", "lang", F.when(F.col("role") == "own", F.lit("label")).otherwise(F.col("role")).alias("role")).distinct()
+
+
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """How the languages found agree with the labels given."""
+    own = _languages(spark, folder).where(F.col("role") == "own")
+    return own.groupBy(F.lower(F.trim("label")).alias("label"), "lang").agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p4_found, p4_unmatched, p8_found, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_labels)}
 
 _TS = "CASE WHEN abs(timestamp) >= 100000000000000000 THEN timestamp // 1000000000 WHEN abs(timestamp) >= 100000000000000 THEN timestamp // 1000000 WHEN abs(timestamp) >= 100000000000 THEN timestamp // 1000 ELSE timestamp END"
 _RTTS = f"""one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msm_id, prb_id, {_TS} ORDER BY rec_id) AS k FROM pings WHERE prb_id IS NOT NULL AND dst_addr IS NOT NULL) WHERE k = 1),
