@@ -35,7 +35,7 @@ def p1_hops(spark: SparkSession, folder: str) -> DataFrame:
 
 def _locations(spark: SparkSession, folder: str) -> DataFrame:
     at = F.col("geometry.coordinates")
-    probes = table(spark, folder, "probes").where(F.size(at) >= 2).select(F.lit("probe").alias("kind"), "id", at[1].alias("lat"), at[0].alias("lon"))
+    probes = table(spark, folder, "probes").where(F.size(at) >= 2).select(F.lit("probe").alias("kind"), "id", F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lon"))
     regions = table(spark, folder, "regions").select(F.lit("region").alias("kind"), "id", "lat", "lon")
     return probes.unionByName(regions).where(~((F.col("lat") == 0) & (F.col("lon") == 0)))
 
