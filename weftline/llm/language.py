@@ -120,19 +120,20 @@ def _blocks(data, start, stop, text, neutral, opens, html, quotes) -> None:
 
 
 def features(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """(feature of each byte and order, line) in order of lines: int32 (n, orders) and the first row of each line."""
+    """(features, first): int32 (orders, n), a feature of each byte and order, and the first byte of each line."""
     d = _DIGITS[lines.data]
     # every line begins with the newline before it
     pad = np.r_[np.uint8(NEWLINE), d, np.zeros(8, np.uint8)].astype(np.uint64)
     n = len(d)
     w = pad[:n].copy()
-    out = np.empty((n, len(ORDERS)), np.int32)
+    out = np.empty((len(ORDERS), n), np.int32)
     col = 0
     for k in range(1, max(ORDERS)):
         w |= pad[k : n + k] << np.uint64(8 * k)
         if k + 1 in ORDERS:
             h = (w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)
-            out[:, col] = h.astype(np.int32) + col * BUCKETS
+            out[col] = h
+            out[col] += col * BUCKETS
             col += 1
     return out, lines.start
 
@@ -146,9 +147,9 @@ class Model:
     def line_scores(self, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
         """Mean score of each line for each language, and its number of features."""
         f, start = features(lines)
-        s = self.table[f[:, 0]]
+        s = np.take(self.table, f[0], axis=0, mode="clip")
         for k in range(1, len(ORDERS)):
-            s += self.table[f[:, k]]
+            s += np.take(self.table, f[k], axis=0, mode="clip")
         total = np.add.reduceat(s, start, axis=0)
         n = (lines.end - lines.start + 1).astype(np.float32)
         return total / (n * len(ORDERS))[:, None], n
@@ -164,25 +165,26 @@ class Model:
         return logp
 
 
-def _windows(texts: list[str], label: np.ndarray, rng: np.random.Generator, keep_neutral: bool = False):
-    """Windows of 1 to 12 lines: feature rows (ragged), labels, and the text of each."""
-    raw = "".join(t + "\n" for t in texts).encode("utf-8", "replace")
-    ends = np.cumsum([len(t.encode("utf-8", "replace")) + 1 for t in texts])
-    lines = lines_of(np.frombuffer(raw, np.uint8), ends)
-    f, _ = features(lines)
-    use = np.flatnonzero(~lines.blank & ~lines.neutral)
-    length = lines.end - lines.start + 1
-    feats, labels, owner = [], [], []
-    at = 0
-    while at < len(use):
-        k = int(rng.choice((1, 2, 3, 5, 8, 12)))
-        rows = use[at : at + k]
-        rows = rows[lines.text[rows] == lines.text[rows[0]]]
-        at += len(rows)
-        take = np.concatenate([f[lines.start[r] : lines.start[r] + length[r]].ravel() for r in rows])
-        feats.append(take)
-        labels.append(label[lines.text[rows[0]]])
-        owner.append(lines.text[rows[0]])
+def _windows(texts: list[str], label: np.ndarray, rng: np.random.Generator):
+    """Windows of 1 to 12 lines: feature rows (ragged), labels, and the text of each. Texts are read about a CHUNK at a time."""
+    feats, labels, owner, at = [], [], [], 0
+    while at < len(texts):
+        raw, to = [], at
+        while to < len(texts) and (to == at or sum(map(len, raw)) < CHUNK):
+            raw.append((texts[to] + "\n").encode("utf-8", "replace"))
+            to += 1
+        lines = lines_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
+        f, _ = features(lines)
+        use = np.flatnonzero(~lines.blank & ~lines.neutral)
+        i = 0
+        while i < len(use):
+            rows = use[i : i + int(rng.choice((1, 2, 3, 5, 8, 12)))]
+            rows = rows[lines.text[rows] == lines.text[rows[0]]]
+            i += len(rows)
+            feats.append(np.concatenate([f[:, lines.start[r] : lines.end[r] + 1].ravel() for r in rows]))
+            owner.append(at + lines.text[rows[0]])
+            labels.append(label[owner[-1]])
+        at = to
     return feats, np.array(labels), np.array(owner)
 
 
@@ -222,15 +224,6 @@ def _sgd(feats: list[np.ndarray], labels: np.ndarray, k: int, epochs: int, rng:
     return emb @ w, bias
 
 
-def _text_scores(feats, owner, table, bias, n_texts: int) -> np.ndarray:
-    """Mean score of all windows' features of each text."""
-    total, n = np.zeros((n_texts, len(bias))), np.zeros(n_texts)
-    for f, o in zip(feats, owner, strict=True):
-        total[o] += table[f].sum(0)
-        n[o] += len(f)
-    return total / np.maximum(n, 1)[:, None] + bias
-
-
 def train(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 4) -> Model:
     """Fits the model: a fifth of the rows is held out for temperature and rejection."""
     names = sorted(set(labels))
