@@ -131,12 +131,12 @@ def fn_cidr_any(s, d):
     return p.where("p.version IS NOT NULL").select("c0", "p.version", "p.plen", "p.text")
 
 
-@query(f"{_C4}, w AS (SELECT DISTINCT lo, plen, lo + size - 1 AS hi FROM r WHERE plen <= 24) SELECT w.lo, w.plen, count(*) AS inside FROM w JOIN (SELECT DISTINCT lo, plen FROM r) x ON x.lo BETWEEN w.lo AND w.hi AND x.plen >= w.plen GROUP BY ALL")
+@query(f"{_C4}, w AS (SELECT DISTINCT lo, plen, lo + size - 1 AS hi FROM r WHERE plen <= 27) SELECT w.lo, w.plen, count(*) AS inside FROM w JOIN (SELECT DISTINCT lo, plen FROM r) x ON x.lo BETWEEN w.lo AND w.hi AND x.plen >= w.plen GROUP BY ALL")
 def fn_contains(s, d):
     from weftline.operators.intervals import overlap_join
 
     p = _pop_prefixes(s, d).select("lo", "hi", "plen").distinct()
-    wide = p.where("plen <= 24")
+    wide = p.where("plen <= 27")
     j = overlap_join(wide, p, ("lo", "hi"), ("lo", "hi")).where("b_lo >= lo AND b_hi <= hi AND b_plen >= plen")
     return j.groupBy("lo", "plen").agg(F.count("*").alias("inside"))
 
