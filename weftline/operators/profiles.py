@@ -67,9 +67,9 @@ def fan_out(points: DataFrame, key: str, weight: str, spacing_m: float = 900.0)
     """(key, lat, lon): points of one place spread on a sunflower spiral, the heaviest stays. Places are told apart by 0.02 degrees."""
     cell = F.struct(F.bround(F.col("lat") * 50).cast("long").alias("y"), F.bround(F.col("lon") * 50).cast("long").alias("x"))
     k = F.row_number().over(Window.partitionBy(cell).orderBy(F.desc(weight), key)) - 1
-    p = points.withColumn("k", k)
-    r = spacing_m * F.sqrt(F.col("k").cast("double"))
-    turn = F.col("k") * 2.399963229728653
+    p = points.withColumn("__k", k)
+    r = spacing_m * F.sqrt(F.col("__k").cast("double"))
+    turn = F.col("__k") * 2.399963229728653
     lat = F.col("lat") + r * F.sin(turn) / 111320.0
     lon = F.col("lon") + r * F.cos(turn) / (111320.0 * F.cos(F.radians(F.greatest(F.lit(-80.0), F.least(F.lit(80.0), F.col("lat"))))))
     return p.select(key, F.least(F.lit(84.95112878), F.greatest(F.lit(-84.95112878), lat)).alias("lat"), lon.alias("lon"))
