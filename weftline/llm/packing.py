@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import staged
+
 CAPACITY = 4096
 WINDOW = 16_384
 BITS = 10
@@ -136,8 +138,11 @@ def curve_keys(df: DataFrame, key: str, text: str, size: str | None = None) -> D
 
 
 def pack(df: DataFrame, key: str, text: str, size: str | None = None, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
-    """(key, piece, container, offset, tokens): where each text, or each piece of one larger than a container, lies."""
-    keyed = curve_keys(df, key, text, size).repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
+    """(key, piece, container, offset, tokens): where each text, or each piece of one larger than a container, lies.
+
+    The keys are written down first: the range partitioning looks at its input twice, and the texts should be read once.
+    """
+    keyed = staged(curve_keys(df, key, text, size), "curve").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
     schema = T.StructType([T.StructField(key, keyed.schema["key"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
