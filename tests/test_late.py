@@ -51,3 +51,21 @@ def test_edges(spark):
     assert [tuple(r) for r in agg] == [(0, 1, 1, 1, 5, 5, 5)]
     df = spark.createDataFrame([(1_700_000_000,), (1_700_000_000_123,), (1_700_000_000_123_456,), (1_700_000_000_123_456_789,), (None,)], "t long")
     assert [r.s for r in df.select(seconds("t").alias("s")).collect()] == [1_700_000_000] * 4 + [None]
+
+
+def test_stream_keeps_correcting(spark, tmp_path):
+    from weftline.streaming import late
+
+    schema = "event_s long, arrival_s long, p long, v int, start string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out, marks = f"file://{tmp_path}/out", f"file://{tmp_path}/progress"
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    (tmp_path / "in").mkdir()
+    late.follow(stream(), "p", "v", out, marks)
+    assert late.merged(spark, out).count() == 0
+    put([(10, 20, 1, 5, "x"), (3700, 3710, 1, 1, "x"), (None, 5, 1, 1, "x")])
+    late.follow(stream(), "p", "v", out, marks)
+    put([(11, 3600 + 700, 2, 7, "x"), (12, 99_999, 2, 9, "x"), (13, None, 2, 9, None)])
+    late.follow(stream(), "p", "v", out, marks)
+    got = {r.start: (r.n_on_time, r.n_late, r.n_cut, r.total, r.close) for r in late.merged(spark, out).collect()}
+    assert got[0] == (1, 1, 1, 12.0, 4200) and got[3600][:2] == (1, 0)

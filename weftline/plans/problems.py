@@ -77,12 +77,22 @@ def p6_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return corrected_aggregates(_measurements(spark, folder, "pings", ["rcvd"]), "rcvd")
 
 
+def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly aggregates of traceroutes kept by a stream over the records as they were stored, every copy counted; late ones correct them."""
+    from weftline.operators.late import seconds
+    from weftline.streaming import late
+    from weftline.streaming.feed import table_stream
+
+    t = table_stream(spark, folder, "traceroutes").select(seconds("timestamp").alias("event_s"), seconds("stored_timestamp").alias("arrival_s"), "prb_id", "paris_id")
+    return late.run(t, "prb_id", "paris_id").select("start", "n_on_time", "n_late", "n_cut", F.col("total").cast("long").alias("total"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     ris = table(spark, folder, "ris_frames")
     return surplus(ris, "delivery_id", "batch_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p2_found, p2_nearest, p5_found, p6_found, p6_hourly, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p2_found, p2_nearest, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
 
 _POSITIONS = """
 locs AS (
@@ -107,5 +117,6 @@ SQL = {
     "p2_nearest": f"WITH {_POSITIONS} SELECT kind, loc_id, airport_id, floor(km * 1000 + 0.5) / 1000 AS km FROM (SELECT *, row_number() OVER (PARTITION BY kind, loc_id ORDER BY km, airport_id) AS k FROM dist WHERE km <= 400.0) WHERE k = 1",
     "p6_found": "WITH f AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stream, rec_id, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind FROM ({_first_sql(s)})" for s in ("pings", "traceroutes")) + ") SELECT stream, rec_id, CASE WHEN behind <= 21600 THEN 'late' ELSE 'cut' END AS fate FROM f WHERE behind > 600",
     "p6_hourly": f"WITH f AS (SELECT rcvd, floor(e / 3600)::BIGINT * 3600 AS start, a FROM ({_first_sql('pings', ', rcvd')})), b AS (SELECT start, a - (start + 3600) AS behind, rcvd FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(rcvd) FILTER (behind <= 21600))::BIGINT AS total, min(rcvd) FILTER (behind <= 21600) AS least, max(rcvd) FILTER (behind <= 21600) AS most FROM b GROUP BY start",
+    "p6_stream": f"WITH f AS (SELECT {_SECONDS.format('timestamp')} AS e, {_SECONDS.format('stored_timestamp')} AS a, paris_id FROM traceroutes WHERE timestamp IS NOT NULL AND stored_timestamp IS NOT NULL), b AS (SELECT floor(e / 3600)::BIGINT * 3600 AS start, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind, paris_id FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(paris_id) FILTER (behind <= 21600))::BIGINT AS total FROM b GROUP BY start",
     "p7_found": "WITH r AS (SELECT delivery_id, lower(trim(data.id)) AS i, lower(trim(data.peer)) AS p, round(data.timestamp * 1000)::BIGINT AS t FROM ris_frames WHERE data.id IS NOT NULL) SELECT DISTINCT a.delivery_id FROM r a JOIN r b ON a.i = b.i AND a.p IS NOT DISTINCT FROM b.p AND b.delivery_id < a.delivery_id AND (abs(a.t - b.t) <= 1000 OR (a.t IS NULL AND b.t IS NULL))",
 }
