@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import staged
+
 HOURS_BROADCAST = 200_000  # rows of 16 bytes; above this the closes are joined by shuffle
 
 
@@ -53,8 +55,8 @@ def period_closes(events: DataFrame, source: str, period: int = 3600, idle: int
 def divert(events: DataFrame, closes: DataFrame, period: int = 3600) -> tuple[DataFrame, DataFrame]:
     """(in time, diverted): what arrived before its period's close and what arrived after it, with ``start`` and ``close``."""
     start = (F.floor(F.col("event_s") / period) * period).cast("long")
-    n = closes.count()
-    table = F.broadcast(closes) if n <= HOURS_BROADCAST else closes
+    closes = staged(closes, "closes")  # one small row for each period, asked for twice
+    table = F.broadcast(closes) if closes.count() <= HOURS_BROADCAST else closes
     joined = events.withColumn("start", start).join(table, "start", "left")
     after = F.col("close").isNotNull() & (F.col("arrival_s") > F.col("close"))
     return joined.where(~after), joined.where(after)
