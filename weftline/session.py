@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +40,18 @@ def staging_root(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + os.path.join(tempfile.gettempdir(), "weftline-staging")
-    spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return root
+    return "file://" + _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    """A temporary folder of this process, for plain local masters only; it goes when the process does."""
+    folder = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
