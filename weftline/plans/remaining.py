@@ -119,7 +119,7 @@ def snk_iata(s, d):
 
 
 @query()
-def snk_starlink(s, d):
+def snk_feed_documents(s, d):
     """Two documents of the feed and the digest of each file."""
     out = staged_path(s, "documents")
     p = table(s, d, "pops")
