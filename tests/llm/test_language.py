@@ -74,3 +74,28 @@ def test_lines_and_blocks():
     lines = lines_of(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
     assert lines.neutral.tolist() == [True, True, True, True, False, False, True, False]
     assert lines.blank.tolist() == [False] * 5 + [True, False, False]
+
+
+def test_triple_quotes_are_paired(spark, model):
+    rng = random.Random(11)
+    code = doc("python", rng, 10)
+    a = 'Q = """\n' + doc("sql", rng, 8) + '\n"""\n' + code + '\ndef f():\n    """Says what it does."""\n' + doc("python", rng, 8)
+    raw = a.encode() + b"\n"
+    lines = lines_of(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
+    assert lines.neutral.sum() == 1 and lines.fence.sum() == 1
+    got = run(spark, model, [(1, a, None)])
+    assert {(r, x) for _, r, x, _ in got} == {("own", "python"), ("segment", "sql")}
+
+
+def test_comments_behind_a_passage_are_the_hosts(spark, model):
+    rng = random.Random(12)
+    t = doc("python", rng, 14) + '\nQ = """\n' + doc("sql", rng, 8) + '\n"""\n' + "\n".join("# " + line("en", rng) * 3 for _ in range(12))
+    got = run(spark, model, [(1, t, None)])
+    assert {(r, x) for _, r, x, _ in got} == {("own", "python"), ("segment", "sql")}
+
+
+def test_indentation_and_line_ends_dont_matter(model):
+    rng = random.Random(13)
+    t = doc("python", rng, 20)
+    score = lambda s: model.evidence(lines_of(np.frombuffer(s.encode() + b"\n", np.uint8), np.array([len(s.encode()) + 1])))
+    assert np.allclose(score(t), score(t.replace("    ", "\t"))) and np.allclose(score(t), score(t.replace("\n", "\r\n")))

@@ -40,13 +40,15 @@ NEWLINE, SPACE = 10, 32
 LINE_FULL = 24.0  # n-grams of a line that count as a full line's evidence
 
 
-def _is_digit_table() -> np.ndarray:
+def _seen_bytes() -> np.ndarray:
+    """Bytes as features see them: digits are alike, and so are tabs and blanks."""
     t = np.arange(256, dtype=np.uint8)
     t[ord("0") : ord("9") + 1] = ord("0")
+    t[9] = SPACE
     return t
 
 
-_DIGITS = _is_digit_table()
+_SEEN = _seen_bytes()
 _CLOSERS, _QUOTES = np.zeros(256, bool), np.zeros(256, bool)
 _CLOSERS[list(b"{}[]();,")] = True
 _QUOTES[list(b"\"'`;)~")] = True
@@ -63,7 +65,8 @@ class Lines:
     blank: np.ndarray
     neutral: np.ndarray
     closer: np.ndarray  # only brackets and their like: belongs to what it closes
-    fence: np.ndarray  # only quotes or a fence: belongs to what holds the passage
+    fence: np.ndarray  # only quotes or a fence, or an end tag: belongs to what holds the passage
+    hinge: np.ndarray  # where a passage may begin or end at no cost
 
 
 def lines_of(raw: np.ndarray, ends: np.ndarray) -> Lines:
@@ -91,29 +94,32 @@ def lines_of(raw: np.ndarray, ends: np.ndarray) -> Lines:
     hashed = (b[0] == o("#")) & ((b[1] <= SPACE) | (b[1] == o("#")))
     opens = (b[0] == o("/")) & (b[1] == o("*"))
     html = (b[0] == o("<")) & (b[1] == o("!")) & (b[2] == o("-")) & (b[3] == o("-"))
-    quotes = ((b[0] == o('"')) | (b[0] == o("'"))) & (b[1] == b[0]) & (b[2] == b[0])
-    neutral = slashes | dashes | hashed | opens | html | quotes
-    _blocks(data, start, stop, text, neutral, opens, html, quotes)
+    neutral = slashes | dashes | hashed | opens | html
+    _blocks(data, start, stop, text, neutral, opens, html)
+    _quoted(data, start, stop, text, first, neutral)
     count = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][np.r_[start, len(data)]])
     seen = data > SPACE
     others, marks, quoted = count(seen & ~_CLOSERS[data]), count(seen & ~_QUOTES[data]), count(seen & _QUOTES[data] & ~_CLOSERS[data])
     tick = (b[0] == o("`")) & (b[1] == b[0]) & (b[2] == b[0])
-    return Lines(data, start, stop, text, blank, neutral & ~blank, (others == 0) & ~blank, (((marks == 0) & (quoted > 0)) | tick) & ~blank)
-
-
-def _blocks(data, start, stop, text, neutral, opens, html, quotes) -> None:
-    """Marks the lines of comments (and texts in triple quotes) that go over several lines."""
-    for marks, close in ((opens, b"*/"), (html, b"-->"), (quotes, None)):
+    tag = (b[0] == o("<")) & (((b[1] == o("s")) & ((b[2] == o("c")) | (b[2] == o("t")))) | ((b[1] == o("/")) & (b[2] == o("s")) & ((b[3] == o("c")) | (b[3] == o("t")))))
+    end_tag = tag & (b[1] == o("/"))
+    lead = np.r_[np.zeros(3, np.uint8), data]
+    last = lead[stop + 2]  # the byte before each line's end
+    triple = ((last == 34) | (last == 39)) & (lead[stop + 1] == last) & (lead[stop] == last)
+    fence = (((marks == 0) & (quoted > 0)) | tick | end_tag) & ~blank
+    hinge = (fence | tag | triple | (last == 96)) & ~blank
+    return Lines(data, start, stop, text, blank, neutral & ~blank, (others == 0) & ~blank, fence, hinge)
+
+
+def _blocks(data, start, stop, text, neutral, opens, html) -> None:
+    """Marks the lines of comments that go over several lines."""
+    for marks, close in ((opens, b"*/"), (html, b"-->")):
         k, where = 0, np.flatnonzero(marks)
         while k < len(where):
-            i = int(where[k])
-            line = data[start[i] : stop[i]].tobytes()
-            sign = close if close else line.strip(b" \t\xef\xbb\xbf")[:3]
-            body = line.strip(b" \t\xef\xbb\xbf")[len(sign) if not close else 2 :]
-            j = i
-            if sign not in body:
+            i = j = int(where[k])
+            if close not in data[start[i] : stop[i]].tobytes():
                 j += 1
-                while j < len(start) and text[j] == text[i] and sign not in data[start[j] : stop[j]].tobytes():
+                while j < len(start) and text[j] == text[i] and close not in data[start[j] : stop[j]].tobytes():
                     j += 1
                 if j >= len(start) or text[j] != text[i]:
                     k += 1  # never closed: no block
@@ -122,9 +128,42 @@ def _blocks(data, start, stop, text, neutral, opens, html, quotes) -> None:
             k = max(k + 1, int(np.searchsorted(where, j, "right")))
 
 
-def features(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """(features, first): int32 (orders, n), a feature of each byte and order, and the first byte of each line."""
-    d = _DIGITS[lines.data]
+def _quoted(data, start, stop, text, first, neutral) -> None:
+    """Marks texts in triple quotes that open a line (what is said about code); those behind an assignment are passages of their own.
+
+    The marks of a text are paired in order, so one that closes isn't taken for one that opens.
+    """
+    for q in (34, 39):
+        hit = data == q
+        at = np.flatnonzero(hit[:-2] & hit[1:-1] & hit[2:]) if len(data) > 2 else np.zeros(0, int)
+        at = at[np.r_[True, np.diff(at) > 2]] if len(at) else at
+        line = np.searchsorted(start, at, "right") - 1
+        k = 0
+        while k + 1 < len(at):
+            i, j = int(line[k]), int(line[k + 1])
+            if text[i] != text[j]:
+                k += 1  # never closed
+                continue
+            if at[k] == first[i]:
+                neutral[i : j + 1] = True
+            k += 2
+
+
+def features(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, first, n): int32 (orders, bytes), and where each line's features begin and how many they are.
+
+    Indentation and runs of blanks are left out: they tell of who wrote a text rather than of its language, and are changed by editors.
+    """
+    d = _SEEN[lines.data]
+    gap = d == SPACE
+    keep = np.ones(len(d), bool)
+    keep[1:] = ~(gap[1:] & (gap[:-1] | (d[:-1] == NEWLINE)))
+    if len(gap):
+        keep[0] = not gap[0]
+    place = np.r_[0, np.cumsum(keep)]
+    first = place[lines.start]
+    count = np.diff(np.r_[first, place[-1]])
+    d = d[keep]
     # every line begins with the newline before it
     pad = np.r_[np.uint8(NEWLINE), d, np.zeros(8, np.uint8)].astype(np.uint64)
     n = len(d)
@@ -138,7 +177,7 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
             out[col] = h
             out[col] += col * BUCKETS
             col += 1
-    return out, lines.start
+    return out, first, count
 
 
 class Model:
@@ -149,12 +188,12 @@ class Model:
 
     def line_scores(self, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
         """Mean score of each line for each language, and its number of features."""
-        f, start = features(lines)
+        f, first, n = features(lines)
         s = np.take(self.table, f[0], axis=0, mode="clip")
         for k in range(1, len(ORDERS)):
             s += np.take(self.table, f[k], axis=0, mode="clip")
-        total = np.add.reduceat(s, start, axis=0)
-        n = (lines.end - lines.start + 1).astype(np.float32)
+        total = np.add.reduceat(s, first, axis=0)
+        n = n.astype(np.float32)
         return total / (n * len(ORDERS))[:, None], n
 
     def evidence(self, lines: Lines) -> np.ndarray:
@@ -177,14 +216,14 @@ def _windows(texts: list[str], label: np.ndarray, rng: np.random.Generator):
             raw.append((texts[to] + "\n").encode("utf-8", "replace"))
             to += 1
         lines = lines_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
-        f, _ = features(lines)
+        f, first, n = features(lines)
         use = np.flatnonzero(~lines.blank & ~lines.neutral)
         i = 0
         while i < len(use):
             rows = use[i : i + int(rng.choice((1, 2, 3, 5, 8, 12)))]
             rows = rows[lines.text[rows] == lines.text[rows[0]]]
             i += len(rows)
-            feats.append(np.concatenate([f[:, lines.start[r] : lines.end[r] + 1].ravel() for r in rows]))
+            feats.append(np.concatenate([f[:, first[r] : first[r] + n[r]].ravel() for r in rows]))
             owner.append(at + lines.text[rows[0]])
             labels.append(label[owner[-1]])
         at = to
@@ -264,16 +303,19 @@ def train(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 3) -
     return Model(names, table.astype(np.float32), bias.astype(np.float32), heat, bound)
 
 
-def best_path(logp: np.ndarray, change: float) -> np.ndarray:
-    """The languages of a text's lines: most probable path that pays ``change`` for each change."""
+def best_path(logp: np.ndarray, change: float, hinge: np.ndarray | None = None) -> np.ndarray:
+    """The languages of a text's lines: most probable path that pays ``change`` for each change, a tenth of it beside a hinge."""
+    cost = np.full(len(logp), change)
+    if hinge is not None:
+        cost[hinge] = cost[1:][hinge[:-1]] = change / 10
     n, k = logp.shape
     score, back = logp[0].copy(), np.zeros((n, k), np.int16)
     own = np.arange(k)
     for i in range(1, n):
         top = int(score.argmax())
-        stay = score >= score[top] - change
+        stay = score >= score[top] - cost[i]
         back[i] = np.where(stay, own, top)
-        score = np.where(stay, score, score[top] - change) + logp[i]
+        score = np.where(stay, score, score[top] - cost[i]) + logp[i]
     path = np.empty(n, int)
     path[-1] = int(score.argmax())
     for i in range(n - 1, 0, -1):
@@ -302,12 +344,17 @@ def segments(model: Model, lines: Lines, n_texts: int, change: float, least_line
         gain = np.cumsum(x - x[:, [main]], axis=0)
         room = (gain - np.minimum.accumulate(np.vstack([np.zeros(gain.shape[1]), gain[:-1]]), axis=0)).max()
         if room > change:
-            path = best_path(x, change)
+            path = best_path(x, change, lines.hinge[solid])
             for i in np.flatnonzero(lines.closer[solid][1:] & (path[1:] != path[:-1])) + 1:
                 path[i] = path[i - 1]
-            path[lines.fence[solid]] = int(np.bincount(path, weights=size[solid]).argmax())
-            share = np.bincount(path, weights=size[solid], minlength=x.shape[1])
-            main = int(share.argmax())
+            quiet = lines.neutral[solid]
+            main = int(np.bincount(path[~quiet], weights=size[solid][~quiet], minlength=x.shape[1]).argmax())
+            path[lines.fence[solid]] = main
+            # comments between two languages, before the first and behind the last line belong to what holds the passages
+            said = np.flatnonzero(~quiet)
+            after = np.searchsorted(said, np.flatnonzero(quiet))
+            nxt, prev = path[said[np.minimum(after, len(said) - 1)]], path[said[np.maximum(after - 1, 0)]]
+            path[quiet] = np.where((after > 0) & (after < len(said)) & (nxt == prev), nxt, main)
             edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
             ends = np.r_[edge[1:], len(path)]
             for s, e in zip(edge, ends, strict=True):
@@ -368,7 +415,7 @@ def languages(docs: DataFrame, key: str, text: str, label: str, model: Model | N
                 out = []
                 for t, lang, sure, a, b in own:
                     if lang < 0:
-                        alone = Lines(lines.data, lines.start[a:b], lines.end[a:b], lines.text[a:b] - t, lines.blank[a:b], np.zeros(b - a, bool), lines.closer[a:b], lines.fence[a:b])
+                        alone = Lines(lines.data, lines.start[a:b], lines.end[a:b], lines.text[a:b] - t, lines.blank[a:b], np.zeros(b - a, bool), lines.closer[a:b], lines.fence[a:b], lines.hinge[a:b])
                         cut = slice(int(lines.start[a]), int(lines.end[b - 1]) + 1)
                         alone.data, alone.start, alone.end = lines.data[cut], alone.start - cut.start, alone.end - cut.start
                         z = model.evidence(alone).sum(0) / max((~alone.blank).sum(), 1)
