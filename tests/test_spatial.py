@@ -65,3 +65,25 @@ def test_index_parts():
     leaves = tree.of_points(lat, lon)
     rows, touched = tree.of_boxes(np.c_[lat, lon, lat, lon])
     assert {(i, int(k)) for i, k in enumerate(leaves)} <= set(zip(rows.tolist(), touched.tolist(), strict=True))
+
+
+def test_regions_that_contain_points(spark):
+    from weftline.operators.spatial import containing_regions, inside_ring
+
+    pts = scatter(300, 3) + [(800, 0.5, 0.5, None), (801, 0.5, 179.9, None), (802, 0.5, -179.9, None), (803, None, 1.0, None)]
+    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    over = [(-5.0, 170.0), (-5.0, 190.0), (5.0, 190.0), (5.0, 170.0)]
+    notch = [(-80.0, -170.0), (80.0, -170.0), (0.0, -60.0), (80.0, 100.0), (-80.0, 100.0)]
+    rings = {1: square, 2: over, 3: notch, 4: square[:2], 5: [(-89.0, -180.0), (-89.0, 180.0), (89.0, 180.0), (89.0, -180.0)], 6: None}
+    r = spark.createDataFrame([(k, None if v is None else [{"lat": y, "lon": x} for y, x in v], "clash") for k, v in rings.items()], "zone int, ring array<struct<lat:double,lon:double>>, id string")
+    got = sorted((x.a, x.zone) for x in containing_regions(spark.createDataFrame(pts, SCHEMA), r, {"id": "a"}, {"zone": "zone"}, leaf=32).collect())
+    want = []
+    for i, lat, lon, _ in pts:
+        if lat is not None:
+            lon = (lon + 180) % 360 - 180
+            for k, v in rings.items():
+                if v and len(v) > 2:
+                    y, x = np.array(v).T
+                    want += [(i, k) for s in (-360, 0, 360) if inside_ring(np.array([lat]), np.array([lon + s]), y, x)[0]]
+    assert got == sorted(want) and {(800, 1), (801, 2), (802, 2)} <= set(got)
+    assert containing_regions(spark.createDataFrame([], SCHEMA), r, {"id": "a"}, {"zone": "zone"}).count() == 0

@@ -1,4 +1,4 @@
-"""Points near other points, on the sphere.
+"""Points near other points, or in regions, on the sphere.
 
 Sample-driven quadtree partitioning over longitude and latitude, boundary replication of the neighbour side, an R-tree
 bulk-loaded (sort-tile-recursive) in each partition and probed with the other side, exact great-circle refinement. The
@@ -134,6 +134,18 @@ def _positions(df: DataFrame, keys: list[str], lat: str, lon: str) -> DataFrame:
     return df.where(ok).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], y.alias("lat"), (F.pmod(x + 180, F.lit(360.0)) - 180).alias("lon"))
 
 
+def _spread(batch: pa.RecordBatch, rows: np.ndarray, leaves: np.ndarray, own: np.ndarray, other: np.ndarray, mine_first: bool, extra: list[np.ndarray], carry: list[str] = ()) -> pa.RecordBatch:
+    """Each row goes to one block of its own side, by its number, and to all blocks of the other side."""
+    times = other[leaves]
+    r = np.repeat(np.arange(len(rows)), times)
+    k = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+    block = (np.arange(len(rows)) * 2_654_435_761 >> 7)[r] % own[leaves[r]]
+    names = [f.name for f in batch.schema if f.name[0] == "k" or f.name in carry]
+    keys = [batch.column(batch.schema.get_field_index(n)).take(pa.array(rows[r])) for n in names]
+    pair = (block, k) if mine_first else (k, block)
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(x[r]) for x in extra], pa.array(leaves[r], pa.int32()), pa.array(pair[0], pa.int32()), pa.array(pair[1], pa.int32())], names=[*names, *[f"x{i}" for i in range(len(extra))], "leaf", "ca", "cb"])
+
+
 def near_pairs(left: DataFrame, right: DataFrame, left_keys: dict[str, str], right_keys: dict[str, str], km: float, left_at: tuple[str, str] = ("lat", "lon"), right_at: tuple[str, str] = ("lat", "lon"), radius: float = 6371.0, leaf: int = LEAF, seed: int = 7) -> DataFrame:
     """Every pair of a left and a right row at most ``km`` apart: left keys, right keys, ``km``.
 
@@ -157,20 +169,10 @@ def near_pairs(left: DataFrame, right: DataFrame, left_keys: dict[str, str], rig
     a_fields, b_fields = [f for f in a.schema if f.name[0] == "k"], [f for f in b.schema if f.name[0] == "k"]
     cell = [T.StructField("leaf", T.IntegerType()), T.StructField("ca", T.IntegerType()), T.StructField("cb", T.IntegerType())]
 
-    def spread(batch: pa.RecordBatch, rows: np.ndarray, leaves: np.ndarray, own: np.ndarray, other: np.ndarray, mine_first: bool, extra: list[np.ndarray]) -> pa.RecordBatch:
-        """Each row goes to one block of its own side, by its number, and to all blocks of the other side."""
-        times = other[leaves]
-        r = np.repeat(np.arange(len(rows)), times)
-        k = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-        block = (np.arange(len(rows)) * 2_654_435_761 >> 7)[r] % own[leaves[r]]
-        keys = [c.take(pa.array(rows[r])) for c, f in zip(batch.columns, batch.schema, strict=True) if f.name[0] == "k"]
-        pair = (block, k) if mine_first else (k, block)
-        return pa.RecordBatch.from_arrays([*keys, *[pa.array(x[r]) for x in extra], pa.array(leaves[r], pa.int32()), pa.array(pair[0], pa.int32()), pa.array(pair[1], pa.int32())], names=[*[f.name for f in batch.schema if f.name[0] == "k"], *[f"x{i}" for i in range(len(extra))], "leaf", "ca", "cb"])
-
     def place_a(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
-            yield spread(batch, np.arange(len(lat)), tree.of_points(lat, lon), cut_a, cut_b, True, [lat, lon])
+            yield _spread(batch, np.arange(len(lat)), tree.of_points(lat, lon), cut_a, cut_b, True, [lat, lon])
 
     def place_b(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +180,7 @@ def near_pairs(left: DataFrame, right: DataFrame, left_keys: dict[str, str], rig
             boxes, own = reach(lat, lon, km, radius)
             part, leaves = tree.of_boxes(boxes)
             # two boxes of one row may touch one leaf: they stay one entry there only if they are one box
-            yield spread(batch, own[part], leaves, cut_b, cut_a, False, [lat[own[part]], lon[own[part]], *boxes[part].T])
+            yield _spread(batch, own[part], leaves, cut_b, cut_a, False, [lat[own[part]], lon[own[part]], *boxes[part].T])
 
     doubles = lambda n: [T.StructField(f"x{i}", T.DoubleType()) for i in range(n)]
     pa_rows = a.mapInArrow(place_a, T.StructType([*a_fields, *doubles(2), *cell]))
@@ -207,6 +209,97 @@ def near_pairs(left: DataFrame, right: DataFrame, left_keys: dict[str, str], rig
     return pa_rows.groupBy("leaf", "ca", "cb").cogroup(pb_rows.groupBy("leaf", "ca", "cb")).applyInArrow(probe, result)
 
 
+def inside_ring(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np.ndarray) -> np.ndarray:
+    """Whether positions lie in a closed ring whose edges are straight in longitude and latitude (even-odd rule; west and south edges belong to it)."""
+    y0, x0 = ring_lat, ring_lon
+    y1, x1 = np.roll(ring_lat, -1), np.roll(ring_lon, -1)
+    hit = np.zeros(len(lat), bool)
+    for s in range(0, len(y0), 256):  # long rings in stretches
+        e = slice(s, s + 256)
+        over = (y0[e] <= lat[:, None]) != (y1[e] <= lat[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = x0[e] + (lat[:, None] - y0[e]) / (y1[e] - y0[e]) * (x1[e] - x0[e])
+        hit ^= (over & (lon[:, None] < cross)).sum(1) % 2 == 1
+    return hit
+
+
+def containing_regions(points: DataFrame, regions: DataFrame, point_keys: dict[str, str], region_keys: dict[str, str], at: tuple[str, str] = ("lat", "lon"), ring: str = "ring", leaf: int = LEAF, seed: int = 7) -> DataFrame:
+    """Every pair of a point and a region that contains it: point keys, region keys.
+
+    ``ring`` is an array of structs (lat, lon), closed by itself; a ring over the date line goes on past 180 degrees. Rings of fewer than three
+    corners or with null corners contain nothing. The same tree, replication and R-tree as for nearby points, on the rings' boxes.
+    """
+    names = [*point_keys.values(), *region_keys.values()]
+    if len(set(names)) < len(names):
+        raise ValueError("names of the result clash")
+    a = _positions(points, list(point_keys), *at)
+    lats, lons = F.transform(ring, lambda c: c["lat"].cast("double")), F.transform(ring, lambda c: c["lon"].cast("double"))
+    whole = (F.size(ring) >= 3) & ~F.exists(ring, lambda c: c.isNull() | c["lat"].isNull() | c["lon"].isNull())
+    b = regions.where(whole).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(region_keys)], lats.alias("lats"), lons.alias("lons"))
+    b = b.select("*", F.array_min("lats").alias("south"), F.array_min("lons").alias("west"), F.array_max("lats").alias("north"), F.array_max("lons").alias("east"))
+    corners = ("south", "west", "north", "east")
+    n_a, n_b = a.count(), b.count()
+    sa = a.select("lat", "lon").sample(min(1.0, SAMPLE / max(n_a, 1)), seed).toPandas().to_numpy(float).reshape(-1, 2)
+    sb = b.select(*corners).sample(min(1.0, SAMPLE / max(n_b, 1)), seed).toPandas().to_numpy(float).reshape(-1, 4)
+    fa, fb = n_a / max(len(sa), 1), n_b / max(len(sb), 1)
+
+    def parts(box: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Boxes within +-180, whose they are, and how far they were moved."""
+        out, own, moved = [], [], []
+        for shift in (-360.0, 0.0, 360.0):
+            x = box + np.array([0, shift, 0, shift])
+            ok = np.flatnonzero((x[:, 1] <= 180) & (x[:, 3] >= -180))
+            out.append(np.c_[x[ok, 0], np.maximum(x[ok, 1], -180), x[ok, 2], np.minimum(x[ok, 3], 180)])
+            own.append(ok)
+            moved.append(np.full(len(ok), shift))
+        return np.concatenate(out), np.concatenate(own), np.concatenate(moved)
+
+    tree = Quadtree(sa[:, 0], sa[:, 1], max(8, int(leaf / max(fa, 1e-9)) if len(sa) else 8))
+    held_a = np.bincount(tree.of_points(sa[:, 0], sa[:, 1]), minlength=tree.n) * fa
+    held_b = np.bincount(tree.of_boxes(parts(sb)[0])[1], minlength=tree.n) * fb
+    cut_a, cut_b = np.maximum(1, np.ceil(held_a / (2 * leaf))).astype(int), np.maximum(1, np.ceil(held_b / (2 * leaf))).astype(int)
+    a_fields, b_fields = [f for f in a.schema if f.name[0] == "k"], [f for f in b.schema if f.name[0] == "k"]
+    doubles = lambda n: [T.StructField(f"x{i}", T.DoubleType()) for i in range(n)]
+    cell = [T.StructField(c, T.IntegerType()) for c in ("leaf", "ca", "cb")]
+    rings = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lats", "lons")]
+
+    def place_a(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
+            yield _spread(batch, np.arange(len(lat)), tree.of_points(lat, lon), cut_a, cut_b, True, [lat, lon])
+
+    def place_b(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes, own, moved = parts(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in corners], 1))
+            part, leaves = tree.of_boxes(boxes)
+            yield _spread(batch, own[part], leaves, cut_b, cut_a, False, [*boxes[part].T, moved[part]], ["lats", "lons"])
+
+    result = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, [*a_fields, *b_fields], strict=True)])
+
+    def probe(x: pa.Table, y: pa.Table) -> pa.Table:
+        ax, by = [c for c in x.column_names if c[0] == "k"], [c for c in y.column_names if c[0] == "k"]
+        found_p, found_q = [np.zeros(0, int)], [np.zeros(0, int)]
+        if x.num_rows and y.num_rows:
+            lat, lon = (x.column(c).to_numpy() for c in ("x0", "x1"))
+            rtree = RTree(np.stack([y.column(f"x{i}").to_numpy() for i in range(4)], 1))
+            moved = y.column("x4").to_numpy()
+            for s in range(0, len(lat), 2048):
+                p, q = rtree.probe(lat[s : s + 2048], lon[s : s + 2048])
+                o = np.argsort(q, kind="stable")
+                p, q = p[o] + s, q[o]
+                for own in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
+                    if len(own):
+                        r = int(q[own[0]])
+                        ok = inside_ring(lat[p[own]], lon[p[own]] - moved[r], np.array(y.column("lats")[r].as_py()), np.array(y.column("lons")[r].as_py()))
+                        found_p.append(p[own][ok])
+                        found_q.append(q[own][ok])
+        p, q = np.concatenate(found_p), np.concatenate(found_q)
+        return pa.Table.from_arrays([*[x.column(c).take(pa.array(p)) for c in ax], *[y.column(c).take(pa.array(q)) for c in by]], names=names)
+
+    left, right = a.mapInArrow(place_a, T.StructType([*a_fields, *doubles(2), *cell])), b.mapInArrow(place_b, T.StructType([*b_fields, *rings, *doubles(5), *cell]))
+    return left.groupBy("leaf", "ca", "cb").cogroup(right.groupBy("leaf", "ca", "cb")).applyInArrow(probe, result)
+
+
 def nearest(pairs: DataFrame, by: list[str], tie: list[str], k: int = 1) -> DataFrame:
     """Of :func:`near_pairs`, the ``k`` nearest of each left row; ties by ``tie``."""
     from pyspark.sql import Window

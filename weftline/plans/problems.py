@@ -9,7 +9,7 @@ from weftline.operators.late import corrected_aggregates, fates, first_copies
 from weftline.operators.nested import Field, flatten_records
 from weftline.operators.redelivery import surplus
 from weftline.operators.snapshots import snapshot_changes, with_canonical_prefix
-from weftline.operators.spatial import near_pairs, nearest
+from weftline.operators.spatial import containing_regions, near_pairs, nearest
 from weftline.plans.tables import table
 
 SAME = ["msm_id", "prb_id"]
@@ -55,6 +55,15 @@ def p2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(pairs, ["kind", "loc_id"], ["airport_id"]).select("kind", "loc_id", "airport_id", (F.floor(F.col("km") * 1000 + 0.5) / 1000).alias("km"))
 
 
+def p2_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """The zone that contains each location: a frame around the airports of a country, as a ring, within two degrees of them."""
+    a = table(spark, folder, "airports").where("latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL AND iso_country IS NOT NULL")
+    box = a.groupBy(F.col("iso_country").alias("zone")).agg((F.min("latitude_deg") - 2).alias("s"), (F.max("latitude_deg") + 2).alias("n"), (F.min("longitude_deg") - 2).alias("w"), (F.max("longitude_deg") + 2).alias("e"))
+    corner = lambda y, x: F.struct(F.col(y).alias("lat"), F.col(x).alias("lon"))
+    rings = box.select("zone", F.array(corner("s", "w"), corner("s", "e"), corner("n", "e"), corner("n", "w")).alias("ring"))
+    return containing_regions(_locations(spark, folder), rings, {"kind": "kind", "id": "loc_id"}, {"zone": "zone"}).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pops = table(spark, folder, "pops").select("snap", "line_no", "c0", "c1", "c2")
     clean = with_canonical_prefix(pops, "c0", "key")
@@ -92,7 +101,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return surplus(ris, "delivery_id", "batch_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p2_found, p2_nearest, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
 
 _POSITIONS = """
 locs AS (
@@ -115,6 +124,7 @@ def _first_sql(stream: str, carry: str = "") -> str:
 SQL = {
     "p2_found": f"WITH {_POSITIONS} SELECT DISTINCT kind, loc_id, airport_id FROM dist WHERE km <= 50.0",
     "p2_nearest": f"WITH {_POSITIONS} SELECT kind, loc_id, airport_id, floor(km * 1000 + 0.5) / 1000 AS km FROM (SELECT *, row_number() OVER (PARTITION BY kind, loc_id ORDER BY km, airport_id) AS k FROM dist WHERE km <= 400.0) WHERE k = 1",
+    "p2_zones": f"WITH {_POSITIONS}, box AS (SELECT iso_country AS zone, min(latitude_deg) - 2 AS s, max(latitude_deg) + 2 AS n, min(longitude_deg) - 2 AS w, max(longitude_deg) + 2 AS e FROM airports WHERE latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL AND iso_country IS NOT NULL GROUP BY 1), pl AS (SELECT kind, id, lat, (lon + 540) - floor((lon + 540) / 360) * 360 - 180 AS lon FROM good), sh AS (SELECT kind, id, lat, lon + s AS lon FROM pl, (SELECT unnest([-360, 0, 360]) AS s)) SELECT DISTINCT kind, id AS loc_id, zone FROM sh JOIN box ON lat >= s AND lat < n AND lon >= w AND lon < e",
     "p6_found": "WITH f AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stream, rec_id, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind FROM ({_first_sql(s)})" for s in ("pings", "traceroutes")) + ") SELECT stream, rec_id, CASE WHEN behind <= 21600 THEN 'late' ELSE 'cut' END AS fate FROM f WHERE behind > 600",
     "p6_hourly": f"WITH f AS (SELECT rcvd, floor(e / 3600)::BIGINT * 3600 AS start, a FROM ({_first_sql('pings', ', rcvd')})), b AS (SELECT start, a - (start + 3600) AS behind, rcvd FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(rcvd) FILTER (behind <= 21600))::BIGINT AS total, min(rcvd) FILTER (behind <= 21600) AS least, max(rcvd) FILTER (behind <= 21600) AS most FROM b GROUP BY start",
     "p6_stream": f"WITH f AS (SELECT {_SECONDS.format('timestamp')} AS e, {_SECONDS.format('stored_timestamp')} AS a, paris_id FROM traceroutes WHERE timestamp IS NOT NULL AND stored_timestamp IS NOT NULL), b AS (SELECT floor(e / 3600)::BIGINT * 3600 AS start, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind, paris_id FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(paris_id) FILTER (behind <= 21600))::BIGINT AS total FROM b GROUP BY start",
