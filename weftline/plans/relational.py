@@ -519,18 +519,31 @@ def agg_spikes(s, d):
     return z.where("sd > 0 AND (n - m) / sd >= 2 AND n - m >= 4").select("at", "n")
 
 
-@query("SELECT x.endtime AS latest, count(*) AS announced FROM traceroutes t, (SELECT max(endtime) AS endtime FROM traceroutes WHERE endtime < 100000000000) x WHERE t.endtime >= x.endtime - 86400 AND t.endtime <= x.endtime GROUP BY 1")
+_LATEST = "f AS (SELECT DISTINCT trim(c0) AS prefix, lower(trim(c1)) AS pop FROM pops WHERE snap = (SELECT max(snap) FROM pops) AND nullif(trim(c1), '') IS NOT NULL), a AS (SELECT DISTINCT trim(p) AS prefix FROM (SELECT unnest(flatten(list_transform(data.announcements, lambda x: x.prefixes))) AS p FROM ris_frames WHERE data.announcements IS NOT NULL))"
+
+
+def _announced(s, d):
+    r = table(s, d, "ris_frames").where("data.announcements IS NOT NULL")
+    return r.select(F.explode(F.flatten(F.transform("data.announcements", lambda x: x["prefixes"]))).alias("p")).select(F.trim("p").alias("prefix")).distinct()
+
+
+@query(f"WITH {_LATEST} SELECT pop, count(*) AS prefixes, count(a.prefix) AS announced FROM f LEFT JOIN a USING (prefix) GROUP BY 1")
 def agg_announced(s, d):
-    """What still holds at the latest time: rows that end within its last day."""
-    t = table(s, d, "traceroutes").where("endtime < 100000000000")
-    top = F.broadcast(t.agg(F.max("endtime").alias("latest")))
-    return t.crossJoin(top).where("endtime >= latest - 86400").groupBy("latest").agg(F.count("*").alias("announced"))
+    """Of each PoP's prefixes in the latest delivery, how many the updates announced."""
+    p = table(s, d, "pops").select("snap", F.trim("c0").alias("prefix"), F.nullif(F.lower(F.trim("c1")), F.lit("")).alias("pop"))
+    latest = F.broadcast(p.agg(F.max("snap").alias("snap")))
+    f = p.join(latest, "snap").where("pop IS NOT NULL").select("prefix", "pop").distinct()
+    return f.join(_announced(s, d).withColumn("hit", F.lit(1)), "prefix", "left").groupBy("pop").agg(F.count("*").alias("prefixes"), F.count("hit").alias("announced"))
 
 
-@query("SELECT CASE WHEN a < b THEN 'left' ELSE 'right' END AS side, count(*) AS n, max(power) AS most FROM (SELECT l_suppkey % 10 AS a, l_partkey % 10 AS b, count(*) AS power FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+@query("WITH h AS (SELECT data.path AS path, unnest(range(1, len(data.path) + 1)) AS i FROM ris_frames WHERE data.path IS NOT NULL), n AS (SELECT path[i] AS asn, CASE WHEN i > 1 THEN path[i - 1] END AS l, CASE WHEN i < len(path) THEN path[i + 1] END AS r FROM h), u AS (SELECT asn, 'left' AS side, l AS other FROM n WHERE l <> asn UNION ALL SELECT asn, 'right', r FROM n WHERE r <> asn) SELECT asn, side, count(DISTINCT other) AS neighbours, count(*) AS power FROM u GROUP BY 1, 2")
 def agg_neighbours(s, d):
-    p = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10).alias("b")).agg(F.count("*").alias("power"))
-    return p.groupBy(F.when(F.expr("a < b"), "left").otherwise("right").alias("side")).agg(F.count("*").alias("n"), F.max("power").alias("most"))
+    """Each network's neighbours on the way to the collector (left) and away from it (right), and how often they were seen."""
+    r = table(s, d, "ris_frames").where("data.path IS NOT NULL").select(F.col("data.path").alias("path"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
+    p = r.where(F.size("path") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = p.select(F.col("b").alias("asn"), F.lit("left").alias("side"), F.col("a").alias("other"), "n").union(p.select("a", F.lit("right"), "b", "n"))
+    return both.groupBy("asn", "side").agg(F.count_distinct("other").alias("neighbours"), F.sum("n").alias("power"))
 
 
 @query("SELECT data.host AS collector, count(DISTINCT data.peer) AS peers, sum(len(data.withdrawals))::BIGINT AS withdrawn FROM ris_frames WHERE data.host IS NOT NULL GROUP BY 1")
@@ -608,14 +621,23 @@ def win_last_located(s, d):
 
 @query()
 def win_path_roles(s, d):
-    """The part of the path that each hop is in: a state that moves from home to gateway, network and internet, never back."""
+    """The part of the path that each hop is in: home, gateway, the network behind it, the internet, the target.
+
+    The state moves on and never back; the hop at which it leaves home into the network is the gateway. An address of the network
+    that answers within 8 ms is still at home, as every later hop is over the air.
+    """
     from weftline.plans.problems import trace_replies
 
-    hops = trace_replies(s, d).where("from_addr IS NOT NULL").groupBy("rec_id", "hop_pos").agg(F.min("from_addr").alias("ip"), F.min("rtt").alias("rtt"))
-    kind = F.when(F.col("ip").startswith("192.168.") | F.col("ip").startswith("fd00"), 0).when(F.col("ip").startswith("100.64."), 1).when(F.col("ip").startswith("203.0.113."), 2).otherwise(3)
-    state = F.max(kind).over(Window.partitionBy("rec_id").orderBy("hop_pos").rowsBetween(Window.unboundedPreceding, 0))
-    role = F.element_at(F.array(*[F.lit(x) for x in ("lan", "pop", "network", "internet")]), (state + 1).cast("int"))
-    return hops.select("rec_id", "hop_pos", role.alias("role"))
+    t = table(s, d, "traceroutes").select("rec_id", "dst_addr")
+    hops = trace_replies(s, d).where("from_addr IS NOT NULL AND from_addr <> ''").groupBy("rec_id", "hop_pos").agg(F.min("from_addr").alias("ip"), F.min("rtt").alias("rtt")).join(t, "rec_id")
+    ip = F.col("ip")
+    own = ip.startswith("203.0.113.") | ip.startswith("2001:db8:fff0")
+    code = F.when(ip == F.col("dst_addr"), 4).when(ip.startswith("192.168.") | ip.startswith("fd00"), 0).when(ip.startswith("100.64."), 1).when(own & (F.col("rtt") < 8), 0).when(own, 2).otherwise(3)
+    w = Window.partitionBy("rec_id").orderBy("hop_pos")
+    state = F.max("code").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    h = hops.withColumn("code", code).withColumn("state", state).withColumn("before", F.coalesce(F.lag("state").over(w), F.lit(0)))
+    role = F.when(F.col("state") == 4, "dest").when(F.col("state") == 3, "internet").when(F.col("state") == 0, "lan").when(F.col("before") == 0, "pop").otherwise("network")
+    return h.select("rec_id", "hop_pos", role.alias("role"))
 
 
 @query("SELECT c_mktsegment AS value, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)")
