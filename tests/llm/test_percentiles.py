@@ -54,3 +54,10 @@ def test_edges(spark):
     assert run(spark.createDataFrame([], schema)) == {}
     assert run(spark.createDataFrame([(1, "x", None), (1, "x", float("nan"))], schema)) == {}
     assert run(spark.createDataFrame([(1, "x" * 50_000, 4.0)] * 3, schema)) == {(1, "x" * 50_000): (3, [4.0] * 5)}
+
+
+def test_any_key_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 2.0, 9), (1, "a", 5, 4.0, 9), (2, None, 5, 1.0, 9)], "part int, end string, idx int, v double, n int")
+    got = group_percentiles(df, ["part", "end", "idx"], "v", [0.5])
+    assert got.columns == ["part", "end", "idx", "n", "at"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 5, 2, [3.0]), (2, None, 5, 1, [1.0])]

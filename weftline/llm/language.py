@@ -389,6 +389,8 @@ def languages(docs: DataFrame, key: str, text: str, label: str, model: Model | N
 
     A rejected own language comes out as null. ``label`` is carried along as it is.
     """
+    if key in ("label", "role", "lang", "confidence", "lines"):
+        raise ValueError(f"the key can't be named {key}")
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("label", T.StringType()), T.StructField("role", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("lines", T.IntegerType())])
     if model is None:

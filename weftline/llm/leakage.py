@@ -187,8 +187,8 @@ def _matches(words: np.ndarray, owner: np.ndarray, item_words: np.ndarray, item_
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, words: int = 12) -> DataFrame:
     """(doc_key, item_key, run): every text and item that share ``words`` consecutive words or more, with the longest run."""
-    if doc_key == item_key:
-        raise ValueError("the keys need different names")
+    if len({doc_key, item_key, "run"}) < 3:
+        raise ValueError("the keys need different names, and not run")
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("key"), F.col(item_text).alias("text"))
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-volume // BLOCK_BYTES))

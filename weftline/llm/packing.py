@@ -142,6 +142,8 @@ def pack(df: DataFrame, key: str, text: str, size: str | None = None, capacity:
 
     The keys are written down first: the range partitioning looks at its input twice, and the texts should be read once.
     """
+    if key in ("piece", "container", "offset", "tokens"):
+        raise ValueError(f"the key can't be named {key}")
     keyed = staged(curve_keys(df, key, text, size), "curve").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
     schema = T.StructType([T.StructField(key, keyed.schema["key"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
 

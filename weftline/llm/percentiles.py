@@ -42,6 +42,14 @@ def valid_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def group_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """keys, ``n`` (valid values), ``at`` (array of the quantiles, in the order given)."""
+    if {"n", "at"} & set(keys):
+        raise ValueError("keys can't be named n or at")
+    own = df.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"))
+    out = _percentiles(own, [f"__g{i}" for i in range(len(keys))], "__v", quantiles)
+    return out.select(*[F.col(f"__g{i}").alias(k) for i, k in enumerate(keys)], "n", "at")
+
+
+def _percentiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
     qs, n_keys = np.array(quantiles, float), len(keys)
     plain = valid_values(df, keys, value)
     rows = sorted_runs(df, keys, value)
