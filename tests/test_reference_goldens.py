@@ -201,7 +201,7 @@ def test_feeds(spark, tmp_path):
 
 def test_pasted_trace(spark):
     t = ["traceroute to x (1.2.3.4), 30 hops max", " 1  192.168.1.1  1.2 ms", " 2  core-10-1-2-3.example.net  5 ms", " 2  10.9.9.9", " 3.|-- edge.example.org (8.8.8.8) 0.0%", " 4  * * *"]
-    got = rows(feeds.pasted_trace(spark.createDataFrame(list(enumerate(t)), "line long, value string")).select("hop", "ip", "host"))
+    got = rows(feeds.pasted_trace(spark.createDataFrame([(1, i, x) for i, x in enumerate(t)], "trace int, line long, value string")).select("hop", "ip", "host"))
     assert got == [(1, "192.168.1.1", ""), (2, "10.1.2.3", "core-10-1-2-3.example.net"), (3, "8.8.8.8", "edge.example.org"), (4, None, "")]
 
 
@@ -257,3 +257,11 @@ def test_tiles(spark, tmp_path):
     assert (tmp_path / "1" / "1" / "1.png").read_bytes() == got[1, 1, 1]
     light = raster.splat(np.array([[8.0, 8.0, 24.0, 8.0]]), np.ones((1, 3)), 32)
     assert light[..., 0].sum() == pytest.approx(16) and raster.tone(light, 0.5).dtype == np.uint8
+
+
+def test_longest_prefix_of_both_families(spark):
+    t = spark.createDataFrame([("10.0.0.0/8", "a"), ("10.1.0.0/16", "b"), ("2001:db8::/32", "c"), ("2001:db8:1::/48", "d")], "c string, pop string").withColumn("p", net.cidr("c"))
+    t = t.select(F.col("p.lo").alias("lo"), (F.col("p.plen") + F.when(F.col("p.version") == 4, 96).otherwise(0)).alias("plen"), "pop")
+    a = spark.createDataFrame([(1, "10.1.2.3"), (2, "10.2.2.3"), (3, "2001:db8:1::5"), (4, "2001:db8:2::5"), (5, "::1"), (6, None), (7, "junk")], "i int, ip string").withColumn("a", net.address_bytes("ip"))
+    got = rows(intervals.longest_prefix_any(a, "a", t).select("i", "pop"))
+    assert got == [(1, "b"), (2, "a"), (3, "d"), (4, "c"), (5, None), (6, None), (7, None)]

@@ -62,6 +62,29 @@ def longest_prefix(probes: DataFrame, address: str, table: DataFrame, lo: str =
     return out.select(*[F.col(c) for c in probes.columns], *[F.col("__row")[c].alias(n) for c, n in names.items()])
 
 
+def longest_prefix_any(probes: DataFrame, address: str, table: DataFrame, lo: str = "lo", plen: str = "plen") -> DataFrame:
+    """As :func:`longest_prefix` for addresses of 16 bytes (IPv4 ones mapped), so both families are matched at once.
+
+    ``plen`` counts from the first of the 128 bits: 96 more than an IPv4 prefix's own length.
+    """
+    lengths = sorted(r[0] for r in table.select(plen).distinct().collect() if r[0] is not None)
+
+    @F.pandas_udf("array<binary>")
+    def masked(addresses):
+        def cut(a):
+            n = int.from_bytes(a, "big")
+            return [(n >> (128 - k) << (128 - k)).to_bytes(16, "big") for k in lengths]
+
+        return addresses.map(cut)
+
+    distinct = probes.select(F.col(address).alias("__a")).where(F.col("__a").isNotNull()).distinct()
+    each = distinct.select("__a", F.posexplode(masked("__a")).alias("__i", "__lo")).withColumn("__n", F.element_at(F.array(*[F.lit(k) for k in lengths] or [F.lit(-1)]), F.col("__i") + 1))
+    rows = table.select(F.col(lo).alias("__lo"), F.col(plen).alias("__n"), F.struct(*table.columns).alias("__row"))
+    best = each.join(rows, ["__lo", "__n"]).groupBy("__a").agg(F.max_by("__row", "__n").alias("__row"))
+    names = {c: (f"t_{c}" if c in probes.columns else c) for c in table.columns}
+    return probes.join(best, F.col(address) == F.col("__a"), "left").select(*probes.columns, *[F.col("__row")[c].alias(n) for c, n in names.items()])
+
+
 def last_before(left: DataFrame, right: DataFrame, at: str, right_at: str, value: str, by: list[str] = (), cell: int = 1 << 16, strict: bool = False, forward: bool = False) -> DataFrame:
     """As-of join: each left row with the value of the last right row at or before it (``forward``: the first at or after it), by group.
 

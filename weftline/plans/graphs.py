@@ -92,13 +92,13 @@ def gr_msf(s, d):
 
 
 def _pairs(s, d):
-    c = fx.nodes(s, d).where("node BETWEEN 4000001 AND 4000012").select("node")
-    return c.select(F.col("node").alias("src")).crossJoin(c.select(F.col("node").alias("dst")).where("node % 3 = 0"))
+    c = fx.nodes(s, d).where("node BETWEEN 2000000 AND 2999999").select("node")  # the nations: twenty-five
+    return c.select(F.col("node").alias("src")).crossJoin(F.broadcast(c.select(F.col("node").alias("dst"))))
 
 
-@query("WITH n AS (SELECT a AS x, b AS y, rel, true AS down FROM fx_edges UNION ALL SELECT b, a, rel, false FROM fx_edges), st AS (SELECT DISTINCT node AS src FROM fx_nodes WHERE node BETWEEN 4000001 AND 4000012), f(src, node, phase, hops) AS (SELECT src, src, 0, 0 FROM st UNION SELECT f.src, n.y, CASE WHEN rel = -1 AND NOT down THEN 0 ELSE 1 END, f.hops + 1 FROM f JOIN n ON n.x = f.node WHERE f.hops < 8 AND (down AND rel = -1 OR f.phase = 0)) SELECT src, node AS dst, min(hops)::INT AS hops FROM f WHERE node % 3 = 0 AND node BETWEEN 4000001 AND 4000012 GROUP BY 1, 2", "fx_nodes")
+@query("WITH n AS (SELECT a AS x, b AS y, rel, true AS down FROM fx_edges UNION ALL SELECT b, a, rel, false FROM fx_edges), st AS (SELECT DISTINCT node AS src FROM fx_nodes WHERE node BETWEEN 2000000 AND 2999999), f(src, node, phase, hops) AS (SELECT src, src, 0, 0 FROM st UNION SELECT f.src, n.y, CASE WHEN rel = -1 AND NOT down THEN 0 ELSE 1 END, f.hops + 1 FROM f JOIN n ON n.x = f.node WHERE f.hops < 5 AND (down AND rel = -1 OR f.phase = 0)) SELECT src, node AS dst, min(hops)::INT AS hops FROM f WHERE node BETWEEN 2000000 AND 2999999 GROUP BY 1, 2", "fx_nodes")
 def gr_route(s, d):
-    """Hops of the shortest valley-free route between customers."""
+    """Hops of the shortest valley-free route between nations."""
     return graph.routes(fx.edges(s, d), _pairs(s, d)).select("src", "dst", "hops")
 
 
@@ -112,9 +112,9 @@ def gr_route_paths(s, d):
 @query()
 def join_search_route(s, d):
     """A route over several waypoints: a leg between each two, put end to end."""
-    c = fx.nodes(s, d).where("node BETWEEN 4000001 AND 4000005").select("node")
+    c = fx.nodes(s, d).where("node BETWEEN 2000000 AND 2999999").select("node")
     legs = c.select(F.col("node").alias("src")).join(c.select(F.col("node").alias("dst")), F.col("dst") == F.col("src") + 1)
-    return graph.routes_with_fallback(fx.edges(s, d), legs).select("src", F.posexplode("nodes").alias("i", "node")).where("i > 0 OR src = 4000001")
+    return graph.routes_with_fallback(fx.edges(s, d), legs).select("src", F.posexplode("nodes").alias("i", "node")).where("i > 0 OR src = 2000000")
 
 
 @query()

@@ -62,6 +62,18 @@ def join_lpm(s, d):
     return intervals.longest_prefix(_senders(s, d), "n", _pop_table(s, d))
 
 
+@query()
+def join_lpm_any(s, d):
+    """Senders of both families with their longest prefix of the PoP feed."""
+    from weftline.functions.net import address_bytes, cidr
+
+    p = table(s, d, "pops").withColumn("p", cidr("c0")).where("p.version IS NOT NULL")
+    wide = F.col("p.plen") + F.when(F.col("p.version") == 4, 96).otherwise(0)
+    t = p.groupBy(F.col("p.lo").alias("lo"), wide.alias("plen")).agg(F.min("p.text").alias("prefix"), F.min(F.lower(F.trim("c1"))).alias("pop"))
+    a = table(s, d, "pings").select("rec_id", address_bytes("from_addr").alias("a"))
+    return intervals.longest_prefix_any(a, "a", t).select("rec_id", "prefix", "pop")
+
+
 @query(f"WITH {_POPS4} SELECT w.lo, w.plen, count(*) AS inside, min(t4.pop) AS first_pop FROM (SELECT DISTINCT lo - lo % 65536 AS lo, 16 AS plen FROM t4) w JOIN t4 ON t4.lo BETWEEN w.lo AND w.lo + 65535 AND t4.plen >= w.plen GROUP BY ALL")
 def join_covers(s, d):
     """Rows of the table inside wider prefixes that it doesn't have itself."""
@@ -71,10 +83,10 @@ def join_covers(s, d):
     return j.groupBy("lo", "plen").agg(F.count("*").alias("inside"), F.min("pop").alias("first_pop"))
 
 
-@query("SELECT o.o_orderkey, p.asn FROM orders o ASOF LEFT JOIN (SELECT start + asn % 5 AS start, asn FROM fx_prefix WHERE asn % 3 = 0) p ON o.o_orderkey >= p.start", "fx_prefix")
+@query("SELECT o.o_orderkey, p.asn FROM orders o ASOF LEFT JOIN (SELECT start + asn % 5 AS start, asn FROM fx_prefix) p ON o.o_orderkey >= p.start", "fx_prefix")
 def join_point_range(s, d):
     """The owner of the last boundary at or before each number."""
-    marks = fx.prefixes(s, d).where("asn % 3 = 0").select((F.col("start") + F.col("asn") % 5).alias("at"), "asn")
+    marks = fx.prefixes(s, d).select((F.col("start") + F.col("asn") % 5).alias("at"), "asn")
     return intervals.last_before(table(s, d, "orders").select("o_orderkey"), marks, "o_orderkey", "at", "asn", cell=4096)
 
 
@@ -152,11 +164,11 @@ def join_place(s, d):
     return j.select("id", F.coalesce("c", "r", "k").alias("lat"), F.when(F.col("c").isNotNull(), "city").when(F.col("r").isNotNull(), "region").when(F.col("k").isNotNull(), "country").alias("exactness"))
 
 
-@query("WITH pop AS (SELECT node AS pop, lat AS plat, lon AS plon FROM fx_node_pos WHERE node BETWEEN 2000000 AND 2000011) SELECT eid, pop FROM (SELECT eid, pop, row_number() OVER (PARTITION BY eid ORDER BY floor((cos(radians(plat)) * cos(radians(plon)) * cos(radians(lat)) * cos(radians(lon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(lat)) * sin(radians(lon)) + sin(radians(plat)) * sin(radians(lat))) * 1e9 + 0.5) DESC, pop) AS k FROM fx_edges JOIN fx_node_pos ON node = b, pop) WHERE k = 1", "fx_edges fx_node_pos")
+@query("WITH pop AS (SELECT node AS pop, lat AS plat, lon AS plon FROM fx_node_pos WHERE node BETWEEN 2000000 AND 2999999) SELECT eid, pop FROM (SELECT eid, pop, row_number() OVER (PARTITION BY eid ORDER BY floor((cos(radians(plat)) * cos(radians(plon)) * cos(radians(lat)) * cos(radians(lon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(lat)) * sin(radians(lon)) + sin(radians(plat)) * sin(radians(lat))) * 1e9 + 0.5) DESC, pop) AS k FROM fx_edges JOIN fx_node_pos ON node = b, pop) WHERE k = 1", "fx_edges fx_node_pos")
 def join_nearest_dot(s, d):
-    """For each link the PoP (of a dozen) that faces its far end, by the largest dot product."""
+    """For each link the PoP that faces its far end, by the largest dot product."""
     pos = fx.node_positions(s, d)
-    pop = pos.where("node BETWEEN 2000000 AND 2000011").select(F.col("node").alias("pop"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    pop = pos.where("node BETWEEN 2000000 AND 2999999").select(F.col("node").alias("pop"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
     e = fx.edges(s, d).join(pos.withColumnRenamed("node", "b"), "b")
     return intervals.nearest_k(e, pop, ["eid"], -F.floor(geo.nearness("plat", "plon", "lat", "lon") * 1e9 + 0.5), ["pop"]).select("eid", "pop")
 
@@ -233,9 +245,9 @@ def join_crosscheck(s, d):
     return coded.select("id", "twin", "how").union(best)
 
 
-@query("SELECT eid, coalesce(p.lat, 0.0) AS alat, coalesce(q.lat, 0.0) AS blat FROM fx_edges LEFT JOIN (SELECT * FROM fx_node_pos WHERE node % 2 = 0) p ON p.node = a LEFT JOIN (SELECT * FROM fx_node_pos WHERE node % 2 = 0) q ON q.node = b", "fx_edges fx_node_pos")
+@query("SELECT eid, coalesce(p.lat, 0.0) AS alat, coalesce(q.lat, 0.0) AS blat FROM fx_edges LEFT JOIN (SELECT * FROM fx_node_pos WHERE node < 4000000) p ON p.node = a LEFT JOIN (SELECT * FROM fx_node_pos WHERE node < 4000000) q ON q.node = b", "fx_edges fx_node_pos")
 def join_route_ends(s, d):
-    p = fx.node_positions(s, d).where("node % 2 = 0")
+    p = fx.node_positions(s, d).where("node < 4000000")  # customers have no PoP
     e = fx.edges(s, d).join(p.select(F.col("node").alias("a"), F.col("lat").alias("alat")), "a", "left").join(p.select(F.col("node").alias("b"), F.col("lat").alias("blat")), "b", "left")
     return e.select("eid", F.coalesce("alat", F.lit(0.0)).alias("alat"), F.coalesce("blat", F.lit(0.0)).alias("blat"))
 
@@ -573,9 +585,9 @@ def win_sunflower(s, d):
     return profiles.fan_out(fx.node_positions(s, d).join(g, "node"), "node", "degree").select("node", fixed("lat").alias("lat"), fixed("lon").alias("lon"))
 
 
-@query("""WITH r AS (SELECT start - asn % 9 AS s, "end" + asn % 23 AS e, asn AS o FROM fx_prefix WHERE asn % 4 <> 0), w AS (SELECT *, coalesce(max(e) OVER (ORDER BY s, e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b FROM r WHERE s >= 0), k AS (SELECT greatest(s, b + 1) AS s, e, o, b FROM w WHERE e > b), m AS (SELECT s AS x, o FROM k UNION ALL SELECT b + 1, 0 FROM k WHERE s > b + 1 UNION ALL SELECT max(e) + 1, 0 FROM w), c AS (SELECT x, o, lag(o) OVER (ORDER BY x) AS p FROM m) SELECT x AS start, o AS asn FROM c WHERE p IS NULL OR p <> o""", "fx_prefix")
+@query("""WITH r AS (SELECT greatest(start - asn % 9, 0) AS s, "end" + asn * 7 % 23 - 11 AS e, asn AS o FROM fx_prefix), w AS (SELECT *, coalesce(max(e) OVER (ORDER BY s, e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b FROM r), k AS (SELECT greatest(s, b + 1) AS s, e, o, b FROM w WHERE e > b), m AS (SELECT s AS x, o FROM k UNION ALL SELECT b + 1, 0 FROM k WHERE s > b + 1 UNION ALL SELECT max(e) + 1, 0 FROM w), c AS (SELECT x, o, lag(o) OVER (ORDER BY x) AS p FROM m) SELECT x AS start, o AS asn FROM c WHERE p IS NULL OR p <> o""", "fx_prefix")
 def win_boundaries(s, d):
-    p = fx.prefixes(s, d).where("asn % 4 <> 0").select((F.col("start") - F.col("asn") % 9).alias("start"), (F.col("end") + F.col("asn") % 23).alias("end"), "asn").where("start >= 0")
+    p = fx.prefixes(s, d).select(F.greatest(F.col("start") - F.col("asn") % 9, F.lit(0)).alias("start"), (F.col("end") + F.col("asn") * 7 % 23 - 11).alias("end"), "asn")
     return intervals.boundaries(p, cell=1024)
 
 
@@ -698,11 +710,11 @@ def set_cover(s, d):
     return s.sql("SELECT network, plen FROM wl_cover, LATERAL range_cidrs(start, last)")
 
 
-@query("SELECT c_custkey AS k, 0 AS part FROM customer WHERE c_custkey < 50 UNION ALL SELECT o_custkey, 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey < 500) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50)")
+@query("SELECT c_custkey AS k, 0 AS part FROM customer WHERE c_acctbal > 0 UNION ALL SELECT o_custkey, 1 FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def set_append(s, d):
     """What is shown, in order, and then what is missing from it."""
-    a = table(s, d, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("k"))
-    b = table(s, d, "orders").where("o_orderkey < 500").select(F.col("o_custkey").alias("k")).distinct()
+    a = table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    b = table(s, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
     return a.withColumn("part", F.lit(0)).union(b.join(a, "k", "left_anti").withColumn("part", F.lit(1)))
 
 

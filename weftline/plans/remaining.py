@@ -68,13 +68,13 @@ def src_peeringdb(s, d):
     return table(s, d, "part").join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
-@query("SELECT count(*) AS frames FROM (SELECT * FROM ris_frames WHERE delivery_id < 2000)")
+@query("SELECT count(*) AS frames FROM ris_frames")
 def src_ris_live(s, d):
     """A feed's frames as a stream."""
     connectors.register(s)
     out, sink = staged_path(s, "frames"), staged_path(s, "frames-out")
-    table(s, d, "ris_frames").where("delivery_id < 2000").orderBy("delivery_id").select(F.to_json(F.struct("delivery_id", "frame_type")).alias("value")).coalesce(1).write.text(out)
-    stream = s.readStream.format("frame_feed").options(url=_files(s, out, ".txt")[0], framesAtOnce="700").load()
+    table(s, d, "ris_frames").orderBy("delivery_id").select(F.to_json(F.struct("delivery_id", "frame_type")).alias("value")).coalesce(1).write.text(out)
+    stream = s.readStream.format("frame_feed").options(url=_files(s, out, ".txt")[0], framesAtOnce="2500").load()
     q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", staged_path(s, "frames-progress")).start()
     try:
         q.processAllAvailable()

@@ -163,10 +163,10 @@ def fn_prefix_key(s, d):
     return global_rank(_pop_prefixes(s, d).select("lo", "plen").distinct(), [F.col("lo"), F.col("plen")], "place")
 
 
-@query("WITH t AS (SELECT DISTINCT city FROM regions WHERE regexp_matches(city, '^[A-Za-z ]+$')) SELECT city, regexp_replace(regexp_replace(lower(city), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9]', '', 'g') AS folded FROM t")
+@query("WITH t AS (SELECT DISTINCT municipality AS name FROM airports WHERE municipality IS NOT NULL) SELECT name, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '\\([^)]*\\)', '', 'g'), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9]', '', 'g') AS folded FROM t")
 def fn_fold(s, d):
-    c = table(s, d, "regions").where(F.col("city").rlike("^[A-Za-z ]+$")).select("city").distinct()
-    return c.select("city", text.fold_name("city").alias("folded"))
+    c = table(s, d, "airports").where("municipality IS NOT NULL").select(F.col("municipality").alias("name")).distinct()
+    return c.select("name", text.fold_name("name").alias("folded"))
 
 
 _REGIONS = {"XA": "north", "XB": "north", "XC": "south", "XD": "south", "XE": "east", "QR": "west", "QV": "west"}

@@ -241,13 +241,13 @@ def src_itdk_links(s, d):
     return feeds.router_links(_lines(li, F.concat(F.lit("link L"), "l_orderkey", F.lit(":  "), F.array_join("n", " ")), F.col("l_orderkey")))
 
 
-@query("SELECT snap, count(DISTINCT trim(c0)) AS n FROM pops WHERE regexp_matches(trim(c0), '^240[.][0-9.]+0/2[0-9]$') AND nullif(trim(c1), '') IS NOT NULL AND snap = (SELECT min(snap) FROM pops) GROUP BY 1")
+@query()
 def src_pops(s, d):
-    p = table(s, d, "pops").where(F.trim("c0").rlike("^240[.][0-9.]+0/2[0-9]$"))
-    first = F.broadcast(p.agg(F.min("snap").alias("snap")))
-    lines = p.join(first, "snap").select("snap", F.col("line_no").alias("line"), F.concat_ws(",", F.trim("c0"), "c1", "c2").alias("value"), F.trim("c0").alias("c0"))
-    feed = feeds.pop_feed(lines.select("line", "value"))
-    return first.crossJoin(feed.agg(F.count("*").alias("n")))
+    """The PoP feed of the latest delivery, both families: canonical prefixes, the first line of each."""
+    p = table(s, d, "pops")
+    latest = F.broadcast(p.agg(F.max("snap").alias("snap")))
+    lines = p.join(latest, "snap").select(F.col("line_no").alias("line"), F.concat_ws(",", "c0", F.coalesce("c1", F.lit("")), F.coalesce("c2", F.lit(""))).alias("value"))
+    return feeds.pop_feed(lines).select("prefix", "pop", "iata")
 
 
 @query()
@@ -300,11 +300,12 @@ def src_traceroute(s, d):
     return feeds.trace_hops(trace_replies(s, d)).select("rec_id", "hop_pos", "hop", "ip", fixed("rtt", 3).alias("rtt"), "replies")
 
 
-@query("SELECT e.event_id, (e.event_id % 200 + 1)::INT AS hop FROM events e WHERE e.event_id % 2 = 0 AND e.event_id < 400")
+@query("SELECT user_id AS trace, event_id, hop FROM (SELECT user_id, event_id, (event_id % 200 + 1)::INT AS hop, lag((event_id % 200 + 1)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type <> 'view') WHERE p IS DISTINCT FROM hop")
 def src_trace_text(s, d):
-    e = table(s, d, "events").where("event_id < 400")
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("  "), F.col("event_id") % 200 + 1, F.lit("  core-10-1-2-3.example.net (10.1.2.3)  1.5 ms"))).otherwise(F.lit("traceroute to example"))
-    return feeds.pasted_trace(_lines(e, text, F.col("event_id"))).select(F.col("line").alias("event_id"), "hop")
+    """A pasted trace for each user: a hop for each event, other lines for views."""
+    hop = F.concat(F.lit("  "), F.col("event_id") % 200 + 1, F.lit("  core-10-1-2-3.example.net (10.1.2.3)  1.5 ms"))
+    lines = table(s, d, "events").select(F.col("user_id").alias("trace"), F.col("event_id").alias("line"), F.when(F.col("event_type") == "view", "traceroute to example").otherwise(hop).alias("value"))
+    return feeds.pasted_trace(lines).select("trace", F.col("line").alias("event_id"), "hop")
 
 
 @query("SELECT event_id, ts FROM events")

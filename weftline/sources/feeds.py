@@ -148,18 +148,17 @@ def trace_hops(replies: DataFrame) -> DataFrame:
     return best.join(mid, ["rec_id", "hop_pos"], "left").select("rec_id", "hop_pos", "hop", F.col("k.from_addr").alias("ip"), "rtt", "replies")
 
 
-def pasted_trace(lines: DataFrame) -> DataFrame:
-    """(line, hop, ip, host) of a pasted traceroute: the first address of a line; lines that go on with the same hop are dropped."""
+def pasted_trace(lines: DataFrame, trace: str = "trace") -> DataFrame:
+    """(trace, line, hop, ip, host) of pasted traceroutes (``trace`` tells them apart): the first address of a line; lines that go on with the same hop are dropped."""
     head = r"^\s*(\d{1,3})(?:\.\|--|\.|\s)\s*(.*)$"
-    p = lines.select("line", F.regexp_extract("value", head, 1).try_cast("int").alias("hop"), F.regexp_extract("value", head, 2).alias("rest")).where("hop IS NOT NULL").where(~F.lower("rest").rlike("^(traceroute|tracing)"))
+    p = lines.select(trace, "line", F.regexp_extract("value", head, 1).try_cast("int").alias("hop"), F.regexp_extract("value", head, 2).alias("rest")).where("hop IS NOT NULL").where(~F.lower("rest").rlike("^(traceroute|tracing)"))
     quad = r"(?:^|[^\d.])(\d{1,3}(?:\.\d{1,3}){3})(?:[^\d.]|$)"
     dashed = r"(?:^|[^\d])(\d{1,3}-\d{1,3}-\d{1,3}-\d{1,3})(?:[^\d]|$)"
     name = F.nullif(F.regexp_extract("rest", r"([A-Za-z0-9][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,})\b", 1), F.lit(""))
     lit = F.nullif(F.regexp_extract("rest", quad, 1), F.lit(""))
     dash = F.nullif(F.regexp_replace(F.regexp_extract(name, dashed, 1), "-", "."), F.lit(""))
-    p = p.select("line", "hop", F.coalesce(lit, dash).alias("ip"), F.coalesce(name, F.lit("")).alias("host"))
-    # one pasted text is a screenful of lines
-    prev = F.lag("hop").over(Window.partitionBy(F.lit(0)).orderBy("line"))
+    p = p.select(trace, "line", "hop", F.coalesce(lit, dash).alias("ip"), F.coalesce(name, F.lit("")).alias("host"))
+    prev = F.lag("hop").over(Window.partitionBy(trace).orderBy("line"))
     return p.withColumn("prev", prev).where("prev IS NULL OR prev <> hop").drop("prev")
 
 
