@@ -265,3 +265,14 @@ def test_longest_prefix_of_both_families(spark):
     a = spark.createDataFrame([(1, "10.1.2.3"), (2, "10.2.2.3"), (3, "2001:db8:1::5"), (4, "2001:db8:2::5"), (5, "::1"), (6, None), (7, "junk")], "i int, ip string").withColumn("a", net.address_bytes("ip"))
     got = rows(intervals.longest_prefix_any(a, "a", t).select("i", "pop"))
     assert got == [(1, "b"), (2, "a"), (3, "d"), (4, "c"), (5, None), (6, None), (7, None)]
+
+
+def test_array_kernels_equal_the_joins(spark):
+    for seed in (7, 8):
+        e, _, df = _random_graph(spark, 60, 110, seed)
+        roots = spark.createDataFrame([(i, x[0]) for i, x in enumerate(e[:6])] + [(9, 10_000)], "tree int, node long")
+        down = df.withColumn("rel", F.lit(-1))
+        for f in (lambda k: graph.coreness(df, kernel=k), lambda k: graph.customer_cones(down, kernel=k), lambda k: graph.sample_trees(df, roots, kernel=k)):
+            assert rows(f(None)) == rows(f(False))
+    none = df.where("eid < 0")
+    assert graph.customer_cones(none).count() == 0 and graph.coreness(none).count() == 0 and graph.sample_trees(none, roots).count() == 0

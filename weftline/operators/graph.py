@@ -6,11 +6,46 @@ executor costs only the step it was in. Link numbers (eid) break every tie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import staged
 
+KERNEL_LINKS = 1_000_000  # links of a graph that is sent whole to the executors: 24 bytes each
+
+
+class Compact:
+    """A graph of counted size as arrays: node numbers, and for each node its links as (other end, place in eid order)."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, eid: np.ndarray, both: bool):
+        o = np.argsort(eid, kind="stable")
+        a, b, self.eid = a[o], b[o], eid[o]
+        self.ids = np.unique(np.r_[a, b])
+        x, y = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        k = np.arange(len(x))
+        if both:
+            x, y, k = np.r_[x, y], np.r_[y, x], np.r_[k, k]
+        o = np.argsort(x, kind="stable")
+        self.to, self.link = y[o].astype(np.int32), k[o].astype(np.int32)
+        self.first = np.searchsorted(x[o], np.arange(len(self.ids) + 1))
+
+    def beside(self, nodes: np.ndarray) -> np.ndarray:
+        """Places of all links of the nodes."""
+        n = self.first[nodes + 1] - self.first[nodes]
+        return np.repeat(self.first[nodes] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def compact(edges: DataFrame, both: bool = True) -> Compact | None:
+    """The graph as arrays if it has at most KERNEL_LINKS links, which is counted first; None if it is larger."""
+    if edges.count() > KERNEL_LINKS:
+        return None
+    p = edges.select("a", "b", "eid").toPandas()
+    return Compact(p["a"].to_numpy(np.int64), p["b"].to_numpy(np.int64), p["eid"].to_numpy(np.int64), both)
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, eid, rel, down): each link from both its ends; ``down`` if it goes from provider to customer."""
@@ -33,11 +68,39 @@ def place_edges(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return edges.join(p, "a").join(q, "b")
 
 
-def customer_cones(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def customer_cones(edges: DataFrame, rounds: int = 100, kernel: bool | None = None) -> DataFrame:
     """(node, cone): how many nodes a node reaches by going down to customers, itself included; cycles are no trouble.
 
-    Semi-naive closure: each round extends only the pairs that the last one found. The result's pairs are its size: the sum of all cones.
+    A graph of counted size goes to all executors, which search from their share of the nodes. A larger one takes the semi-naive closure:
+    each round extends only the pairs that the last one found; its pairs are the sum of all cones.
     """
+    graph = compact(edges.where(F.col("rel") == -1), False) if kernel is not False else None
+    if graph is not None:
+        sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = sent.value
+            seen = np.full(len(g.ids), -1)
+            for batch in batches:
+                at = np.searchsorted(g.ids, batch["node"].to_numpy())
+                at = np.minimum(at, max(len(g.ids) - 1, 0))
+                cone = np.ones(len(batch), np.int64)
+                for i, (v, node) in enumerate(zip(at, batch["node"], strict=True)):
+                    if not len(g.ids) or g.ids[v] != node or g.first[v] == g.first[v + 1]:
+                        continue
+                    layer, n = np.array([v]), 1
+                    seen[v] = v
+                    while len(layer):
+                        new = g.to[g.beside(layer)]
+                        layer = np.unique(new[seen[new] != v])
+                        seen[layer] = v
+                        n += len(layer)
+                    cone[i] = n
+                yield pd.DataFrame({"node": batch["node"], "cone": cone})
+
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        # by a hash of the node, so that neighbours in number don't share a task
+        return nodes.repartition(edges.sparkSession.sparkContext.defaultParallelism * 4, F.xxhash64("node")).mapInPandas(search, "node long, cone long")
     down = edges.where(F.col("rel") == -1).select(F.col("a").alias("mid"), F.col("b").alias("low")).distinct()
     down = staged(down, "down")
     # a node without customers is its own cone and nobody's middle
@@ -55,11 +118,34 @@ def customer_cones(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return nodes.join(counts, "node", "left").select("node", F.coalesce("cone", F.lit(1).cast("long")).alias("cone"))
 
 
-def coreness(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, core): k-core numbers, as the fixpoint of the h-index of the neighbours' values.
+def coreness(edges: DataFrame, rounds: int = 200, kernel: bool | None = None) -> DataFrame:
+    """(node, core): k-core numbers. A graph of counted size is peeled in one task; of a larger one they are the fixpoint of the h-index of
+    the neighbours' values.
 
     The h-index comes from counts by value, so a hub's neighbours are never gathered.
     """
+    graph = compact(edges.where("a <> b")) if kernel is not False else None
+    if graph is not None:
+        sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+        def peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    g = sent.value
+                    degree = np.diff(g.first)
+                    core, alive, k = np.zeros(len(g.ids), np.int64), np.ones(len(g.ids), bool), 0
+                    while alive.any():
+                        k = max(k, int(degree[alive].min()))
+                        go = np.flatnonzero(alive & (degree <= k))
+                        while len(go):
+                            core[go], alive[go] = k, False
+                            near = g.to[g.beside(go)]
+                            degree = degree - np.bincount(near, minlength=len(degree))
+                            near = np.unique(near)
+                            go = near[alive[near] & (degree[near] <= k)]
+                    yield pd.DataFrame({"node": g.ids, "core": core})
+
+        return edges.sparkSession.range(1).coalesce(1).mapInPandas(peel, "node long, core long")
     links = both_ways(edges.where("a <> b")).select("node", "other", "eid")
     links = staged(links, "links")
     value = staged(links.groupBy("node").agg(F.count("*").alias("core")), "core")
@@ -129,11 +215,44 @@ def spanning_forest(edges: DataFrame, cost: str, rounds: int = 40) -> DataFrame:
     return chosen.distinct()
 
 
-def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int = 200) -> DataFrame:
+def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int = 200, kernel: bool | None = None) -> DataFrame:
     """(eid, rank): the least tree number among the breadth-first trees of ``roots`` (tree, node) that use a link.
 
-    All trees grow together, one hop a round; a node's parent link is the one with the lowest eid from the layer before.
+    A node's parent link is the one with the lowest eid from the layer before. Over a graph of counted size each tree is grown by itself, in
+    parallel; over a larger one all trees grow together, one hop a round.
     """
+    graph = compact(edges) if kernel is not False else None
+    if graph is not None:
+        sent = edges.sparkSession.sparkContext.broadcast(graph)
+
+        def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = sent.value
+            for batch in batches:
+                best = np.full(len(g.eid), np.iinfo(np.int64).max)
+                for tree, node in zip(batch["tree"], batch["node"], strict=True):
+                    v = int(np.searchsorted(g.ids, node))
+                    if v == len(g.ids) or g.ids[v] != node:
+                        continue
+                    seen, layer = np.zeros(len(g.ids), bool), np.array([v])
+                    seen[v] = True
+                    while len(layer):
+                        at = g.beside(layer)
+                        to, link = g.to[at], g.link[at]
+                        new = ~seen[to]
+                        to, link = to[new], link[new]
+                        o = np.lexsort((link, to))
+                        to, link = to[o], link[o]
+                        head = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
+                        best[link[head]] = np.minimum(best[link[head]], tree)
+                        layer = to[head]
+                        seen[layer] = True
+                used = np.flatnonzero(best < np.iinfo(np.int64).max)
+                yield pd.DataFrame({"eid": g.eid[used], "rank": best[used].astype(np.int32)})
+
+        kind = roots.schema["tree"].dataType.simpleString()
+        spread = roots.select("tree", "node").distinct().repartition(edges.sparkSession.sparkContext.defaultParallelism * 2, "tree")
+        part = spread.mapInPandas(grow, "eid long, rank int")
+        return part.groupBy("eid").agg(F.min("rank").cast(kind).alias("rank"))
     links = staged(both_ways(edges).select("node", "other", "eid"), "links")
     seen = staged(roots.select("tree", "node").distinct(), "seen")
     layer, used = seen, None
