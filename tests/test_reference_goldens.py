@@ -274,5 +274,9 @@ def test_array_kernels_equal_the_joins(spark):
         down = df.withColumn("rel", F.lit(-1))
         for f in (lambda k: graph.coreness(df, kernel=k), lambda k: graph.customer_cones(down, kernel=k), lambda k: graph.sample_trees(df, roots, kernel=k)):
             assert rows(f(None)) == rows(f(False))
+        mixed = df.withColumn("rel", (F.col("eid") % 3 - 1).cast("int"))
+        pairs = spark.createDataFrame([(x[0], y[1]) for x in e[:8] for y in e[-8:]] + [(e[0][0], 10_000), (10_000, e[0][0])], "src long, dst long")
+        for vf in (True, False):
+            assert rows(graph.routes(mixed, pairs, valley_free=vf)) == rows(graph.routes(mixed, pairs, valley_free=vf, kernel=False))
     none = df.where("eid < 0")
     assert graph.customer_cones(none).count() == 0 and graph.coreness(none).count() == 0 and graph.sample_trees(none, roots).count() == 0

@@ -21,16 +21,17 @@ KERNEL_LINKS = 1_000_000  # links of a graph that is sent whole to the executors
 class Compact:
     """A graph of counted size as arrays: node numbers, and for each node its links as (other end, place in eid order)."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, eid: np.ndarray, both: bool):
+    def __init__(self, a: np.ndarray, b: np.ndarray, eid: np.ndarray, rel: np.ndarray, both: bool):
         o = np.argsort(eid, kind="stable")
-        a, b, self.eid = a[o], b[o], eid[o]
+        a, b, self.eid, rel = a[o], b[o], eid[o], rel[o]
         self.ids = np.unique(np.r_[a, b])
         x, y = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
-        k = np.arange(len(x))
+        k, down = np.arange(len(x)), np.ones(len(x), bool)
         if both:
-            x, y, k = np.r_[x, y], np.r_[y, x], np.r_[k, k]
+            x, y, k, down = np.r_[x, y], np.r_[y, x], np.r_[k, k], np.r_[down, ~down]
         o = np.argsort(x, kind="stable")
-        self.to, self.link = y[o].astype(np.int32), k[o].astype(np.int32)
+        self.to, self.link, self.down = y[o].astype(np.int32), k[o].astype(np.int32), down[o]
+        self.rel = rel[self.link].astype(np.int8)
         self.first = np.searchsorted(x[o], np.arange(len(self.ids) + 1))
 
     def beside(self, nodes: np.ndarray) -> np.ndarray:
@@ -43,8 +44,8 @@ def compact(edges: DataFrame, both: bool = True) -> Compact | None:
     """The graph as arrays if it has at most KERNEL_LINKS links, which is counted first; None if it is larger."""
     if edges.count() > KERNEL_LINKS:
         return None
-    p = edges.select("a", "b", "eid").toPandas()
-    return Compact(p["a"].to_numpy(np.int64), p["b"].to_numpy(np.int64), p["eid"].to_numpy(np.int64), both)
+    p = edges.select("a", "b", "eid", "rel").toPandas()
+    return Compact(*[p[c].to_numpy(np.int64) for c in ("a", "b", "eid", "rel")], both)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -268,12 +269,62 @@ def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int = 200, kernel:
     return used
 
 
-def routes(edges: DataFrame, pairs: DataFrame, rounds: int = 60, valley_free: bool = True) -> DataFrame:
+def _routes_kernel(graph: Compact, pairs: DataFrame, valley_free: bool) -> DataFrame:
+    """:func:`routes` over arrays: one search over (phase, node) for each source, for all its targets."""
+    spark = pairs.sparkSession
+    sent = spark.sparkContext.broadcast(graph)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        n = len(g.ids)
+        for batch in batches:
+            out = []
+            for src, part in batch.groupby("src"):
+                out += [(src, src, [src]) for d in part["dst"] if d == src]
+                v = int(np.searchsorted(g.ids, src))
+                if v == n or g.ids[v] != src:
+                    continue
+                place = np.minimum(np.searchsorted(g.ids, part["dst"].to_numpy()), n - 1)
+                want = {int(i) for i, d in zip(place, part["dst"], strict=True) if g.ids[i] == d and d != src}
+                before, seen, layer = np.full(2 * n, -1), np.zeros(2 * n, bool), np.array([v])
+                seen[v] = True
+                while len(layer) and want:
+                    p, u = layer // n, layer % n
+                    count, at = g.first[u + 1] - g.first[u], g.beside(u)
+                    pp, uu, rel, down = np.repeat(p, count), np.repeat(u, count), g.rel[at], g.down[at]
+                    once = np.where(pp == 0, np.where(rel == 0, 1, 0), -1)
+                    to = np.where(rel == 1, pp, np.where((rel == 0) | ((rel == -1) & ~down), once, 1)) if valley_free else np.zeros(len(at), int)
+                    t = to * n + g.to[at]
+                    ok = (to >= 0) & ~seen[t]
+                    t, pp, uu, link = t[ok], pp[ok], uu[ok], g.link[at][ok]
+                    o = np.lexsort((link, uu, pp, t))
+                    t = t[o]
+                    head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, int)
+                    layer = t[head]
+                    before[layer] = (pp * n + uu)[o][head]
+                    seen[layer] = True
+                    for w in sorted({int(x) for x in layer % n} & want):
+                        state, path = (w if seen[w] else w + n), []
+                        while state >= 0:
+                            path.append(int(g.ids[state % n]))
+                            state = int(before[state])
+                        out.append((src, int(g.ids[w]), path[::-1]))
+                        want.discard(w)
+            yield pd.DataFrame(out, columns=["src", "dst", "nodes"])
+
+    spread = pairs.select("src", "dst").distinct().repartition(spark.sparkContext.defaultParallelism, "src")
+    return spread.mapInPandas(walk, "src long, dst long, nodes array<long>").select("src", "dst", (F.size("nodes") - 1).alias("hops"), "nodes")
+
+
+def routes(edges: DataFrame, pairs: DataFrame, rounds: int = 60, valley_free: bool = True, kernel: bool | None = None) -> DataFrame:
     """(src, dst, hops, nodes): shortest routes for ``pairs`` (src, dst) that climb to providers, cross one peer link at most, and go down.
 
     Links within one network fit anywhere. Breadth-first over (node, phase), all pairs together; of equal steps the lowest state and eid holds.
-    Pairs without route are missing.
+    Pairs without route are missing. A graph of counted size is searched as arrays, a source at a time, in parallel.
     """
+    graph = compact(edges) if kernel is not False else None
+    if graph is not None:
+        return _routes_kernel(graph, pairs, valley_free)
     links = staged(both_ways(edges).select("node", "other", "eid", "rel", "down"), "links")
     start = pairs.select("src", "dst").distinct()
     layer = staged(start.select("src", "dst", F.col("src").alias("node"), F.lit(0).alias("phase"), F.array("src").alias("nodes")), "layer")
@@ -307,7 +358,7 @@ def routes(edges: DataFrame, pairs: DataFrame, rounds: int = 60, valley_free: bo
 
 def routes_with_fallback(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Routes with ``valley_free``: where none is valley-free, the plain shortest path."""
-    vf = routes(edges, pairs).withColumn("valley_free", F.lit(True))
+    vf = staged(routes(edges, pairs), "routes").withColumn("valley_free", F.lit(True))
     rest = pairs.select("src", "dst").distinct().join(vf, ["src", "dst"], "left_anti")
     return vf.unionByName(routes(edges, rest, valley_free=False).withColumn("valley_free", F.lit(False)))
 
