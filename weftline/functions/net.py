@@ -91,6 +91,13 @@ def cidr(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["version", "lo", "hi", "plen", "text"]).astype({"version": "Int32", "plen": "Int32"})
 
 
+@F.pandas_udf(T.BinaryType())
+def first_bits(addresses: pd.Series, bits: pd.Series) -> pd.Series:
+    """Addresses of 16 bytes cut to their first bits; an IPv4 prefix's length counts 96 more."""
+    cut = lambda a, k: None if a is None or pd.isna(k) else (int.from_bytes(a, "big") >> (128 - int(k)) << (128 - int(k))).to_bytes(16, "big")
+    return pd.Series([cut(a, k) for a, k in zip(addresses, bits, strict=True)], dtype=object)
+
+
 def contains(lo, hi, address) -> Column:
     return col(address).between(col(lo), col(hi))
 

@@ -85,6 +85,24 @@ def longest_prefix_any(probes: DataFrame, address: str, table: DataFrame, lo: st
     return probes.join(best, F.col(address) == F.col("__a"), "left").select(*probes.columns, *[F.col("__row")[c].alias(n) for c, n in names.items()])
 
 
+def prefixes_inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Every prefix of ``inner`` inside one of ``outer``, itself included: (version, lo, plen) as :func:`net.cidr` gives them, inner's other columns with ``b_``.
+
+    Each inner prefix is cut to every length that the outer ones of its family have, at most its own, and joined by equality.
+    """
+    from weftline.functions.net import first_bits
+
+    # lengths that occur: at most 33 and 129 numbers
+    have = outer.select("version", "plen").distinct().collect()
+    of = lambda v: F.array(*[F.lit(r.plen) for r in have if r.version == v] or [F.lit(None).cast("int")])
+    wider = F.filter(F.when(F.col("version") == 4, of(4)).otherwise(of(6)), lambda k: k <= F.col("plen"))
+    b = inner.withColumn("__n", F.explode(wider))
+    b = b.withColumn("__lo", first_bits("lo", F.col("__n") + F.when(F.col("version") == 4, 96).otherwise(0)))
+    b = b.select(F.col("version").alias("__v"), "__n", "__lo", *[F.col(c).alias(f"b_{c}") for c in inner.columns])
+    hit = (F.col("version") == F.col("__v")) & (F.col("plen") == F.col("__n")) & (F.col("lo") == F.col("__lo"))
+    return outer.join(b, hit).drop("__v", "__n", "__lo")
+
+
 def last_before(left: DataFrame, right: DataFrame, at: str, right_at: str, value: str, by: list[str] = (), cell: int = 1 << 16, strict: bool = False, forward: bool = False) -> DataFrame:
     """As-of join: each left row with the value of the last right row at or before it (``forward``: the first at or after it), by group.
 

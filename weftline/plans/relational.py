@@ -51,6 +51,14 @@ def _pop_table(s, d):
     return p.groupBy("p.lo", "p.plen").agg(F.min(F.lower(F.trim("c1"))).alias("pop"))
 
 
+def _pop_rows(s, d):
+    """(snap, version, lo, plen, text, pop): rows of the PoP feed with a prefix of either family, canonical."""
+    from weftline.functions.net import cidr
+
+    p = table(s, d, "pops").withColumn("p", cidr("c0")).where("p.version IS NOT NULL")
+    return p.select("snap", "p.version", "p.lo", "p.plen", "p.text", F.lower(F.trim("c1")).alias("pop"))
+
+
 def _senders(s, d):
     from weftline.functions.net import ipv4_number
 
@@ -76,13 +84,27 @@ def join_lpm_any(s, d):
 
 @query(f"WITH {_POPS4} SELECT w.lo, w.plen, count(*) AS inside, min(t4.pop) AS first_pop FROM (SELECT DISTINCT lo - lo % 65536 AS lo, 16 AS plen FROM t4) w JOIN t4 ON t4.lo BETWEEN w.lo AND w.lo + 65535 AND t4.plen >= w.plen GROUP BY ALL")
 def join_covers(s, d):
-    """Rows of the table inside wider prefixes that it doesn't have itself."""
+    """Rows of the table inside wider prefixes that it doesn't have itself. IPv4 only, as its SQL; both families: join_covers_any."""
     t = _pop_table(s, d).withColumn("hi", F.col("lo") + F.pow(F.lit(2.0), 32 - F.col("plen")).cast("long") - 1)
     wide = t.select((F.col("lo") - F.col("lo") % 65536).alias("lo")).distinct().withColumn("plen", F.lit(16)).withColumn("hi", F.col("lo") + 65535)
     j = intervals.overlap_join(wide, t, ("lo", "hi"), ("lo", "hi")).where("b_lo >= lo AND b_hi <= hi AND b_plen >= plen")
     return j.groupBy("lo", "plen").agg(F.count("*").alias("inside"), F.min("pop").alias("first_pop"))
 
 
+@query()
+def join_covers_any(s, d):
+    """Rows of the table inside each /16 (IPv4) or /32 (IPv6), with the PoP that most of them name, of equals the first."""
+    from weftline.functions.net import first_bits
+
+    t = _pop_rows(s, d).groupBy("version", "lo", "plen").agg(F.min("pop").alias("pop"))
+    wide = F.when(F.col("version") == 4, 16).otherwise(32)
+    rows = t.where(F.col("plen") >= wide).select("version", first_bits("lo", F.when(F.col("version") == 4, 112).otherwise(32)).alias("lo"), wide.alias("plen"), "pop")
+    votes = rows.groupBy("version", "lo", "plen", "pop").agg(F.count("*").alias("n"))
+    named = F.when(F.col("pop") != "", F.struct((-F.col("n")).alias("n"), "pop"))
+    g = votes.groupBy("version", "lo", "plen").agg(F.sum("n").alias("inside"), F.min("pop").alias("first_pop"), F.min(named).alias("k"))
+    return g.select("version", "lo", "plen", "inside", "first_pop", F.col("k.pop").alias("pop"))
+
+
 @query("SELECT o.o_orderkey, p.asn FROM orders o ASOF LEFT JOIN (SELECT start + asn % 5 AS start, asn FROM fx_prefix) p ON o.o_orderkey >= p.start", "fx_prefix")
 def join_point_range(s, d):
     """The owner of the last boundary at or before each number."""
@@ -122,10 +144,25 @@ def _two_snaps(s, d):
 
 @query(f"WITH {_SNAP2} SELECT coalesce(x.c0, y.c0) AS c0, x.c0 IS NOT NULL AS in_first, y.c0 IS NOT NULL AS in_last FROM (SELECT c0 FROM n, m WHERE snap = a) x FULL JOIN (SELECT c0 FROM n, m WHERE snap = b) y ON x.c0 = y.c0")
 def join_feed(s, d):
+    """Text of the IPv4 prefixes of the first and the last delivery, as its SQL; canonical and of both families: join_feed_any."""
     a, b = _two_snaps(s, d)
     return a.withColumn("x", F.lit(True)).join(b.withColumn("y", F.lit(True)), "c0", "full_outer").select("c0", F.col("x").isNotNull().alias("in_first"), F.col("y").isNotNull().alias("in_last"))
 
 
+def _ends_any(s, d):
+    """(version, lo, plen, text, in_first, in_last): prefixes of both families in the first and the last delivery that hold any."""
+    p = _pop_rows(s, d)
+    ends = F.broadcast(p.agg(F.min("snap").alias("a"), F.max("snap").alias("b")))
+    j = p.join(ends, (F.col("snap") == F.col("a")) | (F.col("snap") == F.col("b")))
+    return j.groupBy("version", "lo", "plen", "text").agg(F.max(F.col("snap") == F.col("a")).alias("in_first"), F.max(F.col("snap") == F.col("b")).alias("in_last"))
+
+
+@query()
+def join_feed_any(s, d):
+    """Two deliveries side by side on the canonical prefix, both families in prefix order."""
+    return _ends_any(s, d).orderBy("version", "lo", "plen").select("version", "plen", F.col("text").alias("prefix"), "in_first", "in_last")
+
+
 @query("SELECT e.eid, CASE WHEN p.eid IS NOT NULL THEN 'down' WHEN q.eid IS NOT NULL THEN 'up' ELSE 'peer' END AS label FROM (SELECT eid, CASE WHEN eid % 2 = 0 THEN a ELSE b END AS x, CASE WHEN eid % 2 = 0 THEN b ELSE a END AS y FROM fx_edges) e LEFT JOIN (SELECT * FROM fx_edges WHERE rel = -1) p ON p.a = x AND p.b = y LEFT JOIN (SELECT * FROM fx_edges WHERE rel = -1) q ON q.a = y AND q.b = x", "fx_edges")
 def join_itdk_rel(s, d):
     """Undirected links labelled by the known relationships, in either direction."""
@@ -662,10 +699,18 @@ def win_ordinal_codes(s, d):
 
 @query(f"WITH {_SNAP2} SELECT DISTINCT c0 FROM n, m WHERE snap IN (a, b)")
 def set_union_keys(s, d):
+    """Text of the IPv4 prefixes of two deliveries, as its SQL; canonical, sorted and of both families: set_union_keys_any."""
     a, b = _two_snaps(s, d)
     return a.union(b).distinct()
 
 
+@query()
+def set_union_keys_any(s, d):
+    """Canonical prefixes of two deliveries, both families, with their place in prefix order."""
+    keys = [F.col("version"), F.col("lo"), F.col("plen")]
+    return global_rank(_ends_any(s, d).select("version", "lo", "plen", "text"), keys, "place").select("version", "plen", F.col("text").alias("prefix"), "place")
+
+
 @query("WITH p AS (SELECT start, asn FROM fx_prefix WHERE start % 11 <> 0), c AS (SELECT start, CASE WHEN start % 7 = 0 THEN asn + 1 ELSE asn END AS asn FROM fx_prefix WHERE start % 13 <> 0) SELECT coalesce(p.start, c.start) AS start, CASE WHEN p.start IS NULL THEN 'added' WHEN c.start IS NULL THEN 'removed' ELSE 'moved' END AS change FROM p FULL JOIN c ON p.start = c.start WHERE p.asn IS DISTINCT FROM c.asn", "fx_prefix")
 def set_diff(s, d):
     from weftline.operators.snapshots import snapshot_changes
@@ -698,16 +743,32 @@ def set_isin(s, d):
 
 @query()
 def set_cover(s, d):
-    """The least prefixes that cover the feed's, from the flattened ranges: contained ones go and siblings merge."""
-    from weftline.functions.net import RangeCidrs
+    """The least prefixes that cover the feed's, each first cut to /16 or /32, in prefix order: contained ones go and siblings merge."""
+    return cover(_pop_rows(s, d))
 
-    t = _pop_table(s, d).select("lo", (F.col("lo") + F.pow(F.lit(2.0), 32 - F.col("plen")).cast("long") - 1).alias("hi"))
-    run = intervals.running_max(t.distinct(), "lo", "hi", "before", ["hi"], 1 << 16)
+
+def cover(prefixes):
+    """(version, plen, prefix) for prefixes as net.cidr gives them. What the cut leaves stands in an address's first 32 bits, so both
+    families are flattened as ranges of numbers, IPv6 moved up with a gap between.
+    """
+    from weftline.functions.net import RangeCidrs, cidr, ipv4_text
+
+    four, up = F.col("version") == 4, 1 << 33
+    n = F.conv(F.hex(F.when(four, F.substring("lo", 13, 4)).otherwise(F.substring("lo", 1, 4))), 16, 10).cast("long")
+    t = prefixes.select("version", F.least("plen", F.when(four, 16).otherwise(32)).alias("plen"), n.alias("n"))
+    size = F.pow(F.lit(2.0), 32 - F.col("plen")).cast("long")
+    t = t.select((F.col("n") - F.pmod("n", size) + F.when(four, 0).otherwise(up)).alias("lo"), size.alias("size")).distinct().select("lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
+    run = intervals.running_max(t, "lo", "hi", "before", ["hi"], 1 << 16)
     starts = run.where(F.col("before").isNull() | (F.col("lo") > F.col("before") + 1)).select(F.col("lo").alias("start"), F.col("lo").alias("at"))
     groups = intervals.last_before(t, starts, "lo", "at", "start")
+    s = prefixes.sparkSession
     s.udtf.register("range_cidrs", RangeCidrs)
-    groups.groupBy("start").agg(F.max("hi").alias("last")).createOrReplaceTempView("wl_cover")
-    return s.sql("SELECT network, plen FROM wl_cover, LATERAL range_cidrs(start, last)")
+    base = F.when(F.col("start") < up, 0).otherwise(up)
+    groups.groupBy("start").agg(F.max("hi").alias("last")).select(F.when(F.col("start") < up, 4).otherwise(6).alias("version"), (F.col("start") - base).alias("start"), (F.col("last") - base).alias("last")).createOrReplaceTempView("wl_cover")
+    out = s.sql("SELECT version, network, plen FROM wl_cover, LATERAL range_cidrs(start, last)").orderBy("version", "network", "plen")
+    part = lambda shift: F.lower(F.hex(F.shiftright("network", shift).bitwiseAND(0xFFFF)))
+    wide = F.concat(part(16), F.lit(":"), part(0), F.lit("::/"), "plen")
+    return out.select("version", "plen", F.when(four, F.concat(ipv4_text("network"), F.lit("/"), "plen")).otherwise(cidr(wide)["text"]).alias("prefix"))
 
 
 @query("SELECT c_custkey AS k, 0 AS part FROM customer WHERE c_acctbal > 0 UNION ALL SELECT o_custkey, 1 FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

@@ -133,6 +133,7 @@ def fn_cidr_any(s, d):
 
 @query(f"{_C4}, w AS (SELECT DISTINCT lo, plen, lo + size - 1 AS hi FROM r WHERE plen <= 27) SELECT w.lo, w.plen, count(*) AS inside FROM w JOIN (SELECT DISTINCT lo, plen FROM r) x ON x.lo BETWEEN w.lo AND w.hi AND x.plen >= w.plen GROUP BY ALL")
 def fn_contains(s, d):
+    """IPv4 prefixes inside those of up to 27 bits, as its SQL; all of both families: fn_contains_any."""
     from weftline.operators.intervals import overlap_join
 
     p = _pop_prefixes(s, d).select("lo", "hi", "plen").distinct()
@@ -141,6 +142,19 @@ def fn_contains(s, d):
     return j.groupBy("lo", "plen").agg(F.count("*").alias("inside"))
 
 
+def _prefixes_any(s, d) -> DataFrame:
+    return table(s, d, "pops").select("c0").distinct().select(net.cidr("c0").alias("p")).where("p.version IS NOT NULL").select("p.version", "p.lo", "p.plen", "p.text").distinct()
+
+
+@query()
+def fn_contains_any(s, d):
+    """How many prefixes of the feed each one of either family holds, itself included."""
+    from weftline.operators.intervals import prefixes_inside
+
+    p = _prefixes_any(s, d)
+    return prefixes_inside(p, p).groupBy("version", "plen", F.col("text").alias("prefix")).agg(F.count("*").alias("inside"))
+
+
 def _blocks_sql(n: str, blocks) -> str:
     return "(" + " OR ".join(f"{n} BETWEEN {lo} AND {hi}" for lo, hi in (net._range(*b) for b in blocks)) + ")"
 
@@ -157,12 +171,21 @@ def fn_bogon(s, d):
 
 @query(f"{_C4}, k AS (SELECT DISTINCT lo, plen FROM r) SELECT lo, plen, row_number() OVER (ORDER BY lo, plen) AS place FROM k")
 def fn_prefix_key(s, d):
-    """Place of each prefix in prefix order, by range partitions and counts instead of one window over all."""
+    """Place of each IPv4 prefix in prefix order, by range partitions and counts instead of one window over all; both families: fn_prefix_key_any."""
     from weftline.operators.ranking import global_rank
 
     return global_rank(_pop_prefixes(s, d).select("lo", "plen").distinct(), [F.col("lo"), F.col("plen")], "place")
 
 
+@query()
+def fn_prefix_key_any(s, d):
+    """Place of each prefix of either family in prefix order: IPv4 first, then address and length."""
+    from weftline.operators.ranking import global_rank
+
+    p = global_rank(_prefixes_any(s, d), [F.col("version"), F.col("lo"), F.col("plen")], "place")
+    return p.select("version", "plen", F.col("text").alias("prefix"), "place")
+
+
 @query("WITH t AS (SELECT DISTINCT municipality AS name FROM airports WHERE municipality IS NOT NULL) SELECT name, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '\\([^)]*\\)', '', 'g'), '\\bsaint\\b', 'st', 'g'), '[^a-z0-9]', '', 'g') AS folded FROM t")
 def fn_fold(s, d):
     c = table(s, d, "airports").where("municipality IS NOT NULL").select(F.col("municipality").alias("name")).distinct()
