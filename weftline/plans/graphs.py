@@ -77,11 +77,20 @@ def gr_adj(s, d):
 
 @query()
 def gr_sample_rank(s, d):
-    """Sixteen breadth-first trees from seeded roots; each link's rank is the first tree that uses it, 16 if none does."""
-    roots = fx.nodes(s, d).orderBy(F.xxhash64("node", F.lit(7)), "node").limit(16).collect()
-    start = s.createDataFrame([(i, r[0]) for i, r in enumerate(roots)], "tree int, node long")
+    """Breadth-first trees from up to 255 seeded roots of the largest component; each link's rank is the first tree that uses it, the number of trees if none does."""
     e = fx.edges(s, d)
-    return e.select("eid").join(graph.sample_trees(e, start), "eid", "left").select("eid", F.coalesce("rank", F.lit(16)).alias("rank"))
+    start = sample_roots(e)
+    trees = start.count()
+    return e.select("eid").join(graph.sample_trees(e, start), "eid", "left").select("eid", F.coalesce("rank", F.lit(trees)).alias("rank"))
+
+
+def sample_roots(edges, most: int = 255):
+    """(tree, node): up to ``most`` nodes of the largest component, of equals the one with the least node, in the order of a hash."""
+    s = edges.sparkSession
+    label = graph.components(edges)
+    giant = label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    roots = label.join(F.broadcast(giant), "component", "left_semi").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(most).select("node").collect()
+    return s.createDataFrame([(i, r[0]) for i, r in enumerate(roots)], "tree int, node long")
 
 
 @query()
