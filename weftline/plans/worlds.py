@@ -114,7 +114,7 @@ def agg_model_summary(s, d):
 
 
 def _cyber(s, d):
-    e = fx.edges(s, d).where("rel = -1")
+    e = fx.edges(s, d)
     return layout.tree_layout(e, 15), e
 
 
