@@ -7,6 +7,7 @@ executor costs only the step it was in. Link numbers (eid) break every tie.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,12 @@ from weftline.session import staged
 KERNEL_LINKS = 1_000_000  # links of a graph that is sent whole to the executors: 24 bytes each
 
 
+def until_settled(most: int | None) -> Iterator[int]:
+    """Rounds of a loop that ends itself when nothing changes; with a bound that isn't enough it fails instead of giving half a result."""
+    yield from count() if most is None else range(most)
+    raise RuntimeError(f"not settled after {most} rounds")
+
+
 class Compact:
     """A graph of counted size as arrays: node numbers, and for each node its links as (other end, place in eid order)."""
 
@@ -69,7 +76,7 @@ def place_edges(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return edges.join(p, "a").join(q, "b")
 
 
-def customer_cones(edges: DataFrame, rounds: int = 100, kernel: bool | None = None) -> DataFrame:
+def customer_cones(edges: DataFrame, rounds: int | None = None, kernel: bool | None = None) -> DataFrame:
     """(node, cone): how many nodes a node reaches by going down to customers, itself included; cycles are no trouble.
 
     A graph of counted size goes to all executors, which search from their share of the nodes. A larger one takes the semi-naive closure:
@@ -108,7 +115,7 @@ def customer_cones(edges: DataFrame, rounds: int = 100, kernel: bool | None = No
     new = down.select(F.col("mid").alias("top"), "low").where("top <> low")
     seen = staged(new, "cone")
     new = seen
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         step = new.join(down.withColumnRenamed("low", "next"), new.low == F.col("mid")).select("top", F.col("next").alias("low")).where("top <> low").distinct()
         new = staged(step.join(seen, ["top", "low"], "left_anti"), "cone")
         if new.isEmpty():
@@ -119,7 +126,7 @@ def customer_cones(edges: DataFrame, rounds: int = 100, kernel: bool | None = No
     return nodes.join(counts, "node", "left").select("node", F.coalesce("cone", F.lit(1).cast("long")).alias("cone"))
 
 
-def coreness(edges: DataFrame, rounds: int = 200, kernel: bool | None = None) -> DataFrame:
+def coreness(edges: DataFrame, rounds: int | None = None, kernel: bool | None = None) -> DataFrame:
     """(node, core): k-core numbers. A graph of counted size is peeled in one task; of a larger one they are the fixpoint of the h-index of
     the neighbours' values.
 
@@ -151,7 +158,7 @@ def coreness(edges: DataFrame, rounds: int = 200, kernel: bool | None = None) ->
     links = staged(links, "links")
     value = staged(links.groupBy("node").agg(F.count("*").alias("core")), "core")
     over = Window.partitionBy("node").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         near = links.join(value.select(F.col("node").alias("other"), F.col("core").alias("v")), "other")
         steps = near.groupBy("node", "v").agg(F.count("*").alias("n")).withColumn("cum", F.sum("n").over(over))
         new = staged(steps.groupBy("node").agg(F.max(F.least("v", "cum")).alias("h")).join(value, "node").select("node", F.least("h", "core").alias("core"), (F.col("h") < F.col("core")).alias("moved")), "core")
@@ -161,12 +168,12 @@ def coreness(edges: DataFrame, rounds: int = 200, kernel: bool | None = None) ->
     return value
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(node, component): the least node of each connected component, by least labels and pointer jumping."""
     links = staged(both_ways(edges).select("node", "other").distinct(), "links")
     all_nodes = links.select("node").distinct() if nodes is None else nodes.select("node").union(links.select("node")).distinct()
     label = staged(all_nodes.withColumn("component", F.col("node")), "label")
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         near = links.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("n"))
         low = label.join(near, "node", "left").select("node", F.least("component", "n").alias("l"), F.col("component").alias("old"))
         jump = label.select(F.col("node").alias("l"), F.col("component").alias("ll"))
@@ -196,11 +203,11 @@ def backbone(edges: DataFrame, cones: DataFrame, level: DataFrame, core_level: f
     return best.union(core).union(ends).distinct()
 
 
-def spanning_forest(edges: DataFrame, cost: str, rounds: int = 40) -> DataFrame:
+def spanning_forest(edges: DataFrame, cost: str, rounds: int | None = None) -> DataFrame:
     """(eid): minimum spanning forest by (cost, eid): in each round every component takes its cheapest way out."""
     e = staged(edges.where("a <> b").select("eid", "a", "b", F.col(cost).alias("cost")), "edges")
     chosen, label = None, None
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         if label is None:
             open_ = e.select("eid", "cost", F.col("a").alias("ca"), F.col("b").alias("cb"))
         else:
@@ -216,7 +223,7 @@ def spanning_forest(edges: DataFrame, cost: str, rounds: int = 40) -> DataFrame:
     return chosen.distinct()
 
 
-def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int = 200, kernel: bool | None = None) -> DataFrame:
+def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int | None = None, kernel: bool | None = None) -> DataFrame:
     """(eid, rank): the least tree number among the breadth-first trees of ``roots`` (tree, node) that use a link.
 
     A node's parent link is the one with the lowest eid from the layer before. Over a graph of counted size each tree is grown by itself, in
@@ -257,7 +264,7 @@ def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int = 200, kernel:
     links = staged(both_ways(edges).select("node", "other", "eid"), "links")
     seen = staged(roots.select("tree", "node").distinct(), "seen")
     layer, used = seen, None
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         step = layer.join(links, "node").select("tree", F.col("other").alias("node"), "eid").join(seen, ["tree", "node"], "left_anti")
         new = staged(step.groupBy("tree", "node").agg(F.min("eid").alias("eid")), "layer")
         if new.isEmpty():
@@ -316,7 +323,7 @@ def _routes_kernel(graph: Compact, pairs: DataFrame, valley_free: bool) -> DataF
     return spread.mapInPandas(walk, "src long, dst long, nodes array<long>").select("src", "dst", (F.size("nodes") - 1).alias("hops"), "nodes")
 
 
-def routes(edges: DataFrame, pairs: DataFrame, rounds: int = 60, valley_free: bool = True, kernel: bool | None = None) -> DataFrame:
+def routes(edges: DataFrame, pairs: DataFrame, rounds: int | None = None, valley_free: bool = True, kernel: bool | None = None) -> DataFrame:
     """(src, dst, hops, nodes): shortest routes for ``pairs`` (src, dst) that climb to providers, cross one peer link at most, and go down.
 
     Links within one network fit anywhere. Breadth-first over (node, phase), all pairs together; of equal steps the lowest state and eid holds.
@@ -335,7 +342,7 @@ def routes(edges: DataFrame, pairs: DataFrame, rounds: int = 60, valley_free: bo
     up = (F.col("rel") == -1) & ~F.col("down")
     nxt = F.when(F.col("rel") == 1, F.col("phase")).when(up, F.when(F.col("phase") == 0, 0)).when(F.col("rel") == 0, F.when(F.col("phase") == 0, 1)).otherwise(1) if valley_free else F.lit(0)
     layer = layer.where("src <> dst")
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         step = layer.join(links, "node").withColumn("next", nxt).where(F.col("next").isNotNull())
         step = step.select("src", "dst", F.col("other").alias("node"), F.col("next").alias("phase"), F.struct("phase", "node", "eid").alias("via"), "nodes")
         best = step.join(seen, ["src", "dst", "node", "phase"], "left_anti").groupBy("src", "dst", "node", "phase").agg(F.min_by("nodes", "via").alias("before"))
@@ -363,12 +370,14 @@ def routes_with_fallback(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return vf.unionByName(routes(edges, rest, valley_free=False).withColumn("valley_free", F.lit(False)))
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, cost: str, rounds: int = 200) -> DataFrame:
-    """(node, dist, root): cheapest way from any of ``sources`` (node, start), by relaxing what has changed until nothing does."""
+def shortest_costs(edges: DataFrame, sources: DataFrame, cost: str, rounds: int | None = None) -> DataFrame:
+    """(node, dist, root): cheapest way from any of ``sources`` (node, start), by relaxing what has changed until nothing does. Costs below zero are refused."""
+    if edges.where(F.col(cost) < 0).head(1):
+        raise ValueError("a link's cost is below zero")
     links = staged(both_ways(edges.select("eid", "a", "b", "rel")).join(edges.select("eid", F.col(cost).alias("cost")), "eid").select("node", "other", "cost"), "links")
     dist = staged(sources.groupBy("node").agg(F.min(F.struct(F.col("start").alias("dist"), F.col("node").alias("root"))).alias("k")).select("node", "k.dist", "k.root"), "dist")
     moved = dist
-    for _ in range(rounds):
+    for _ in until_settled(rounds):
         step = moved.join(links, "node").select(F.col("other").alias("node"), F.struct((F.col("dist") + F.col("cost")).alias("dist"), "root").alias("k"))
         best = step.groupBy("node").agg(F.min("k").alias("k")).select("node", F.col("k.dist").alias("nd"), F.col("k.root").alias("nr"))
         better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))
