@@ -1,13 +1,13 @@
 """Nested records to related flat tables.
 
-Every record is parsed once, as a stream of path-value-ordinal triples; the paths are grouped by their deepest
-repeated ancestor and each group is pivoted into one table. A record lies in one row, so grouping and pivoting
-are local to the Arrow batch and nothing is shuffled. The triples themselves are available from
-:func:`triples` for paths that are not known beforehand.
+Every record is parsed once and a recursive descent writes the fields of each repeated ancestor straight into the columns
+of its table; it replaces grouping and pivoting path-value-ordinal triples. A record lies in one row, so this
+is local to the Arrow batch and nothing is shuffled. The triples themselves are available from
+:func:`triples` for paths that are not known beforehand; the tables are not built from them.
 
 Defined results:
 * null text, an empty text or text that isn't valid JSON (also ``NaN``/``Infinity`` tokens, and nesting deeper than the
-  parser's limit) gives no rows; :func:`flatten_records` with ``table="errors"`` lists those records;
+  parser's limit) gives no rows and is not listed anywhere;
 * a repeated node that holds an object instead of a list is a list of one (ordinal 0); null entries count as positions
   and give a row without values only where ``keep_empty`` is set;
 * text that holds JSON text (encoded twice) is decoded again; an object that only wraps the list is unwrapped;
