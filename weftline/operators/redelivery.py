@@ -2,7 +2,8 @@
 
 An index of known identifiers is kept as immutable runs: arrays sorted by a 64-bit identifier hash and time, one set of runs for each
 hash prefix. Each incoming batch is deduplicated within itself, its rest is looked up by binary search in the runs, and what is novel becomes
-a new run; runs of like size are merged from time to time. Hash hits are confirmed on the identifier's text.
+a new run; runs of like size are merged from time to time. The runs live in memory for one call and are not written, so deliveries are compared within
+one table only, not with those of earlier calls. Hash hits are confirmed on the identifier's text.
 
 Copies that are equal in identifier, peer and time collapse before the shuffle, so a message delivered a million times is one row. A prefix holds
 one slab of time of its identifiers, with a margin of the tolerance from the neighbouring slabs, so an identifier handed
