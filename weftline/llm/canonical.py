@@ -7,7 +7,8 @@ entries' joined letters, for lost and inserted blanks. Codes are looked up as th
 
 Defined results:
 * null and blank values give no row; every other distinct value gives one, with an empty entry if it fits none;
-* an entry fits if all its tokens and all of the value's are matched one to one, within two edits in all (one in short names, none in very short ones);
+* an entry fits if all its tokens and all of the value's are matched one to one, within two edits in all (one in short names, none in very short ones).
+  The score must also reach 0.8, which is stricter: of one-word entries it refuses 8 or 9 letters with two edits and 4 letters with one;
 * ties are broken by score, edits and then the entry's spelling; repeated rows and reference rows count once;
 * an alias or code that stands for several entries stands for none; a reference without entries makes every value unmatched;
 * values of any length are read whole; tokens longer than any entry by more than two letters can't match and are not expanded.
