@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.late import corrected_aggregates, fates, first_copies
-from weftline.operators.nested import Field, flatten_records
+from weftline.operators.nested import Field, Table, flat_table, flat_tables
 from weftline.operators.redelivery import surplus
 from weftline.operators.snapshots import snapshot_changes, with_canonical_prefix
 from weftline.operators.spatial import containing_regions, near_pairs, nearest
@@ -18,7 +18,7 @@ SAME = ["msm_id", "prb_id"]
 def trace_replies(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "traceroutes")
     fields = [Field("hop", "[].hop", "int"), Field("from_addr", "[].result[].from"), Field("rtt", "[].result[].rtt", "double")]
-    return flatten_records(t, ["rec_id"], "result", "[].result[]", fields, ["hop_pos", "reply_pos"], wrapper="result")
+    return flat_table(t, ["rec_id"], "result", "[].result[]", fields, ["hop_pos", "reply_pos"], wrapper="result")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +30,14 @@ def p1_hops(spark: SparkSession, folder: str) -> DataFrame:
     """The table of hops: each with its record, its place in the list, its number and its error."""
     t = table(spark, folder, "traceroutes")
     fields = [Field("hop", "[].hop", "int"), Field("error", "[].error")]
-    return flatten_records(t, ["rec_id"], "result", "[]", fields, ["hop_pos"], wrapper="result")
+    return flat_table(t, ["rec_id"], "result", "[]", fields, ["hop_pos"], wrapper="result")
+
+
+def p1_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Hops and replies from one pass over the records, each row with its table's name; a reply links to its hop by record and ``hop_pos``."""
+    hops = Table("hops", "[]", (Field("hop", "[].hop", "int"), Field("error", "[].error")), ("hop_pos",))
+    replies = Table("replies", "[].result[]", (Field("from_addr", "[].result[].from"), Field("rtt", "[].result[].rtt", "double")), ("hop_pos", "reply_pos"))
+    return flat_tables(table(spark, folder, "traceroutes"), ["rec_id"], "result", [hops, replies], wrapper="result")
 
 
 def _locations(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +108,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return surplus(ris, "delivery_id", "batch_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p1_tables, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
 
 _POSITIONS = """
 locs AS (
@@ -113,6 +120,16 @@ dist AS (
   SELECT kind, id AS loc_id, airport_id,
     2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(alat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(alat)) * pow(sin(radians(alon - lon) / 2), 2)))) AS km
   FROM good, apts)"""
+_HOPS = """
+texts AS (SELECT rec_id, result::JSON AS j FROM traceroutes WHERE json_valid(result)),
+once AS (SELECT rec_id, CASE WHEN json_type(j) <> 'VARCHAR' THEN j WHEN json_valid(j->>'$') THEN (j->>'$')::JSON END AS j FROM texts),
+bare AS (SELECT rec_id, CASE WHEN json_type(j) = 'OBJECT' AND len(json_keys(j)) = 1 AND json_type(j, '$.result') = 'ARRAY' AND len(list_filter(json_extract(j, '$.result[*]'), lambda x: json_exists(x, '$.result'))) > 0 THEN j->'$.result' ELSE j END AS j FROM once),
+lists AS (SELECT rec_id, CASE json_type(j) WHEN 'ARRAY' THEN json_extract(j, '$[*]') WHEN 'OBJECT' THEN [j] ELSE [] END AS l FROM bare),
+hops AS (SELECT rec_id, unnest(l) AS h, generate_subscripts(l, 1) - 1 AS hop_pos FROM lists),
+numbered AS (SELECT rec_id, hop_pos, CASE WHEN json_type(h, '$.hop') IN ('UBIGINT', 'BIGINT', 'VARCHAR') THEN TRY_CAST(h->>'$.hop' AS INTEGER) END AS hop, h->>'$.error' AS error,
+  CASE json_type(h, '$.result') WHEN 'ARRAY' THEN json_extract(h, '$.result[*]') WHEN 'OBJECT' THEN [h->'$.result'] ELSE [] END AS l FROM hops WHERE json_type(h) <> 'NULL'),
+spread AS (SELECT rec_id, hop_pos, hop, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS reply_pos FROM numbered),
+replies AS (SELECT rec_id, hop_pos, reply_pos, hop, r->>'$.from' AS from_addr, CASE WHEN json_type(r, '$.rtt') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') AND regexp_full_match(r->>'$.rtt', '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') THEN TRY_CAST(r->>'$.rtt' AS DOUBLE) END AS rtt FROM spread WHERE json_type(r) <> 'NULL')"""
 _SECONDS = "CASE WHEN abs({0}) >= 100000000000000000 THEN {0} // 1000000000 WHEN abs({0}) >= 100000000000000 THEN {0} // 1000000 WHEN abs({0}) >= 100000000000 THEN {0} // 1000 ELSE {0} END"
 
 
@@ -122,6 +139,9 @@ def _first_sql(stream: str, carry: str = "") -> str:
 
 
 SQL = {
+    "p1_found": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, reply_pos::INT AS reply_pos, hop FROM replies WHERE from_addr <> '' AND rtt >= 0",
+    "p1_hops": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, hop, error FROM numbered",
+    "p1_tables": f"WITH {_HOPS} SELECT 'hops' AS \"table\", rec_id, hop_pos::INT AS hop_pos, NULL::INT AS reply_pos, hop, error, NULL::VARCHAR AS from_addr, NULL::DOUBLE AS rtt FROM numbered UNION ALL SELECT 'replies', rec_id, hop_pos::INT, reply_pos::INT, NULL, NULL, from_addr, rtt FROM replies",
     "p2_found": f"WITH {_POSITIONS} SELECT DISTINCT kind, loc_id, airport_id FROM dist WHERE km <= 50.0",
     "p2_nearest": f"WITH {_POSITIONS} SELECT kind, loc_id, airport_id, floor(km * 1000 + 0.5) / 1000 AS km FROM (SELECT *, row_number() OVER (PARTITION BY kind, loc_id ORDER BY km, airport_id) AS k FROM dist WHERE km <= 400.0) WHERE k = 1",
     "p2_zones": f"WITH {_POSITIONS}, box AS (SELECT iso_country AS zone, min(latitude_deg) - 2 AS s, max(latitude_deg) + 2 AS n, min(longitude_deg) - 2 AS w, max(longitude_deg) + 2 AS e FROM airports WHERE latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL AND iso_country IS NOT NULL GROUP BY 1), pl AS (SELECT kind, id, lat, (lon + 540) - floor((lon + 540) / 360) * 360 - 180 AS lon FROM good), sh AS (SELECT kind, id, lat, lon + s AS lon FROM pl, (SELECT unnest([-360, 0, 360]) AS s)) SELECT DISTINCT kind, id AS loc_id, zone FROM sh JOIN box ON lat >= s AND lat < n AND lon >= w AND lon < e",

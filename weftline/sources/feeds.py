@@ -140,7 +140,7 @@ def ping_results(pings: DataFrame) -> DataFrame:
 
 
 def trace_hops(replies: DataFrame) -> DataFrame:
-    """(rec_id, hop_pos, hop, ip, rtt, replies) of :func:`flatten_records` replies: the address that answered most (the first of equals), the median reply."""
+    """(rec_id, hop_pos, hop, ip, rtt, replies) of :func:`flat_table` replies: the address that answered most (the first of equals), the median reply."""
     ok = replies.where("from_addr IS NOT NULL AND from_addr <> ''")
     by = ok.groupBy("rec_id", "hop_pos", "hop", "from_addr").agg(F.count("*").alias("n"), F.min("reply_pos").alias("first"))
     best = by.groupBy("rec_id", "hop_pos", "hop").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "from_addr")).alias("k"), F.sum("n").alias("replies"))
