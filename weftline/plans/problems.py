@@ -84,13 +84,20 @@ def _measurements(spark: SparkSession, folder: str, stream: str, carry: list[str
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [fates(_measurements(spark, folder, s), "prb_id").select(F.lit(s).alias("stream"), F.col("rec").alias("rec_id"), "fate") for s in ("pings", "traceroutes")]
+    """A period is held open for a probe that lags, but no longer than the ten minutes of the statement, which the exact check then applies."""
+    parts = [fates(_measurements(spark, folder, s), "prb_id", hold=600, grace=600).select(F.lit(s).alias("stream"), F.col("rec").alias("rec_id"), "fate") for s in ("pings", "traceroutes")]
     return parts[0].unionByName(parts[1])
 
 
+def p6_diverted(spark: SparkSession, folder: str) -> DataFrame:
+    """What the probes' watermarks alone divert, by hour: a period stays open until every probe has passed its end or is idle."""
+    d = fates(_measurements(spark, folder, "traceroutes"), "prb_id")
+    return d.groupBy("start", "fate").agg(F.max("close").alias("close"), F.count("*").alias("records"), F.min("arrival_s").alias("first_arrival"))
+
+
 def p6_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly aggregates of rcvd in pings, as they stand after all corrections up to the cut-off."""
-    return corrected_aggregates(_measurements(spark, folder, "pings", ["rcvd"]), "rcvd")
+    """Hourly aggregates of rcvd in pings, at their closes and as they stand after all corrections up to the cut-off; a probe holds an hour open for half an hour at most."""
+    return corrected_aggregates(_measurements(spark, folder, "pings", ["rcvd"]), "prb_id", "rcvd", hold=1800)
 
 
 def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,7 +107,8 @@ def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.streaming.feed import table_stream
 
     t = table_stream(spark, folder, "traceroutes").select(seconds("timestamp").alias("event_s"), seconds("stored_timestamp").alias("arrival_s"), "prb_id", "paris_id")
-    return late.run(t, "prb_id", "paris_id").select("start", "n_on_time", "n_late", "n_cut", F.col("total").cast("long").alias("total"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("total_at_close", "total")]
+    return late.run(t, "prb_id", "paris_id").select("start", "close", "n_on_time", "n_late", "n_cut", *whole)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +116,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return surplus(ris, "delivery_id", "batch_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p1_tables, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_hourly, p6_stream, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p1_tables, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_diverted, p6_hourly, p6_stream, p7_found)}
 
 _POSITIONS = """
 locs AS (
@@ -138,6 +146,22 @@ def _first_sql(stream: str, carry: str = "") -> str:
     return f"SELECT * FROM (SELECT rec_id{carry}, {e} AS e, {a} AS a, row_number() OVER (PARTITION BY msm_id, prb_id, {e} ORDER BY {a}, rec_id) AS k FROM {stream} WHERE stored_timestamp IS NOT NULL AND timestamp IS NOT NULL) WHERE k = 1"
 
 
+def _closes_sql(hold: int | None = None, idle: int = 300) -> str:
+    """CTEs from f (src, e, a): ``timed`` has f with the start and the close of each row's hour."""
+    bound = f", \"end\" + {hold}" if hold else ""
+    return f"""
+marks AS (SELECT src, (floor(e / 3600) * 3600)::BIGINT AS "end", min(a) FILTER (e <= a) AS shown FROM f WHERE src IS NOT NULL GROUP BY ALL),
+ticks AS (SELECT DISTINCT src, (floor(a / 60) * 60)::BIGINT AS tick FROM f WHERE src IS NOT NULL),
+fresh AS (SELECT *, CASE WHEN tick < lag(tick) OVER (PARTITION BY src ORDER BY tick) + 60 + {idle} THEN 0 ELSE 1 END AS fresh FROM ticks),
+runs AS (SELECT src, tick, sum(fresh) OVER (PARTITION BY src ORDER BY tick) AS run FROM fresh),
+islands AS (SELECT src, min(tick) AS since, max(tick) + 60 + {idle} AS idle_from FROM runs GROUP BY src, run),
+asks AS (SELECT src, unnest(range((floor(since / 3600)::BIGINT + 1) * 3600, idle_from, 3600)) AS "end", idle_from FROM islands),
+released AS (SELECT "end", least(idle_from{bound}, (SELECT min(m.shown) FROM marks m WHERE m.src = asks.src AND m."end" >= asks."end")) AS r FROM asks),
+closes AS (SELECT "end" - 3600 AS start, max((ceil(r / 60) * 60)::BIGINT) AS close FROM released GROUP BY 1),
+begun AS (SELECT *, (floor(e / 3600) * 3600)::BIGINT AS start FROM f),
+timed AS (SELECT begun.*, coalesce(close, begun.start + 3600) AS close FROM begun LEFT JOIN closes ON closes.start = begun.start)"""
+
+
 SQL = {
     "p1_found": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, reply_pos::INT AS reply_pos, hop FROM replies WHERE from_addr <> '' AND rtt >= 0",
     "p1_hops": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, hop, error FROM numbered",
@@ -146,7 +170,8 @@ SQL = {
     "p2_nearest": f"WITH {_POSITIONS} SELECT kind, loc_id, airport_id, floor(km * 1000 + 0.5) / 1000 AS km FROM (SELECT *, row_number() OVER (PARTITION BY kind, loc_id ORDER BY km, airport_id) AS k FROM dist WHERE km <= 400.0) WHERE k = 1",
     "p2_zones": f"WITH {_POSITIONS}, box AS (SELECT iso_country AS zone, min(latitude_deg) - 2 AS s, max(latitude_deg) + 2 AS n, min(longitude_deg) - 2 AS w, max(longitude_deg) + 2 AS e FROM airports WHERE latitude_deg IS NOT NULL AND longitude_deg IS NOT NULL AND iso_country IS NOT NULL GROUP BY 1), pl AS (SELECT kind, id, lat, (lon + 540) - floor((lon + 540) / 360) * 360 - 180 AS lon FROM good), sh AS (SELECT kind, id, lat, lon + s AS lon FROM pl, (SELECT unnest([-360, 0, 360]) AS s)) SELECT DISTINCT kind, id AS loc_id, zone FROM sh JOIN box ON lat >= s AND lat < n AND lon >= w AND lon < e",
     "p6_found": "WITH f AS (" + " UNION ALL ".join(f"SELECT '{s}' AS stream, rec_id, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind FROM ({_first_sql(s)})" for s in ("pings", "traceroutes")) + ") SELECT stream, rec_id, CASE WHEN behind <= 21600 THEN 'late' ELSE 'cut' END AS fate FROM f WHERE behind > 600",
-    "p6_hourly": f"WITH f AS (SELECT rcvd, floor(e / 3600)::BIGINT * 3600 AS start, a FROM ({_first_sql('pings', ', rcvd')})), b AS (SELECT start, a - (start + 3600) AS behind, rcvd FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(rcvd) FILTER (behind <= 21600))::BIGINT AS total, min(rcvd) FILTER (behind <= 21600) AS least, max(rcvd) FILTER (behind <= 21600) AS most FROM b GROUP BY start",
-    "p6_stream": f"WITH f AS (SELECT {_SECONDS.format('timestamp')} AS e, {_SECONDS.format('stored_timestamp')} AS a, paris_id FROM traceroutes WHERE timestamp IS NOT NULL AND stored_timestamp IS NOT NULL), b AS (SELECT floor(e / 3600)::BIGINT * 3600 AS start, a - (floor(e / 3600)::BIGINT * 3600 + 3600) AS behind, paris_id FROM f) SELECT start, count(*) FILTER (behind <= 600) AS n_on_time, count(*) FILTER (behind > 600 AND behind <= 21600) AS n_late, count(*) FILTER (behind > 21600) AS n_cut, (sum(paris_id) FILTER (behind <= 21600))::BIGINT AS total FROM b GROUP BY start",
+    "p6_diverted": f"WITH f AS (SELECT prb_id AS src, e, a FROM ({_first_sql('traceroutes', ', prb_id')})), {_closes_sql()}, d AS (SELECT start, close, a, a - (start + 3600) AS behind FROM timed WHERE a >= close) SELECT start, CASE WHEN behind <= 21600 THEN 'late' ELSE 'cut' END AS fate, max(close) AS close, count(*) AS records, min(a) AS first_arrival FROM d GROUP BY ALL",
+    "p6_hourly": f"WITH f AS (SELECT prb_id AS src, e, a, rcvd FROM ({_first_sql('pings', ', prb_id, rcvd')})), {_closes_sql(1800)}, b AS (SELECT *, a < close AS ot, a < close OR a - (start + 3600) <= 21600 AS kept FROM timed) SELECT start, max(close) AS close, count(*) FILTER (ot) AS n_on_time, count(*) FILTER (kept AND NOT ot) AS n_late, count(*) FILTER (NOT kept) AS n_cut, (sum(rcvd) FILTER (ot))::BIGINT AS total_at_close, (sum(rcvd) FILTER (kept))::BIGINT AS total, min(rcvd) FILTER (kept) AS least, max(rcvd) FILTER (kept) AS most FROM b GROUP BY start",
+    "p6_stream": f"WITH f AS (SELECT prb_id AS src, {_SECONDS.format('timestamp')} AS e, {_SECONDS.format('stored_timestamp')} AS a, paris_id FROM traceroutes WHERE timestamp IS NOT NULL AND stored_timestamp IS NOT NULL), {_closes_sql()}, b AS (SELECT *, a < close AS ot, a < close OR a - (start + 3600) <= 21600 AS kept FROM timed) SELECT start, max(close) AS close, count(*) FILTER (ot) AS n_on_time, count(*) FILTER (kept AND NOT ot) AS n_late, count(*) FILTER (NOT kept) AS n_cut, (sum(paris_id) FILTER (ot))::BIGINT AS total_at_close, (sum(paris_id) FILTER (kept))::BIGINT AS total FROM b GROUP BY start",
     "p7_found": "WITH r AS (SELECT delivery_id, lower(trim(data.id)) AS i, lower(trim(data.peer)) AS p, round(data.timestamp * 1000)::BIGINT AS t FROM ris_frames WHERE data.id IS NOT NULL) SELECT DISTINCT a.delivery_id FROM r a JOIN r b ON a.i = b.i AND a.p IS NOT DISTINCT FROM b.p AND b.delivery_id < a.delivery_id AND (abs(a.t - b.t) <= 1000 OR (a.t IS NULL AND b.t IS NULL))",
 }

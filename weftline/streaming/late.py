@@ -1,9 +1,9 @@
-"""Late events as a stream: hourly aggregates that late records correct until a cut-off.
+"""Late events as a stream: aggregates by period that late records correct until a cut-off, closed by the sources' watermarks.
 
-Each micro-batch adds its records to partial aggregates by period and lateness, so nothing is held but one small row for each period and
-batch; per-source marks are merged the same way. A period's close and its corrected aggregate are read from the merged parts at any
-time, so a record that comes a week late corrects (or is counted as cut) like one that comes at once, and no watermark drops it.
-A record's lateness is its own arrival against its period's end, so the result doesn't depend on how records fall into batches.
+Each micro-batch adds what :mod:`weftline.operators.late` keeps of a source (marks by period, ticks of arrival) and partial aggregates by period and tick of
+arrival, so nothing is held but small rows that grow with time, not with records. Closes and corrected aggregates are read from the merged parts
+at any time: a record that comes a week late corrects its period (or counts as cut) like one that comes at once, and no engine watermark drops it. A
+record's side of the close is decided by its own arrival, so the result doesn't depend on how records fall into batches.
 """
 
 from __future__ import annotations
@@ -11,52 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.late import CUT, IDLE, PERIOD, TICK, closes_of, punctuation_marks, source_marks, source_ticks
 from weftline.session import staged_path
 
-PERIOD, IDLE, CUT = 3600, 600, 6 * 3600
 
-
-def _start():
-    return (F.floor(F.col("event_s") / PERIOD) * PERIOD).cast("long")
-
-
-def partials(batch: DataFrame, source: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """(aggregates by period, marks by source and period) of one batch of (event_s, arrival_s, source, value)."""
-    behind = F.col("arrival_s") - (_start() + PERIOD)
-    kept = F.when(behind <= CUT, F.col(value))
+def partials(batch: DataFrame, value: str) -> DataFrame:
+    """Aggregates of one batch by period and tick of arrival."""
+    start = (F.floor(F.col("event_s") / PERIOD) * PERIOD).cast("long")
+    cut = F.col("arrival_s") - (start + PERIOD) > CUT
     rows = batch.where("event_s IS NOT NULL AND arrival_s IS NOT NULL")
-    agg = rows.groupBy(_start().alias("start")).agg(F.count_if(behind <= IDLE).alias("n_on_time"), F.count_if((behind > IDLE) & (behind <= CUT)).alias("n_late"), F.count_if(behind > CUT).alias("n_cut"), F.sum(kept).cast("double").alias("total"))
-    marks = rows.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source"), _start().alias("start")).agg(F.min(F.when(F.col("event_s") <= F.col("arrival_s"), F.col("arrival_s"))).alias("shown"))
-    return agg, marks
+    return rows.groupBy(start.alias("start"), (F.floor(F.col("arrival_s") / TICK) * TICK).cast("long").alias("tick")).agg(F.count_if(~cut).alias("n"), F.count_if(cut).alias("n_cut"), F.sum(F.when(~cut, F.col(value))).cast("double").alias("total"), F.sum(F.when(cut, F.col(value))).cast("double").alias("total_cut"))
 
 
-def follow(stream: DataFrame, source: str, value: str, out: str, progress: str) -> None:
-    """Runs over what is there; parts of a batch are written under its number, so a batch done again replaces them."""
+def follow(stream: DataFrame, source: str, value: str, out: str, progress: str, bound: str | None = None) -> None:
+    """Runs over what is there; parts of a batch are written under its number, so a batch done again replaces them.
+
+    Rows whose ``bound`` column isn't null are punctuations: they move their source's watermark and count in no aggregate.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        agg, marks = partials(batch, source, value)
-        agg.write.mode("overwrite").parquet(f"{out}/aggregates/batch={number}")
+        marks, rows = source_marks(batch, source), batch
+        if bound:
+            control = batch.where(F.col(bound).isNotNull()).select(source, F.col(bound).alias("bound_s"), "arrival_s")
+            rows = batch.where(F.col(bound).isNull())
+            marks = source_marks(rows, source).unionByName(punctuation_marks(control, source))
+        partials(rows, value).write.mode("overwrite").parquet(f"{out}/aggregates/batch={number}")
         marks.write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
+        source_ticks(batch, source).write.mode("overwrite").parquet(f"{out}/ticks/batch={number}")
 
     write(stream.sparkSession.createDataFrame([], stream.schema), -1)  # a stream without rows has a result too
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def merged(spark, out: str) -> DataFrame:
-    """(start, n_on_time, n_late, n_cut, total, close): the corrected aggregates so far and when each period was closed."""
-    from pyspark.sql import Window
-
-    a = spark.read.parquet(f"{out}/aggregates").groupBy("start").agg(*[F.sum(c).alias(c) for c in ("n_on_time", "n_late", "n_cut", "total")])
-    m = spark.read.parquet(f"{out}/marks").groupBy("source", "start").agg(F.min("shown").alias("shown"))
-    bound = F.col("start") + PERIOD + IDLE
-    later = Window.partitionBy("source").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
-    close = m.withColumn("passed", F.least(F.coalesce(F.min("shown").over(later), bound), bound)).groupBy("start").agg(F.max("passed").alias("close"))
-    return a.join(close, "start", "left")
+def merged(spark, out: str, idle: int = IDLE, hold: int | None = None) -> DataFrame:
+    """(start, n_on_time, n_late, n_cut, total_at_close, total, close): the aggregates as corrected so far and when each period was closed."""
+    a = spark.read.parquet(f"{out}/aggregates").groupBy("start", "tick").agg(*[F.sum(c).alias(c) for c in ("n", "n_cut", "total", "total_cut")])
+    marks = spark.read.parquet(f"{out}/marks").groupBy("source", "start").agg(F.min("shown").alias("shown"))
+    ticks = spark.read.parquet(f"{out}/ticks").select("source", "tick").distinct()
+    rows = a.join(closes_of(marks, ticks, idle=idle, hold=hold), "start", "left").withColumn("close", F.coalesce("close", F.col("start") + PERIOD))
+    on_time = F.col("tick") < F.col("close")
+    all_total = F.when(F.col("total").isNotNull() | F.col("total_cut").isNotNull(), F.coalesce("total", F.lit(0.0)) + F.coalesce("total_cut", F.lit(0.0)))
+    count = lambda where, n: F.sum(F.when(where, n).otherwise(0))
+    return rows.groupBy("start").agg(count(on_time, F.col("n") + F.col("n_cut")).alias("n_on_time"), count(~on_time, F.col("n")).alias("n_late"), count(~on_time, F.col("n_cut")).alias("n_cut"), F.sum(F.when(on_time, all_total)).alias("total_at_close"), F.sum(F.when(on_time, all_total).otherwise(F.col("total"))).alias("total"), F.max("close").alias("close"))
 
 
-def run(stream: DataFrame, source: str, value: str) -> DataFrame:
+def run(stream: DataFrame, source: str, value: str, idle: int = IDLE, hold: int | None = None) -> DataFrame:
     spark = stream.sparkSession
     out = staged_path(spark, "late")
     follow(stream, source, value, out, staged_path(spark, "late-progress"))
-    return merged(spark, out)
+    return merged(spark, out, idle, hold)
