@@ -1,6 +1,6 @@
 import numpy as np
 
-from weftline.llm.packing import best_fit, fill, hilbert, pack, project, _sign_table
+from weftline.llm.packing import curve_keys, fill, fill_one, hilbert, pack, project, _sign_table
 
 
 def packed(spark, rows, **kw):
@@ -57,6 +57,30 @@ def test_like_texts_lie_near():
     assert np.linalg.norm(v[0] - v[2]) < np.linalg.norm(v[0] - v[1])
 
 
-def test_best_fit_takes_the_fullest():
-    place, held = best_fit([6, 5, 4, 5], {}, 0, 10, iter(range(9)))
-    assert place == [(0, 0), (1, 0), (0, 6), (1, 5)] and held == 1
+def test_one_container_is_filled_best():
+    assert fill_one([6, 5, 4, 4], 10, 10) == [0, 2] and fill_one([2, 4, 4, 8], 10, 10) == [0, 3]
+    assert fill_one([3, 0, 3, 3, 9], 10, 10) == [0, 1, 2, 3]
+    assert fill_one([11], 11, 11) == [0] and fill_one([0, 0], 10, 10) == [0, 1]
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = [int(x) for x in rng.integers(0, 30, 9)]
+        taken = fill_one(sizes, 60, 60)
+        best = max(sum(s for k, s in enumerate(sizes[1:]) if m >> k & 1) for m in range(256) if sizes[0] + sum(s for k, s in enumerate(sizes[1:]) if m >> k & 1) <= 60)
+        assert sum(sizes[k] for k in taken) == sizes[0] + best and taken[0] == 0 and len(set(taken)) == len(taken)
+
+
+def test_neighbours_on_the_curve_share_containers(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{''.join(chr(97 + int(c)) for c in rng.integers(0, 26, 6))} " for _ in range(60)]
+    rows = []
+    for i in range(4000):
+        t = int(rng.integers(0, 12))
+        rows.append((i, "".join(rng.choice(words[t * 5 : t * 5 + 5], int(rng.integers(5, 140))))))
+    df = spark.createDataFrame(rows, "doc long, body string").coalesce(2)
+    place = {k: i for i, k in enumerate(curve_keys(df, "doc", "body").orderBy("curve", "key").toPandas().key)}
+    p = pack(df, "doc", "body", capacity=2048).toPandas()
+    p["place"] = p.doc.map(place)
+    spread = lambda q: q.groupby("container").place.agg(lambda x: x.max() - x.min()).mean()
+    mixed = p.assign(container=rng.permutation(p.container.to_numpy()))
+    assert spread(p) < 0.01 * spread(mixed)
+    assert fill(spark.createDataFrame(p[["container", "tokens"]]), 2048).first().used > 0.97

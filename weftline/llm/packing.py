@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers with whole texts.
 
 Texts are projected, as hashed vectors of their byte 4-grams, to three dimensions, range-sorted by the Hilbert key of
-that place, and packed along the curve: each container takes neighbours, best fit in decreasing order within a window of the curve.
-Only the id, the size and the key are shuffled, never the text.
+that place, and packed along the curve: each container starts with the first text that has no place yet and takes, of its next neighbours on the
+curve, those that fill it best (:func:`fill_one`); it looks no farther than it must to be filled to ``1 - SLACK``, and no farther than ``window`` texts. A
+container is closed when the next one starts. Only the id, the size and the key are shuffled, never the text.
 
 Defined results:
 * sizes are in tokens of the byte-level tokenizer (one for each UTF-8 byte) or those of a given size column;
@@ -14,6 +15,7 @@ Defined results:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from weftline.session import staged
 
 CAPACITY = 4096
-WINDOW = 16_384
+WINDOW = 256  # texts without a place that a container is chosen from, at most
+NEAR = 16
+SLACK = 1 / 256  # a container filled so far looks no farther
 BITS = 10
 PIECE = 1 << 20  # bytes that one packed sum takes without overflow
 
@@ -86,28 +90,40 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def best_fit(sizes: list[int], room: dict[int, list[int]], held: int, capacity: int, fresh: Iterator[int]) -> tuple[list[tuple[int, int]], int]:
-    """(container, offset) for each size, largest first, into the fullest container with room.
+def fill_one(sizes: list[int], capacity: int, enough: int) -> list[int]:
+    """Which of ``sizes``, given in curve order, fill one container: the first always, and what leaves least room with it.
 
-    ``room`` has the containers by the room they have left; ``held`` has bit r set if there are any with room r.
+    It is the best subset of the next ``NEAR`` neighbours, or of four times as many while they don't give ``enough``. Two texts of more than half a
+    container never share one: where there are so many of them that they need nine tenths of the containers, the nearest that fits goes in first, or
+    they would be left over alone. Bit r of ``sums`` is set if a subset sums to r with what is in; of equal fillings the one whose last text lies nearest is taken.
     """
-    place: list = [None] * len(sizes)
-    for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
-        size = sizes[i]
-        fits = held >> size
-        if fits:
-            r = size + (fits & -fits).bit_length() - 1
-            c = room[r].pop()
-            if not room[r]:
-                held ^= 1 << r
-        else:
-            r, c = capacity, next(fresh)
-        place[i] = (c, capacity - r)
-        left = r - size
-        if not room.setdefault(left, []):
-            held |= 1 << left
-        room[left].append(c)
-    return place, held
+    mask, look, taken, used = (1 << (capacity + 1)) - 1, NEAR, [0], sizes[0]
+    if 2 * used <= capacity:
+        many = [k for k, s in enumerate(sizes) if 2 * s > capacity]
+        large = next((k for k in many if sizes[k] + used <= capacity), None)
+        if large is not None and 10 * len(many) * capacity >= 9 * sum(sizes):
+            taken.append(large)
+            used += sizes[large]
+    sums, before, k = 1 << used, [], 1
+    while True:
+        for k in range(k, min(look, len(sizes))):
+            before.append(sums)
+            if k not in taken:
+                sums |= (sums << sizes[k]) & mask
+        k += 1
+        if sums >> enough or look >= len(sizes):
+            break
+        look *= 4
+    left = sums.bit_length() - 1
+    for k in range(len(before), 0, -1):
+        if k in taken:
+            continue
+        if sizes[k] == 0:
+            taken.append(k)
+        elif not before[k - 1] >> left & 1:
+            taken.append(k)
+            left -= sizes[k]
+    return sorted(taken)
 
 
 def curve_keys(df: DataFrame, key: str, text: str, size: str | None = None) -> DataFrame:
@@ -147,28 +163,61 @@ def pack(df: DataFrame, key: str, text: str, size: str | None = None, capacity:
     keyed = staged(curve_keys(df, key, text, size), "curve").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
     schema = T.StructType([T.StructField(key, keyed.schema["key"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
 
+    enough = capacity - int(capacity * SLACK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        fresh = iter(range(base, base + (1 << 33)))
-        room: dict[int, list[int]] = {}
-        held = 0
+        fresh = count(TaskContext.get().partitionId() << 33)
+        keys, sizes, pieces = [], [], []  # texts of the curve that have no place yet, and how many full containers came before
+        held: tuple[list, ...] = ([], [], [], [], [])
+
+        def put(key, piece: int, container: int, offset: int, tokens: int) -> None:
+            for column, x in zip(held, (key, piece, container, offset, tokens), strict=True):
+                column.append(x)
+
+        def close(at: int, upto: int) -> int:
+            """Fills containers from the texts from ``at`` on while at least ``upto`` have no place; gives where the rest starts."""
+            while len(sizes) - at >= max(upto, 1):
+                view = sizes[at : at + window]
+                taken, container, offset = fill_one(view, capacity, enough), next(fresh), 0
+                for k in taken:
+                    put(keys[at + k], pieces[at + k], container, offset, view[k])
+                    offset += view[k]
+                # the texts passed over move up to the front, in their order
+                out, last = set(taken), taken[-1]
+                for column in (keys, sizes, pieces):
+                    stay = [column[at + k] for k in range(last + 1) if k not in out]
+                    column[at + last + 1 - len(stay) : at + last + 1] = stay
+                at += len(taken)
+            return at
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(held, (key_type, pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            for c in held:
+                c.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        key_type = None
         for batch in batches:
-            for s in range(0, batch.num_rows, window):
-                part = batch.slice(s, window)
-                size = part.column(1).to_numpy()
-                full = np.where(size > capacity, size // capacity, 0)
-                rest = size - full * capacity
-                items = np.flatnonzero((rest > 0) | (full == 0))
-                place, held = best_fit(rest[items].tolist(), room, held, capacity, fresh)
-                big = np.repeat(np.arange(len(size)), full)
-                piece = np.arange(len(big)) - np.repeat(np.cumsum(full) - full, full)
-                row = np.r_[big, items]
-                container = np.r_[np.array([next(fresh) for _ in big], np.int64), np.array([c for c, _ in place], np.int64)]
-                offset = np.r_[np.zeros(len(big), np.int64), np.array([o for _, o in place], np.int64)]
-                tokens = np.r_[np.full(len(big), capacity), rest[items]]
-                for o in range(0, len(row), 65_536):
-                    cut = slice(o, o + 65_536)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[cut])), pa.array(np.r_[piece, full[items]][cut], pa.int32()), pa.array(container[cut], pa.int64()), pa.array(offset[cut], pa.int32()), pa.array(tokens[cut], pa.int32())], names=schema.names)
+            key_type = batch.schema.field(0).type
+            at = 0
+            for k, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                full = size // capacity if size > capacity else 0
+                for piece in range(full):
+                    put(k, piece, next(fresh), 0, capacity)
+                    if len(held[0]) >= 65_536:
+                        yield flush()
+                if size - full * capacity or not full:
+                    keys.append(k)
+                    sizes.append(size - full * capacity)
+                    pieces.append(full)
+            at = close(at, 2 * window)
+            for column in (keys, sizes, pieces):
+                del column[:at]
+            if len(held[0]) >= 65_536:
+                yield flush()
+        close(0, 1)
+        if held[0]:
+            yield flush()
 
     return keyed.select("key", "size").mapInArrow(run, schema)
 
