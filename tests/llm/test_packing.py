@@ -58,7 +58,7 @@ def test_like_texts_lie_near():
 
 
 def test_one_container_is_filled_best():
-    assert fill_one([6, 5, 4, 4], 10, 10) == [0, 2] and fill_one([2, 4, 4, 8], 10, 10) == [0, 3]
+    assert fill_one([6, 5, 4, 4], 10, 10) == [0, 2] and fill_one([2, 4, 4, 8], 10, 10) == [0, 1, 2] and fill_one([2, 3, 9, 8], 10, 10) == [0, 3]
     assert fill_one([3, 0, 3, 3, 9], 10, 10) == [0, 1, 2, 3]
     assert fill_one([11], 11, 11) == [0] and fill_one([0, 0], 10, 10) == [0, 1]
     rng = np.random.default_rng(3)
