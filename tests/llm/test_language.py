@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from weftline.llm.language import PLACEHOLDERS, best_path, languages, lines_of, train
+from weftline.llm.language import PLACEHOLDERS, best_path, languages, lines_of, load_model, sample_labelled, save_model, train
 
 PROSE = {"en": "the and that with from each which were this there", "de": "der und nicht mit von jede welche wurde diese dort", "fr": "le et pas avec de chaque quelle cette sont dans"}
 
@@ -97,5 +97,31 @@ def test_comments_behind_a_passage_are_the_hosts(spark, model):
 def test_indentation_and_line_ends_dont_matter(model):
     rng = random.Random(13)
     t = doc("python", rng, 20)
-    score = lambda s: model.evidence(lines_of(np.frombuffer(s.encode() + b"\n", np.uint8), np.array([len(s.encode()) + 1])))
+    score = lambda s: model.evidence(lines_of(np.frombuffer(s.encode() + b"\n", np.uint8), np.array([len(s.encode()) + 1])))[0]
     assert np.allclose(score(t), score(t.replace("    ", "\t"))) and np.allclose(score(t), score(t.replace("\n", "\r\n")))
+
+
+def test_made_up_languages_are_rejected(spark, model):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11)))
+    rows = [(i, "\n".join(" ".join(word() for _ in range(9)) for _ in range(12)), None) for i in range(200)]
+    own = [x for _, r, x, _ in run(spark, model, rows) if r == "own"]
+    assert len(own) == 200 and sum(x is not None for x in own) < 10
+    # a passage of it in a text isn't named either, and the text keeps its language
+    code = doc("python", rng, 14) + "\n" + rows[0][1] + "\n" + doc("python", rng, 14)
+    assert {(r, x) for _, r, x, _ in run(spark, model, [(1, code, None)])} == {("own", "python")}
+
+
+def test_model_is_kept(spark, model, tmp_path):
+    path = f"file://{tmp_path}/model"
+    save_model(spark, model, path)
+    again = load_model(spark, path)
+    assert again.names == model.names and np.array_equal(again.table, model.table) and (again.heat, again.slope, again.at, again.bound) == (model.heat, model.slope, model.at, model.bound)
+
+
+def test_copies_and_rare_labels_in_the_sample(spark):
+    rng = random.Random(15)
+    rows = [(i, doc("en", rng), "en") for i in range(300)] + [(1000 + i, doc("sql", random.Random(1)), "sql") for i in range(300)] + [(2000, doc("de", rng), "enn")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y string").repartition(3)
+    texts, labels = sample_labelled(df, "text", "y", rows=400)
+    assert labels.count("sql") == 1 and labels.count("en") == 300 and "enn" not in labels

@@ -2,9 +2,14 @@
 
 A line's features are hashed subwords (byte 3-grams and 5-grams); the averaged embeddings of the features go through a linear
 softmax. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: in a first round on the labels
-as they are, in a second without the windows that the first round contradicts. A temperature is fitted on rows held out, and
-confidences below a bound, set there too, are rejected. As embedding and softmax are linear, the trained model is one table of
-a score for each feature and language, which is all the executors get.
+as they are, in a second without the windows that the first round contradicts. As embedding and softmax are linear, the trained model is one table of
+a score for each feature and language, which is all the executors get. It can be written to the shared folder and read again (:func:`save_model`).
+
+Rejection is calibrated on whole texts that are held out before any filtering, so on wrong labels too, and on windows made from them: mixed ones, of two
+languages, and foreign ones, in a made-up language (letters exchanged, marks dropped). The confidence of an answer is a logistic function of the margin
+between its mean score and the next one's, fitted to whether the label says the same, with a share of wrong labels allowed for; unlike softmax values it is small
+where the scores are small. Answers below
+the bound, which lets ``FOREIGN`` of the foreign windows pass, are rejected, for whole texts and for passages alike.
 
 Comments are read as neutral, so they belong to what they stand in. The lines of a text are segmented by the best path that pays
 for each change of language.
@@ -13,7 +18,9 @@ Defined results:
 * null, empty and blank texts have no language (no row); a text of only neutral lines is read with them;
 * a text's own language is the one with the most characters; ties go to the first in alphabetical order; other languages with runs of at least
   ``least_lines`` lines that aren't blank are its segments, also at the text's end;
-* equal rows get equal results; texts of any length are read whole; labels that are placeholders or have fewer than ``least_rows`` rows name no language;
+* a rejected text comes out with null as its language, a rejected passage not at all;
+* equal rows get equal results; texts of any length are read whole; labels that are placeholders or that fewer than ``LEAST_SHARE`` of the labelled rows have name no
+  language, nor do those beyond the ``MOST_LABELS`` most frequent;
 * without labelled rows there is no model and no row comes out; other columns are ignored.
 """
 
@@ -28,13 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import staged_path
+
 BUCKETS = 1 << 17  # for each order of n-grams
 ORDERS = (3, 5)
 DIM = 16
 CHUNK = 1 << 20
 SAMPLE_ROWS = 160  # labelled rows of each language that the model is fitted on, about
 SAMPLE_BYTES = 1 << 16  # longer rows aren't used for fitting
-LEAST_ROWS = 8
+LEAST_SHARE = 0.004  # of the labelled rows
+MOST_LABELS = 64
+FOREIGN = 0.05  # foreign windows that may pass
 PLACEHOLDERS = {"", "?", "-", "unknown", "und", "undefined", "none", "null", "n/a", "na", "other", "mul", "zxx", "text", "misc"}
 NEWLINE, SPACE = 10, 32
 LINE_FULL = 24.0  # n-grams of a line that count as a full line's evidence
@@ -181,10 +192,18 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """``table`` has a score for each feature and language; ``heat`` sharpens them; below ``bound`` an answer is rejected."""
+    """``table`` has a score for each feature and language; ``heat`` sharpens them for the path over lines.
+
+    ``slope`` and ``at`` make a confidence of a margin; below ``bound`` an answer is rejected.
+    """
+
+    def __init__(self, names: list[str], table: np.ndarray, bias: np.ndarray, heat: float = 1.0, slope: float = 1.0, at: float = 0.0, bound: float = 0.0):
+        self.names, self.table, self.bias, self.heat, self.slope, self.at, self.bound = names, table, bias, heat, slope, at, bound
 
-    def __init__(self, names: list[str], table: np.ndarray, bias: np.ndarray, heat: float = 1.0, bound: float = 0.0):
-        self.names, self.table, self.bias, self.heat, self.bound = names, table, bias, heat, bound
+    def confidence(self, scores: np.ndarray, n: np.ndarray, said: int) -> float:
+        """Of an answer for lines of these mean scores and numbers of features."""
+        z = n @ scores / max(float(n.sum()), 1.0) + self.bias
+        return float(1 / (1 + np.exp(-(self.slope * _margin(z, said) + self.at))))
 
     def line_scores(self, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
         """Mean score of each line for each language, and its number of features."""
@@ -196,15 +215,44 @@ class Model:
         n = n.astype(np.float32)
         return total / (n * len(ORDERS))[:, None], n
 
-    def evidence(self, lines: Lines) -> np.ndarray:
-        """Log probabilities of each line; 0 where it is blank or neutral."""
+    def evidence(self, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities of each line, 0 where it is blank or neutral; and the mean scores and numbers of features they come from."""
         s, n = self.line_scores(lines)
         z = (s + self.bias) * self.heat
         z -= z.max(1, keepdims=True)
         logp = z - np.log(np.exp(z).sum(1, keepdims=True))
         logp = np.maximum(logp, -6.0) * np.minimum(1.0, n / LINE_FULL)[:, None]
         logp[lines.blank | lines.neutral] = 0
-        return logp
+        return logp, s, n
+
+
+def _margin(z: np.ndarray, said: int) -> float:
+    others = np.delete(z, said)
+    return float(z[said] - others.max()) if len(others) else float(z[said])
+
+
+def save_model(spark, model: Model, path: str) -> None:
+    """Writes a model as rows of at most 64,000 features each, readable by every executor and by later sessions."""
+    import pandas as pd
+
+    whole, step = np.vstack([model.bias, model.table]).astype(np.float32), 64_000
+    rows = pd.DataFrame([(k, whole[s : s + step].tobytes()) for k, s in enumerate(range(0, len(whole), step))], columns=["part", "scores"])
+    head = [model.heat, model.slope, model.at, model.bound]
+    spark.createDataFrame(rows, "part int, scores binary").withColumn("names", F.array(*[F.lit(x) for x in model.names])).withColumn("head", F.array(*[F.lit(float(x)) for x in head])).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark, path: str) -> Model:
+    parts = sorted(spark.read.parquet(path).collect(), key=lambda r: r["part"])  # of fixed size: features x languages
+    whole = np.frombuffer(b"".join(r["scores"] for r in parts), np.float32).reshape(-1, len(parts[0]["names"]))
+    return Model(list(parts[0]["names"]), whole[1:], whole[0], *parts[0]["head"])
+
+
+def _foreign(text: str, rng: np.random.Generator) -> str:
+    """The text in a made-up language: letters exchanged, marks dropped; words and lines keep their lengths."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    to = "".join(letters[i] for i in rng.permutation(26))
+    text = "".join(c if c.isalnum() or c == "\n" else " " for c in text.lower())
+    return text.translate(str.maketrans(letters, to))
 
 
 def _windows(texts: list[str], label: np.ndarray, rng: np.random.Generator):
@@ -267,7 +315,7 @@ def _sgd(feats: list[np.ndarray], labels: np.ndarray, k: int, epochs: int, rng:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 3) -> Model:
-    """Fits the model: a fifth of the rows is held out for temperature and rejection."""
+    """Fits the model; a fifth of the texts is held out whole for the temperature and the rejection."""
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
@@ -276,31 +324,53 @@ def train(texts: list[str], labels: list[str], seed: int = 5, epochs: int = 3) -
     fit = np.flatnonzero(~held_out[owner])
     table, bias = _sgd([feats[i] for i in fit], wy[fit], len(names), max(1, epochs // 2), rng)
     # second round: without windows that the first contradicts
-    said = np.array([int(np.argmax(table[f].mean(0) + bias)) for f in feats])
-    good = fit[said[fit] == wy[fit]]
+    said = np.array([int(np.argmax(table[feats[i]].mean(0) + bias)) for i in fit])
+    good = fit[said == wy[fit]]
     if len(good) >= len(names):
         table, bias = _sgd([feats[i] for i in good], wy[good], len(names), epochs, rng)
-    check = np.flatnonzero(held_out[owner] & (said == wy))
-    heat, bound = 1.0, 0.5
-    if len(check):
-        z = np.stack([table[feats[i]].mean(0) + bias for i in check])
-        best = None
-        for h in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):
-            s = z * h
-            s = s - s.max(1, keepdims=True)
-            logp = s - np.log(np.exp(s).sum(1, keepdims=True))
-            loss = -np.maximum(logp[np.arange(len(check)), wy[check]], -6).mean()
+    check = np.flatnonzero(held_out[owner])
+    model = Model(names, table.astype(np.float32), bias.astype(np.float32))
+    if not len(check):
+        return model
+    scores = lambda fs: np.stack([table[f].mean(0) + bias for f in fs])
+    z = scores([feats[i] for i in check])
+    said, margin = z.argmax(1), np.array([_margin(x, int(x.argmax())) for x in z])
+    agrees = said == wy[check]
+    # labels that are wrong where the margin is largest are taken for wrong labels, not for wrong answers
+    noise = min(0.5, max(0.001, 1 - float(agrees[margin >= np.median(margin)].mean())))
+    best = None
+    for h in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):
+        p = np.exp(h * (z - z.max(1, keepdims=True)))
+        p = (p / p.sum(1, keepdims=True))[np.arange(len(check)), wy[check]]
+        loss = -np.log((1 - noise) * p + noise / len(names)).mean()
+        if best is None or loss < best[0]:
+            best = (loss, h)
+    model.heat = best[1]
+    outs = np.flatnonzero(held_out)
+    odd, _, _ = _windows([_foreign(texts[i], rng) for i in outs], y[outs], rng)
+    odd = [odd[i] for i in rng.permutation(len(odd))[: len(check)]]
+    other = check[rng.permutation(len(check))]
+    two = wy[check] != wy[other]
+    half = lambda f, n: f.reshape(len(ORDERS), -1)[:, :n].ravel()
+    even = [min(len(feats[a]), len(feats[b])) // len(ORDERS) for a, b in zip(check[two], other[two], strict=True)]
+    mixed = [np.concatenate([half(feats[a], n), half(feats[b], n)]) for a, b, n in zip(check[two], other[two], even, strict=True) if n]
+    if odd:
+        wrong = [np.array([_margin(x, int(x.argmax())) for x in scores(f)]) for f in (odd, mixed) if f]
+        model.slope, model.at = _logistic(np.concatenate([margin, *wrong]), np.concatenate([agrees, np.zeros(sum(map(len, wrong)), bool)]), 1 - noise)
+        model.bound = float(1 / (1 + np.exp(-(model.slope * np.quantile(wrong[0], 1 - FOREIGN) + model.at))))
+    return model
+
+
+def _logistic(x: np.ndarray, right: np.ndarray, most: float) -> tuple[float, float]:
+    """Slope and offset of the logistic function of ``x`` that, times ``most``, makes ``right`` likeliest: by search over steepness and middle."""
+    best = None
+    for slope in np.geomspace(0.25, 16, 25):
+        for middle in np.quantile(x, np.linspace(0.02, 0.98, 49)):
+            p = most / (1 + np.exp(-np.clip(slope * (x - middle), -30, 30)))
+            loss = -np.log(np.where(right, np.maximum(p, 1e-9), 1 - p)).mean()
             if best is None or loss < best[0]:
-                best = (loss, h, np.exp(logp))
-        heat = best[1]
-        right = best[2].argmax(1) == wy[check]
-        top = best[2].max(1)
-        # the least confidence from which on 99 of 100 answers held out are right
-        for b in np.linspace(0.3, 0.95, 14):
-            if right[top >= b].mean() >= 0.99 if (top >= b).any() else True:
-                bound = float(b)
-                break
-    return Model(names, table.astype(np.float32), bias.astype(np.float32), heat, bound)
+                best = (loss, float(slope), float(-slope * middle))
+    return best[1], best[2]
 
 
 def best_path(logp: np.ndarray, change: float, hinge: np.ndarray | None = None) -> np.ndarray:
@@ -325,7 +395,7 @@ def best_path(logp: np.ndarray, change: float, hinge: np.ndarray | None = None)
 
 def segments(model: Model, lines: Lines, n_texts: int, change: float, least_lines: int):
     """For each text its own language and confidence, and its other languages: lists (text, own, confidence), (text, language, lines, confidence)."""
-    logp = model.evidence(lines)
+    logp, scores, n = model.evidence(lines)
     first = np.searchsorted(lines.text, np.arange(n_texts))
     last = np.searchsorted(lines.text, np.arange(n_texts), "right")
     total = np.add.reduceat(logp, np.minimum(first, len(logp) - 1), axis=0)
@@ -361,27 +431,68 @@ def segments(model: Model, lines: Lines, n_texts: int, change: float, least_line
                 if path[s] != main and e - s >= least_lines:
                     seen = np.flatnonzero(~lines.neutral[solid[s:e]])
                     if len(seen):
-                        z = x[s:e][seen].mean(0)
-                        parts.append((t, int(path[s]), int(e - s), float(np.exp(z[path[s]]) / np.exp(z).sum())))
-            z = x[(path == main) & ~lines.neutral[solid]]
-            z = z.mean(0) if len(z) else total[t]
+                        rows = solid[s:e][seen]
+                        sure = model.confidence(scores[rows], n[rows], int(path[s]))
+                        if sure >= model.bound:
+                            parts.append((t, int(path[s]), int(e - s), sure))
+            rows = solid[(path == main) & ~quiet]
+            rows = rows if len(rows) else solid[~quiet]
         else:
-            z = x[~lines.neutral[solid]].mean(0)
-        own.append((t, main, float(np.exp(z[main]) / np.exp(z).sum()), a, b))
+            rows = solid[~lines.neutral[solid]]
+        own.append((t, main, model.confidence(scores[rows], n[rows], main), a, b))
     return own, parts
 
 
-def sample_labelled(docs: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows, about ``rows`` of each language, by a hash of the row's text."""
+def sample_labelled(docs: DataFrame, text: str, label: str, rows: int = SAMPLE_ROWS, least_share: float = LEAST_SHARE) -> tuple[list[str], list[str]]:
+    """A bounded sample of labelled rows: about ``rows`` different texts of each language, by a hash of the text.
+
+    The count reads the labels only. Copies are dropped in each task before they are shuffled, so a group of copies counts once however large it is.
+    """
     clean = F.lower(F.trim(F.col(label)))
-    known = docs.select(clean.alias("y"), F.col(text).alias("t")).where(F.col("y").isNotNull() & ~F.col("y").isin(*PLACEHOLDERS) & F.octet_length("t").between(40, SAMPLE_BYTES))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).collect()}
+    named = docs.select(clean.alias("y")).where(F.col("y").isNotNull() & ~F.col("y").isin(*PLACEHOLDERS))
+    most = named.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LABELS).collect()
+    total = sum(r["n"] for r in most)
+    counts = {r["y"]: r["n"] for r in most if r["n"] >= max(2, least_share * total)}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, rows / n))])[F.col("y")]
-    drawn = known.where(F.col("y").isin(*counts)).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * rows * len(counts) + 1000)
-    got = sorted(((r["y"], r["t"]) for r in drawn.collect()))
-    return [t for _, t in got], [y for y, _ in got]
+    known = docs.select(clean.alias("y"), F.col(text).alias("t")).where(F.col("y").isin(*counts) & F.octet_length("t").between(40, SAMPLE_BYTES))
+    drawn = known.withColumn("h", F.xxhash64("t")).where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            fresh = []
+            for i, k in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            if fresh:
+                yield batch.take(pa.array(fresh))
+
+    got = {(r["y"], r["t"]) for r in drawn.mapInArrow(once, drawn.schema).select("y", "t").collect()}
+    ordered = sorted(got)
+    return [t for _, t in ordered], [y for y, _ in ordered]
+
+
+_TRAINED: dict[tuple, str | None] = {}  # the session's models by the files they were fitted on: where they are kept
+
+
+def model_of(docs: DataFrame, text: str, label: str) -> Model | None:
+    """The model of these documents: fitted once in a session for the same files, kept in the shared folder; None without labelled rows."""
+    spark = docs.sparkSession
+    files = tuple(sorted(docs.inputFiles()))
+    known = (spark.sparkContext.applicationId, text, label, files)
+    if files and known in _TRAINED:
+        return load_model(spark, _TRAINED[known]) if _TRAINED[known] else None
+    texts, labels = sample_labelled(docs, text, label)
+    model = train(texts, labels) if texts else None
+    if files:
+        path = staged_path(spark, "language") if model else None
+        if model:
+            save_model(spark, model, path)
+        _TRAINED[known] = path
+    return model
 
 
 def languages(docs: DataFrame, key: str, text: str, label: str, model: Model | None = None, change: float = 8.0, least_lines: int = 6) -> DataFrame:
@@ -394,10 +505,9 @@ def languages(docs: DataFrame, key: str, text: str, label: str, model: Model | N
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("label", T.StringType()), T.StructField("role", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("lines", T.IntegerType())])
     if model is None:
-        texts, labels = sample_labelled(docs, text, label)
-        if not texts:
+        model = model_of(docs, text, label)
+        if model is None:
             return spark.createDataFrame([], schema)
-        model = train(texts, labels)
     sent = spark.sparkContext.broadcast(model)  # fixed size: features x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +530,9 @@ def languages(docs: DataFrame, key: str, text: str, label: str, model: Model | N
                         alone = Lines(lines.data, lines.start[a:b], lines.end[a:b], lines.text[a:b] - t, lines.blank[a:b], np.zeros(b - a, bool), lines.closer[a:b], lines.fence[a:b], lines.hinge[a:b])
                         cut = slice(int(lines.start[a]), int(lines.end[b - 1]) + 1)
                         alone.data, alone.start, alone.end = lines.data[cut], alone.start - cut.start, alone.end - cut.start
-                        z = model.evidence(alone).sum(0) / max((~alone.blank).sum(), 1)
-                        lang, sure = int(z.argmax()), float(np.exp(z.max()) / np.exp(z).sum())
+                        logp, scores, count = model.evidence(alone)
+                        lang = int(logp.sum(0).argmax())
+                        sure = model.confidence(scores[~alone.blank], count[~alone.blank], lang)
                     out.append((t, "own", model.names[lang] if sure >= model.bound else None, sure, int((~lines.blank[a:b]).sum())))
                 out += [(t, "segment", model.names[k], sure, n) for t, k, n, sure in parts]
                 if out:

@@ -29,6 +29,7 @@ from weftline.session import staged
 CAPACITY = 4096
 WINDOW = 256  # texts without a place that a container is chosen from, at most
 NEAR = 16
+PART_TEXTS, MOST_PARTS = 10_000, 4096  # texts of a task, until there are so many tasks; each leaves one container that isn't full
 SLACK = 1 / 256  # a container filled so far looks no farther
 BITS = 10
 PIECE = 1 << 20  # bytes that one packed sum takes without overflow
@@ -160,7 +161,10 @@ def pack(df: DataFrame, key: str, text: str, size: str | None = None, capacity:
     """
     if key in ("piece", "container", "offset", "tokens"):
         raise ValueError(f"the key can't be named {key}")
-    keyed = staged(curve_keys(df, key, text, size), "curve").repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
+    keyed = staged(curve_keys(df, key, text, size), "curve")
+    # a number of its own, or adaptive execution would pack few bytes of keys in one task
+    parts = max(1, min(-(-keyed.count() // PART_TEXTS), MOST_PARTS))
+    keyed = keyed.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key")
     schema = T.StructType([T.StructField(key, keyed.schema["key"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("tokens", T.IntegerType())])
 
     enough = capacity - int(capacity * SLACK)
