@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from weftline.llm.percentiles import group_percentiles, sorted_runs
+from weftline.llm.percentiles import counted_runs, group_percentiles
 
 QS = [0.0, 0.05, 0.5, 0.95, 1.0]
 
@@ -45,8 +45,31 @@ def test_equals_numpy_with_hot_group_over_many_partitions(spark):
 def test_days_combine(spark):
     rows = [(i % 3, "x", float(i * 37 % 101)) for i in range(300)]
     df = spark.createDataFrame(rows, "a int, b string, v double")
-    days = [sorted_runs(df.where(F.col("v") % 2 == k), ["a", "b"], "v") for k in (0, 1)]
-    same(run(days[0].unionByName(days[1])), brute(rows))
+    days = [counted_runs(df.where(F.col("v") % 2 == k), ["a", "b"], "v") for k in (0, 1)]
+    both = group_percentiles(days[0].unionByName(days[1]), ["a", "b"], "v", QS, "w")
+    same({tuple(r[:-2]): (r.n, list(r["at"])) for r in both.collect()}, brute(rows))
+
+
+def test_one_value_ten_million_times(spark):
+    df = spark.range(10_000_000, numPartitions=8).selectExpr("1 AS a", "'x' AS b", "IF(id = 77, 9.0, 5.0) AS v")
+    assert run(df) == {(1, "x"): (10_000_000, [5.0, 5.0, 5.0, 5.0, 9.0])}
+    assert counted_runs(df, ["a", "b"], "v").count() < 100
+
+
+def test_long_groups_go_out_as_they_come(spark, monkeypatch):
+    from weftline.llm import percentiles
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice("xy"), round(rng.gauss(0, 9), 2)) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "a int, b string, v double")
+    for held in (1, 50, 3000):
+        monkeypatch.setattr(percentiles, "ROWS_HELD", held)
+        same(run(df), brute(rows))
+
+
+def test_weights(spark):
+    df = spark.createDataFrame([(1, "x", 1.0, 3), (1, "x", 2.0, 1), (1, "x", 9.0, 0), (1, "x", 9.0, None)], "a int, b string, v double, k int")
+    assert [tuple(r) for r in group_percentiles(df, ["a", "b"], "v", [0.5, 1.0], "k").collect()] == [(1, "x", 4, [1.0, 2.0])]
 
 
 def test_edges(spark):
