@@ -40,10 +40,11 @@ _W = r"[ \t\n\r]*+"
 _S = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+'
 _N = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+"
 _MEMBER = rf'"{_S}"{_W}:{_W}(?:"{_S}"|{_N}|true|false|null)'
-_FLAT = re.compile(rf"{_W}\{{{_W}((?:{_MEMBER}(?:{_W},{_W}{_MEMBER})*+)?+){_W}\}}{_W}").match
+_FLAT = re.compile(rf"{_W}\{{{_W}((?:{_MEMBER}(?:{_W},{_W}{_MEMBER})*+)?+){_W}\}}{_W}([,\]])").match
 _PAIRS = re.compile(rf'"({_S})"{_W}:{_W}(?:"({_S})"|({_N})|(true|false|null))').findall
 _ATOM = re.compile(rf'(?:"({_S})"|({_N})|(true|false|null)){_W}').match
 _KEY = re.compile(rf'{_W}"({_S})"{_W}:{_W}').match
+_LEAF = re.compile(rf'{_W}"({_S})"{_W}:{_W}(?:"({_S})"|({_N})|(true|false|null)){_W}([,}}])').match
 _SPACE = re.compile(_W).match
 TEXT, NUMERIC, WORD = "str", "number", "word"
 
@@ -284,10 +285,11 @@ class Triples:
         while True:
             m = _FLAT(text, pos)
             if m is not None:
+                leaves, c = m.groups()
                 pos = m.end()
                 if entry is not None:
                     self._enter(entry, i)
-                    self._members(m.group(1), entry)
+                    self._members(leaves, entry)
             else:
                 pos = _SPACE(text, pos).end()
                 at = entry
@@ -296,9 +298,9 @@ class Triples:
                         at = None
                     else:
                         self._enter(entry, i)
-                pos = self._object(text, pos + 1, at) if text[pos : pos + 1] == "{" else self._value(text, pos, at)
-            c = text[pos : pos + 1]
-            pos += 1
+                pos = self._object(text, pos + 1, at) if text.startswith("{", pos) else self._value(text, pos, at)
+                c = text[pos : pos + 1]
+                pos += 1
             if c == "]":
                 return _SPACE(text, pos).end()
             if c != ",":
@@ -340,16 +342,28 @@ class Triples:
             return _SPACE(text, pos + 1).end()
         seen = set()
         while True:
-            m = _KEY(text, pos)
-            if m is None:
-                raise _Bad
-            k = _plain(m.group(1))
+            m, leaf = _LEAF(text, pos), True
+            if m is not None:
+                k, s, n, w, c = m.groups()
+                pos = m.end()
+            else:
+                m, leaf = _KEY(text, pos), False
+                if m is None:
+                    raise _Bad
+                k = m.group(1)
+            if "\\" in k:
+                k = _plain(k)
             if k in seen:
                 raise _Twice
             seen.add(k)
-            pos = self._value(text, m.end(), None if node is None else node.get(k) if self.known else self._member(node, k))
-            c = text[pos : pos + 1]
-            pos += 1
+            child = None if node is None else node.get(k) if self.known else self._member(node, k)
+            if leaf:
+                if child is not None:
+                    self._keep(child, s if s is not None else n or w, TEXT if s is not None else NUMERIC if n else WORD)
+            else:
+                pos = self._value(text, m.end(), child)
+                c = text[pos : pos + 1]
+                pos += 1
             if c == "}":
                 return _SPACE(text, pos).end()
             if c != ",":
