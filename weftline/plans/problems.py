@@ -113,7 +113,7 @@ def p6_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     ris = table(spark, folder, "ris_frames")
-    return surplus(ris, "delivery_id", "batch_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
+    return surplus(ris, "delivery_id", F.col("data.id"), F.col("data.peer"), F.round(F.col("data.timestamp") * 1000))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_hops, p1_tables, p2_found, p2_nearest, p2_zones, p5_found, p6_found, p6_diverted, p6_hourly, p6_stream, p7_found)}
