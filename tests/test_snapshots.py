@@ -1,6 +1,8 @@
 import random
 
-from weftline.operators.snapshots import assign_ordinals, canonical_prefix, snapshot_changes, with_canonical_prefix
+import numpy as np
+
+from weftline.operators.snapshots import Bitmap, assign_ordinals, canonical_prefix, snapshot_changes, with_canonical_prefix
 
 SCHEMA = "snap string, line_no long, c0 string, c1 string, c2 string, change string, bucket string"
 
@@ -49,9 +51,32 @@ def test_edges(spark):
 def test_ordinals_persist(spark):
     first = assign_ordinals(spark.createDataFrame([(f"k{i}",) for i in range(50)], "k string"), "k", bucket=10)
     kept = {r.key: (r.bucket, r.ordinal) for r in first.collect()}
-    more = assign_ordinals(spark.createDataFrame([(f"k{i}",) for i in range(30, 90)], "k string"), "k", known=first)
+    more = assign_ordinals(spark.createDataFrame([(f"k{i}",) for i in range(30, 90)], "k string"), "k", known=first, bucket=10)
     now = {r.key: (r.bucket, r.ordinal) for r in more.collect()}
-    assert len(set(now.values())) == 90 and all(now[k] == v for k, v in kept.items())
+    # the ordinals stay, the buckets are split as the keys grow
+    assert len(set(now.values())) == 90 and all(now[k][1] == v[1] for k, v in kept.items()) and len({b for b, _ in now.values()}) > len({b for b, _ in kept.values()})
+
+
+def test_bitmaps_are_sets_and_small():
+    rng = random.Random(4)
+    for most, n in ((50, 20), (200_000, 300), (70_000, 60_000), (10**9, 5000)):
+        a, b = ({rng.randrange(most) for _ in range(n)} for _ in range(2))
+        x, y = Bitmap.of(np.array(sorted(a))), Bitmap.of(np.array(sorted(b)))
+        assert (x & y).members().tolist() == sorted(a & b) and x.and_not(y).members().tolist() == sorted(a - b)
+        assert Bitmap.from_bytes(x.to_bytes()).members().tolist() == sorted(a)
+        assert len(x.to_bytes()) <= min(2 * len(a), 8192 * (most // 65_536 + 1)) + 16 * len(x.parts)
+    assert Bitmap.of(np.zeros(0, int)).members().tolist() == [] and Bitmap.from_bytes(b"").parts == {}
+
+
+def test_deliveries_of_later_calls_follow(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"s{s}", n, f"k{rng.randrange(60 + 60 * s)}", rng.choice(["a", None]), "x") for s in range(6) for n in range(40 + 40 * s)]
+    rows += [("s3", 999, "gone", "a", "a")]
+    state = f"file://{tmp_path}/state"
+    got = []
+    for part in (("s0", "s1"), ("s2",), ("s3",), ("s4", "s5")):  # keys grow, so buckets are split on the way
+        got += run(spark, [r for r in rows if r[0] in part], state=state, bucket=32)
+    assert sorted(got) == brute(rows)
 
 
 def test_canonical_prefixes(spark):
