@@ -87,3 +87,11 @@ def test_regions_that_contain_points(spark):
                     want += [(i, k) for s in (-360, 0, 360) if inside_ring(np.array([lat]), np.array([lon + s]), y, x)[0]]
     assert got == sorted(want) and {(800, 1), (801, 2), (802, 2)} <= set(got)
     assert containing_regions(spark.createDataFrame([], SCHEMA), r, {"id": "a"}, {"zone": "zone"}).count() == 0
+
+
+def test_very_many_rows_at_one_place(spark):
+    a = spark.range(20_000).selectExpr("id", "48.1 + id / 1e7 AS lat", "11.5 AS lon").unionByName(spark.range(100_000, 100_050).selectExpr("id", "(id - 100000) * 1.0 AS lat", "(id - 100000) * 2.0 AS lon"))
+    b = spark.range(5_000).selectExpr("id AS other", "48.1 AS lat", "11.5 + id / 1e7 AS lon")
+    got = near_pairs(a, b, {"id": "id"}, {"other": "other"}, 50.0)
+    assert got.count() == 20_000 * 5_000
+    assert got.agg({"km": "max"}).first()[0] < 1

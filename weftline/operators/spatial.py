@@ -3,7 +3,8 @@
 Sample-driven quadtree partitioning over longitude and latitude, boundary replication of the neighbour side, an R-tree
 bulk-loaded (sort-tile-recursive) in each partition and probed with the other side, exact great-circle refinement. The
 reference point of a pair is its left position: only the leaf that owns it reports the pair, so replication makes no
-duplicates. Leaves too full for one task (many rows at one place, where splitting no longer helps) are cut into blocks of both sides.
+duplicates. Leaves too full for one task (many rows at one place, where splitting no longer helps) are cut into blocks of both sides, by their rows
+and by the pairs that the sample finds in them.
 
 Defined results:
 * rows with a null, NaN or infinite coordinate, or a latitude beyond +-90, have no position and no pairs;
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 SAMPLE = 20_000  # positions that the driver sees, at most about twice this
 LEAF = 12_000  # rows of either side that one task holds, about
+PAIRS = 4_000_000  # pairs that one task finds, about
+PROBED = 2_000  # positions of each side from which the pairs of a leaf are estimated
 FANOUT = 16
 
 
@@ -164,7 +167,17 @@ def near_pairs(left: DataFrame, right: DataFrame, left_keys: dict[str, str], rig
     boxes, _own = reach(sb[:, 0], sb[:, 1], km, radius)
     held_a = np.bincount(tree.of_points(sa[:, 0], sa[:, 1]), minlength=tree.n) * fa
     held_b = np.bincount(tree.of_boxes(boxes)[1], minlength=tree.n) * fb
-    cut_a, cut_b = np.maximum(1, np.ceil(held_a / (2 * leaf))).astype(int), np.maximum(1, np.ceil(held_b / (2 * leaf))).astype(int)
+    cut_a, cut_b = np.maximum(1, np.ceil(held_a / (2 * leaf))), np.maximum(1, np.ceil(held_b / (2 * leaf)))
+    some_a, some_b = sa[:: max(1, len(sa) // PROBED)], sb[:: max(1, len(sb) // PROBED)]
+    if len(some_a) and len(some_b):
+        some_boxes, own = reach(some_b[:, 0], some_b[:, 1], km, radius)
+        p, q = RTree(some_boxes).probe(some_a[:, 0], some_a[:, 1])
+        near = great_circle(some_a[p, 0], some_a[p, 1], some_b[own[q], 0], some_b[own[q], 1], radius) <= km
+        found = np.bincount(tree.of_points(some_a[p[near], 0], some_a[p[near], 1]), minlength=tree.n) * (n_a / len(some_a)) * (n_b / len(some_b))
+        more = np.sqrt(np.maximum(1.0, found / PAIRS / (cut_a * cut_b)))
+        # a side is cut no finer than its rows
+        cut_a, cut_b = np.minimum(np.ceil(cut_a * more), np.maximum(cut_a, held_a)), np.minimum(np.ceil(cut_b * more), np.maximum(cut_b, held_b))
+    cut_a, cut_b = cut_a.astype(int), cut_b.astype(int)
 
     a_fields, b_fields = [f for f in a.schema if f.name[0] == "k"], [f for f in b.schema if f.name[0] == "k"]
     cell = [T.StructField("leaf", T.IntegerType()), T.StructField("ca", T.IntegerType()), T.StructField("cb", T.IntegerType())]
