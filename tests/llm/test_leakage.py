@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from weftline.llm import leakage
-from weftline.llm.leakage import leaks, suffix_array, without_leaks, words_of_all
+from weftline.llm.leakage import leak_places, leaks, suffix_array, without_leaks, words_of_all
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -71,3 +71,33 @@ def test_suffix_array_orders_by_depth():
         got = [tuple(s[i : i + depth]) for i in suffix_array(s, depth)]
         pad = [g + (0,) * (depth - len(g)) for g in got]
         assert pad == sorted(pad)
+
+
+def test_places_of_all_longest_runs(spark, monkeypatch):
+    docs, items = texts(40, 7, 50), texts(15, 8, 30)
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "key long, text string")
+    want, words = set(), 3
+    for k, t in docs:
+        a = WORD.findall(t.lower())
+        for m, s in items:
+            b = WORD.findall(s.lower())
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                        n = 0
+                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                            n += 1
+                        if n >= words:
+                            want.add((k, m, i, j, n))
+    for hits, block in ((4_000_000, 32 << 20), (37, 150)):  # few hits at a time, many blocks over written shards
+        monkeypatch.setattr(leakage, "HITS", hits)
+        monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
+        assert set(map(tuple, leak_places(d, e, "doc_id", "text", "key", "text", words).collect())) == want
+
+
+def test_boilerplate_everywhere(spark):
+    passage = " ".join(f"w{i}" for i in range(90))
+    d = spark.createDataFrame([(k, f"{passage} x{k}") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    e = spark.createDataFrame([(k, f"y{k} {passage}") for k in range(60)], "key long, text string")
+    got = leaks(d, e, "doc_id", "text", "key", "text")
+    assert got.count() == 180_000 and got.agg({"run": "min"}).first()[0] == 90

@@ -1,16 +1,18 @@
 """Evaluation passages inside training texts, by suffix arrays.
 
 The training texts are cut into shards; each shard gets a word-level suffix array (ranks doubled until suffixes are ordered by
-their first ``words`` words), and every suffix of the evaluation items is binary-searched in it. Each hit gives the place and, along
-its diagonal, the longest verbatim run of words. The evaluation set is sent to the executors in blocks of bounded
-size; the training texts are never shuffled.
+their first ``words`` words), and every suffix of the evaluation items is binary-searched in it. Hits are joined along their
+diagonal to the longest verbatim runs of words, with their places in both texts (:func:`leak_places`), a bounded number at a time, so passages that
+stand everywhere in a shard cost no memory. The evaluation set is sent to the executors in blocks of bounded size, one after the other. If there are several,
+the shards' arrays are written to the shared folder first and every block is searched in them; they are sorted once. The training texts are never shuffled.
 
 Words are maximal runs of letters and digits, without regard to case; a word is a 64-bit hash of its letters.
 
 Defined results:
 * null, empty and too short texts and items have no matches; equal rows give equal matches;
 * a text of any length is searched whole: long ones in stretches that overlap by ``words - 1`` words;
-* repeated passages count at every place; one row for each pair of a row and an item, with the longest run;
+* repeated passages count at every place; :func:`leaks` gives one row for each pair of a row and an item, with the longest run;
+* a run over the border of two stretches of a very long text comes out as two runs that overlap;
 * an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -25,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import staged
+
 SHARD_WORDS = 600_000
 CHUNK_CHARS = 3_000_000
+HITS = 4_000_000  # hits that are joined at a time
 BLOCK_BYTES = 32 << 20  # of evaluation text that goes to the executors at once
 MULT = 0x9E3779B97F4A7C15
 
@@ -153,95 +158,152 @@ def search(symbols: np.ndarray, order: np.ndarray, query: np.ndarray, right: boo
     return lo
 
 
-def _matches(words: np.ndarray, owner: np.ndarray, item_words: np.ndarray, item_of: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, longest run) of one shard. ``words`` has a 0 after each text; ``item_words`` a 0 after each item."""
-    vocabulary, symbols = np.unique(words, return_inverse=True)
-    at = np.searchsorted(vocabulary, item_words)
-    known = np.minimum(at, len(vocabulary) - 1)
-    query = np.where((vocabulary[known] == item_words) & (item_words != 0), known, -1)
-    if len(query) < depth:
-        return (np.zeros(0, int),) * 3
-    grid = np.lib.stride_tricks.sliding_window_view(query, depth)
-    order = suffix_array(symbols, depth)
-    suffix = np.flatnonzero((grid >= 0).all(1))
-    if not len(suffix):
-        return (np.zeros(0, int),) * 3
-    lo, hi = search(symbols, order, grid[suffix], False), search(symbols, order, grid[suffix], True)
-    n = hi - lo
-    t = np.repeat(suffix, n)
-    p = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(t))]
-    # runs along a diagonal of one pair make one longer match
-    text, item, diagonal = owner[p], item_of[t], p - t
-    o = np.lexsort((p, diagonal, item, text))
-    text, item, diagonal, p = text[o], item[o], diagonal[o], p[o]
+class Shard:
+    """The words of some texts, 0 after each, as symbols of their vocabulary, and their suffix array."""
+
+    def __init__(self, vocabulary: np.ndarray, symbols: np.ndarray, order: np.ndarray):
+        self.vocabulary, self.symbols, self.order = vocabulary, symbols, order
+
+    @classmethod
+    def of(cls, words: np.ndarray, depth: int) -> Shard:
+        vocabulary, symbols = np.unique(words, return_inverse=True)
+        return cls(vocabulary, symbols.astype(np.int32), suffix_array(symbols, depth).astype(np.int32))
+
+    def runs(self, item_words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the shard, place in ``item_words``, length) of the longest runs of ``depth`` words or more; items have a 0 after each."""
+        none = (np.zeros(0, np.int64),) * 3
+        at = np.searchsorted(self.vocabulary, item_words)
+        known = np.minimum(at, len(self.vocabulary) - 1)
+        query = np.where((self.vocabulary[known] == item_words) & (item_words != 0), known, -1)
+        if len(query) < depth:
+            return none
+        grid = np.lib.stride_tricks.sliding_window_view(query, depth)
+        suffix = np.flatnonzero((grid >= 0).all(1))
+        if not len(suffix):
+            return none
+        lo, hi = search(self.symbols, self.order, grid[suffix], False), search(self.symbols, self.order, grid[suffix], True)
+        some = hi > lo
+        suffix, lo, n = suffix[some], lo[some], (hi - lo)[some]
+        if not len(suffix):
+            return none
+        part, out = (np.cumsum(n) - n) // HITS, [none]
+        for k in np.split(np.arange(len(suffix)), np.flatnonzero(np.diff(part)) + 1):
+            t = np.repeat(suffix[k], n[k])
+            p = self.order[np.repeat(lo[k] - np.r_[0, np.cumsum(n[k])[:-1]], n[k]) + np.arange(len(t))].astype(np.int64)
+            out.append(_joined(p, t, np.ones(len(p), np.int64)))
+        p, t, length = _joined(*(np.concatenate(x) for x in zip(*out, strict=True))) if len(out) > 2 else out[-1]
+        return p, t, length + depth - 1
+
+
+def _joined(p: np.ndarray, t: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches that follow each other on a diagonal, as one."""
+    o = np.lexsort((p, p - t))
+    p, t, length = p[o], t[o], length[o]
     new = np.ones(len(p), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1)
+    new[1:] = (p[1:] - t[1:] != p[:-1] - t[:-1]) | (p[1:] != p[:-1] + length[:-1])
     start = np.flatnonzero(new)
-    run = np.diff(np.r_[start, len(p)]) + depth - 1
-    text, item = text[start], item[start]
-    first = np.ones(len(start), bool)
-    first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-    at = np.flatnonzero(first)
-    return text[at], item[at], np.maximum.reduceat(run, at) if len(at) else run
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, words: int = 12) -> DataFrame:
-    """(doc_key, item_key, run): every text and item that share ``words`` consecutive words or more, with the longest run."""
-    if len({doc_key, item_key, "run"}) < 3:
-        raise ValueError("the keys need different names, and not run")
+    return p[start], t[start], np.add.reduceat(length, start) if len(start) else length
+
+
+def _shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """(words, length of each stretch, its first word's place in its text, its key) of about SHARD_WORDS words at a time."""
+    held, lengths, firsts, names, count = [], [], [], [], 0
+    for batch in batches:
+        for i, h in words_of_all(batch.column(1).to_pylist()):
+            for s in range(0, len(h) - words + 1, SHARD_WORDS):
+                part = h[s : s + SHARD_WORDS + words - 1]
+                held += [part, np.zeros(1, np.uint64)]
+                lengths.append(len(part) + 1)
+                firsts.append(s)
+                names.append(batch.column(0).slice(i, 1))
+                count += len(part) + 1
+                if count >= SHARD_WORDS:
+                    yield np.concatenate(held), np.array(lengths), np.array(firsts), pa.concat_arrays(names)
+                    held, lengths, firsts, names, count = [], [], [], [], 0
+    if count:
+        yield np.concatenate(held), np.array(lengths), np.array(firsts), pa.concat_arrays(names)
+
+
+def leak_places(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, words: int = 12) -> DataFrame:
+    """(doc_key, item_key, at, item_at, run): every longest run of ``words`` words or more that a text and an item share; places count words from 0."""
+    if len({doc_key, item_key, "run", "at", "item_at"}) < 5:
+        raise ValueError("the keys need different names, and not run, at or item_at")
+    spark = docs.sparkSession
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("key"), F.col(item_text).alias("text"))
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-volume // BLOCK_BYTES))
-    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema["key"].dataType), T.StructField("run", T.IntegerType())])
+    numbers = [T.StructField(c, T.LongType()) for c in ("at", "item_at")]
+    schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema["key"].dataType), *numbers, T.StructField("run", T.IntegerType())])
     source = docs.where(F.length(doc_text) > 2 * (words - 1)).select(F.col(doc_key).alias("key"), F.col(doc_text).alias("text"))
-    found = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == block).collect()
-        keys, stream = [], []
+
+    def block_of(number: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(words, first word of each item, keys) of one block."""
+        rows = items.where(F.pmod(F.xxhash64("key", "text"), F.lit(blocks)) == number).collect()
+        keys, stream, size = [], [], []
         for i, h in words_of_all([r["text"] for r in rows]):
-            keys.append((rows[i]["key"], len(h) + 1))
+            keys.append(rows[i]["key"])
+            size.append(len(h) + 1)
             stream += [h, np.zeros(1, np.uint64)]
-        item_words = np.concatenate(stream) if stream else np.zeros(0, np.uint64)
-        item_of = np.repeat(np.arange(len(keys)), [n for _, n in keys])
-        item_keys = pa.array([k for k, _ in keys])
-        sent = docs.sparkSession.sparkContext.broadcast((item_words, item_of, item_keys))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            item_words, item_of, item_keys = sent.value
-            held, owners, names, count = [], [], [], 0
-
-            def shard() -> pa.RecordBatch:
-                text, item, length = _matches(np.concatenate(held), np.repeat(np.arange(len(owners)), owners), item_words, item_of, words)
-                key = pa.concat_arrays(names) if names else None
-                out = pa.RecordBatch.from_arrays([key.take(pa.array(text)), item_keys.take(pa.array(item)), pa.array(length, pa.int32())], names=schema.names)
-                for x in (held, owners, names):
-                    x.clear()
-                return out
+        return np.concatenate(stream) if stream else np.zeros(0, np.uint64), np.cumsum(size) - size, pa.array(keys)
+
+    def found(shard: Shard, block, lengths: np.ndarray, firsts: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        item_words, item_first, item_keys = block
+        p, t, run = shard.runs(item_words, words)
+        starts = np.cumsum(lengths) - lengths
+        text, item = np.searchsorted(starts, p, "right") - 1, np.searchsorted(item_first, t, "right") - 1
+        for s in range(0, len(p), 65_536):
+            c = slice(s, s + 65_536)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(text[c])), item_keys.take(pa.array(item[c])), pa.array((p - starts[text] + firsts[text])[c] if len(p) else p, pa.int64()), pa.array((t - item_first[item])[c] if len(p) else t, pa.int64()), pa.array(run[c], pa.int32())], names=schema.names)
+
+    if blocks == 1:
+        block = block_of(0)
+        if len(block[0]) < words:
+            return spark.createDataFrame([], schema)
+        sent = spark.sparkContext.broadcast(block)
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for h, lengths, firsts, names in _shards(batches, words):
+                yield from found(Shard.of(h, words), sent.value, lengths, firsts, names)
+
+        return source.mapInArrow(once, schema)
+
+    array = T.BinaryType()
+    kept = T.StructType([*[T.StructField(c, array) for c in ("vocabulary", "symbols", "suffixes", "lengths", "firsts")], T.StructField("names", T.ArrayType(docs.schema[doc_key].dataType))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, lengths, firsts, names in _shards(batches, words):
+            shard = Shard.of(h, words)
+            data = [pa.array([x.tobytes()], pa.binary()) for x in (shard.vocabulary, shard.symbols, shard.order, lengths.astype(np.int64), firsts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*data, pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], names=kept.names)
+
+    index = staged(source.mapInArrow(build, kept), "shards")
+    parts = []
+    for number in range(blocks):
+        block = block_of(number)
+        if len(block[0]) < words:
+            continue
+        sent = spark.sparkContext.broadcast(block)
 
+        def again(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, h in words_of_all(batch.column(1).to_pylist()):
-                    if len(h) < words:
-                        continue
-                    for s in range(0, len(h) - words + 1, SHARD_WORDS):
-                        part = h[s : s + SHARD_WORDS + words - 1]
-                        held += [part, np.zeros(1, np.uint64)]
-                        owners.append(len(part) + 1)
-                        names.append(batch.column(0).slice(i, 1))
-                        count += len(part) + 1
-                        if count >= SHARD_WORDS:
-                            yield shard()
-                            count = 0
-            if count:
-                yield shard()
-
-        if len(item_words) >= words:
-            found.append(source.mapInArrow(run, schema))
-    if not found:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = found[0]
-    for x in found[1:]:
+                for i in range(batch.num_rows):
+                    get = lambda c, kind, batch=batch, i=i: np.frombuffer(batch.column(c)[i].as_py(), kind)
+                    shard = Shard(get("vocabulary", np.uint64), get("symbols", np.int32), get("suffixes", np.int32))
+                    yield from found(shard, sent.value, get("lengths", np.int64), get("firsts", np.int64), batch.column("names")[i].values)
+
+        parts.append(staged(index.mapInArrow(again, schema), "leaks"))
+        sent.destroy()  # the block's results are written
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for x in parts[1:]:
         out = out.unionByName(x)
-    return out.groupBy(doc_key, item_key).agg(F.max("run").alias("run"))
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, words: int = 12) -> DataFrame:
+    """(doc_key, item_key, run): every text and item that share ``words`` consecutive words or more, with the longest run."""
+    return leak_places(docs, items, doc_key, doc_text, item_key, item_text, words).groupBy(doc_key, item_key).agg(F.max("run").alias("run"))
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.canonical import map_values
 from weftline.llm.language import languages
-from weftline.llm.leakage import leaks
+from weftline.llm.leakage import leak_places, leaks, without_leaks
 from weftline.llm.packing import fill, pack
 from weftline.llm.percentiles import group_percentiles
 
@@ -92,6 +92,17 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest"))
 
 
+def p9_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the passages stand, in words from the start of the document and of the item."""
+    return leak_places(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each source when documents with leaked passages are removed."""
+    documents = _table(spark, folder, "documents").select("doc_id", "source")
+    return without_leaks(documents, _leaks(spark, folder), "doc_id").groupBy("source").agg(F.count("*").alias("documents"))
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").where(F.length("text") >= 40)
     return languages(docs, "doc_id", "text", "lang")
@@ -109,12 +120,18 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
     return own.groupBy(F.lower(F.trim("label")).alias("label"), "lang").agg(F.count("*").alias("documents"), F.avg("confidence").alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p4_found, p4_unmatched, p8_found, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_labels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_targets, p4_found, p4_unmatched, p8_found, p8_containers, p8_fill, p9_found, p9_items, p9_places, p9_clean, p10_found, p10_labels)}
 
 _TS = "CASE WHEN abs(timestamp) >= 100000000000000000 THEN timestamp // 1000000000 WHEN abs(timestamp) >= 100000000000000 THEN timestamp // 1000000 WHEN abs(timestamp) >= 100000000000 THEN timestamp // 1000 ELSE timestamp END"
 _RTTS = f"""one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY msm_id, prb_id, {_TS} ORDER BY rec_id) AS k FROM pings WHERE prb_id IS NOT NULL AND dst_addr IS NOT NULL) WHERE k = 1),
 rtts AS (SELECT prb_id, dst_addr, rtt FROM (SELECT prb_id, dst_addr, unnest(result).rtt AS rtt FROM one) WHERE rtt IS NOT NULL AND NOT isnan(rtt) AND NOT isinf(rtt) AND rtt >= 0)"""
+_GRAMS = "SELECT {0}, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(l[i:i + 11], ' '))) AS g, unnest(range(0, len(l) - 11)) AS pos FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM {1}) WHERE len(l) >= 12"
+_HITS = f"d AS ({_GRAMS.format('doc_id', 'documents')}), i AS ({_GRAMS.format('item_id', 'eval_items')}), hits AS (SELECT DISTINCT doc_id, item_id, d.pos, i.pos AS item_pos FROM d JOIN i USING (g)), runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, pos - item_pos ORDER BY pos) AS run FROM hits), places AS (SELECT doc_id, item_id, min(pos) AS \"at\", min(item_pos) AS item_at, (count(*) + 11)::INT AS run FROM runs GROUP BY doc_id, item_id, pos - item_pos, run)"
 SQL = {
+    "p9_found": f"WITH {_HITS} SELECT DISTINCT doc_id, item_id FROM hits",
+    "p9_items": f"WITH {_HITS} SELECT item_id, count(DISTINCT doc_id) AS documents, max(run) AS longest FROM places GROUP BY 1",
+    "p9_places": f"WITH {_HITS} SELECT * FROM places",
+    "p9_clean": f"WITH {_HITS} SELECT source, count(*) AS documents FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits) GROUP BY 1",
     "p3_found": f"WITH {_RTTS}, g AS (SELECT prb_id, dst_addr, quantile_cont(rtt, 0.5) AS a, quantile_cont(rtt, 0.95) AS b FROM rtts GROUP BY ALL HAVING count(*) >= 30) SELECT prb_id, dst_addr, 'p50' AS stat FROM g WHERE a > 120 UNION ALL SELECT prb_id, dst_addr, 'p95' FROM g WHERE b > 250",
     "p3_targets": f"WITH {_RTTS} SELECT dst_addr, count(*) AS n, " + ", ".join(f"floor(quantile_cont(rtt, {q}) * 1000 + 0.5) / 1000 AS {a}" for q, a in ((0.05, "p05"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99"))) + " FROM rtts GROUP BY dst_addr",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
