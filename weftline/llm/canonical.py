@@ -1,7 +1,7 @@
 """Free-entered values to the entries of a reference list.
 
 Values are read as tokens (damaged encodings repaired, accents and case folded, generic words and brackets dropped). Every distinct token is joined
-to the reference vocabulary by edit distance, over deletion neighbourhoods, so the join is an equi-join; the repaired tokens are
+to the reference vocabulary by edit distance, over deletion neighbourhoods, so the join is an equi-join, and short ones as abbreviations of its frequent words; the repaired tokens are
 then combined by soft TF-IDF to rank complete entries. A value is also read as one token, its letters joined, against the
 entries' joined letters, for lost and inserted blanks. Codes are looked up as they are.
 
@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words that say nothing about which place is meant, and usual abbreviations.
-GENERIC = {"city", "of", "greater", "metro", "metropolitan", "area", "airport", "town", "the"}
-ABBREVIATED = {"ft": "fort", "st": "saint", "ste": "sainte", "mt": "mount", "pt": "port", "upr": "upper", "lwr": "lower", "hbr": "harbour", "hls": "hills"}
+from weftline.session import staged
+
+# Fixed values, the default of a parameter: English words that say what kind of thing is named, not which. Counts can't tell them from words that make
+# another name of it ("old", "north"), which are as frequent in typed values and as absent from the entries.
+GENERIC = frozenset({"city", "of", "greater", "metro", "metropolitan", "area", "airport", "town", "the"})
 LEAST_SCORE = 0.8
 
 
@@ -48,12 +50,12 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", repair(text)) if not unicodedata.combining(c)).casefold()
 
 
-def tokens_of(text: str, countries: frozenset[str] = frozenset()) -> list[str]:
+def tokens_of(text: str, countries: frozenset[str] = frozenset(), generic: frozenset[str] = GENERIC) -> list[str]:
     folded = fold(text)
     outside = re.sub(r"\([^)]*\)|\[[^]]*\]", " ", folded)
-    read = lambda s: [ABBREVIATED.get(t, t) for t in re.findall(r"[^\W_]+", s)]
+    read = lambda s: re.findall(r"[^\W_]+", s)
     found = read(outside) or read(folded)
-    kept = [t for t in found if t not in GENERIC and t not in countries]
+    kept = [t for t in found if t not in generic and t not in countries]
     return kept or found
 
 
@@ -110,11 +112,6 @@ def _neighbourhoods(tokens: DataFrame, longest: int) -> DataFrame:
     return tokens.select("token").mapInArrow(run, schema)
 
 
-@F.udf(T.IntegerType(), useArrow=True)
-def _edits(a: str, b: str) -> int:
-    return edits(a, b, 2)
-
-
 def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, edits): each distinct ``token`` with the words of the vocabulary (column ``word``) it may be."""
     words = vocabulary.select(F.col("word").alias("token")).distinct()
@@ -124,45 +121,73 @@ def token_repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     pairs = left.join(right, "variant").select("token", "word").distinct()
     n = F.least(F.length("token"), F.length("word"))
     most = F.when(n < 4, 0).when(n < 8, 1).otherwise(2)
-    return pairs.withColumn("edits", _edits("token", "word")).where(F.col("edits") <= most)
+    # a swap is two edits to the JVM's distance: what is within the bound by it needs no second look, what is beyond twice the bound neither
+    plain = pairs.select("token", "word", most.alias("most"), F.levenshtein("token", "word", 4).alias("edits")).where((F.col("edits") >= 0) & (F.col("edits") <= 2 * F.col("most")))
+    schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("word", T.StringType()), T.StructField("edits", T.IntegerType())])
+
+    def swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, bound, d = (c.to_pylist() for c in batch.columns)
+            got = [x if x <= 1 else edits(p, q, m) for p, q, m, x in zip(a, b, bound, d, strict=True)]
+            keep = pa.array([i for i, (x, m) in enumerate(zip(got, bound, strict=True)) if x <= m], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(got, pa.int32()).take(keep)], names=schema.names)
+
+    return plain.mapInArrow(swaps, schema)
+
+
+def abbreviations(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word, edits): short tokens made of some letters of a word, in order, with its first and last one. It counts as no edit.
+
+    Only the most frequent word of a name of several words ("Fort", "Saint") is abbreviated, never what tells the names apart. ``words`` has (name, word).
+    """
+    n = words.groupBy("word").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("name")
+    ranked = words.join(n, "word").withColumn("most", F.max("n").over(over)).withColumn("k", F.count("*").over(over))
+    common = ranked.where((F.col("k") > 1) & (F.col("n") == F.col("most")) & (F.length("word") >= 4)).select("word").distinct().select("word", F.substring("word", 1, 1).alias("first"), F.substring("word", -1, 1).alias("last"))
+    short = tokens.where(F.length("token").between(2, 4)).select("token", F.substring("token", 1, 1).alias("first"), F.substring("token", -1, 1).alias("last"), F.concat_ws(".*", F.split("token", "")).alias("pattern"))
+    hit = short.join(common, ["first", "last"]).where((F.length("word") > F.length("token")) & F.expr("word RLIKE concat('^', pattern, '$')"))
+    return hit.select("token", "word", F.lit(0).alias("edits"))
 
 
-def _read(values: DataFrame, countries: frozenset[str]) -> DataFrame:
+def _read(values: DataFrame, countries: frozenset[str], generic: frozenset[str]) -> DataFrame:
     """(value, tokens, joined) of every distinct value that isn't blank."""
     schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("joined", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(0).to_pylist()
-            t = [tokens_of(x, countries) for x in v]
+            t = [tokens_of(x, countries, generic) for x in v]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.list_(pa.string())), pa.array(["".join(x) for x in t], pa.string())], names=schema.names)
 
     return values.mapInArrow(run, schema)
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry: str, codes: DataFrame | None = None, code: str = "code", aliases: DataFrame | None = None, alias: str = "alias", countries: frozenset[str] = frozenset()) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry: str, codes: DataFrame | None = None, code: str = "code", aliases: DataFrame | None = None, alias: str = "alias", countries: frozenset[str] = frozenset(), generic: frozenset[str] = GENERIC) -> DataFrame:
     """(value, entry, score, edits) of every distinct value; the entry is empty where none fits.
 
-    ``codes`` and ``aliases`` map other spellings (columns ``code``, ``alias``) to ``entry`` of the list. ``countries`` are two-letter codes that may stand behind a name.
+    ``codes`` and ``aliases`` map other spellings (columns ``code``, ``alias``) to ``entry`` of the list. ``countries`` are two-letter codes that may stand behind a name,
+    ``generic`` are words that don't count unless a value has no others.
     """
     distinct = values.select(F.col(value).alias("value")).where(F.col("value").rlike(r"\S")).distinct()
-    read = _read(distinct, countries).persist()
+    read = staged(_read(distinct, countries, generic), "read")
     names = entries.where(F.col(entry).rlike(r"\S")).select(F.col(entry).alias("value"), F.col(entry).alias("entry"))
     if aliases is not None:
         single = aliases.where(F.col(alias).rlike(r"\S")).groupBy(F.col(alias).alias("value")).agg(F.min(entry).alias("entry"), F.count_distinct(F.coalesce(entry, F.lit(""))).alias("k"))
         names = names.unionByName(single.where((F.col("k") == 1) & F.col("entry").isNotNull()).select("value", "entry"))
     names = names.distinct()
-    spelled = _read(names.select("value").distinct(), frozenset()).join(names, "value").select(F.col("value").alias("name"), "entry", F.col("tokens").alias("parts"), F.col("joined").alias("whole")).persist()
+    spelled = _read(names.select("value").distinct(), frozenset(), generic).join(names, "value").select(F.col("value").alias("name"), "entry", F.col("tokens").alias("parts"), F.col("joined").alias("whole"))
+    spelled = staged(spelled, "spelled")
     n_names = spelled.count()
     words = spelled.select("name", F.explode(F.array_distinct("parts")).alias("word"))
     idf = words.groupBy("word").agg((F.log(F.lit(float(max(n_names, 1)) + 1) / F.count("*"))).alias("idf"))
     wholes = spelled.select("whole").distinct()
     # tokens and joined values are repaired in one join; the two readings stay apart by their vocabulary
     typed = read.select(F.explode("tokens").alias("token")).union(read.select("joined")).distinct()
-    fixes = token_repairs(typed, words.select("word").union(wholes.select("whole"))).persist()
-    weighted = fixes.join(idf, "word")
+    repairs = token_repairs(typed, words.select("word").union(wholes.select("whole"))).unionByName(abbreviations(typed, words))
+    fixes = staged(repairs.groupBy("token", "word").agg(F.min("edits").alias("edits")), "fixes")
+    weighted = fixes.join(staged(idf, "idf"), "word")
     # reading by tokens: candidates come from the value's weightiest repaired token
-    repaired = read.select("value", F.posexplode("tokens").alias("pos", "token")).join(weighted, "token")
+    repaired = staged(read.select("value", F.posexplode("tokens").alias("pos", "token")).join(weighted, "token"), "repaired")
     best = Window.partitionBy("value").orderBy(F.desc("weight"), "pos")
     lead = repaired.groupBy("value", "pos").agg(F.max("idf").alias("weight")).withColumn("k", F.row_number().over(best)).where("k = 1").select("value", "pos")
     listed = repaired.groupBy("value").agg(F.collect_set(F.struct("pos", "word", "edits", "idf")).alias("fixes"))
