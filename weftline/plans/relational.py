@@ -184,23 +184,6 @@ def join_router_pop(s, d):
     return li.select("l_orderkey", "l_linenumber", "l_suppkey").join(sup, "l_suppkey").join(home, "l_orderkey").select("l_orderkey", "l_linenumber", "from_pop", "to_pop")
 
 
-@query("WITH a AS (SELECT upper(iata_code) AS code, min(id) AS id FROM airports WHERE iata_code IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT snap, line_no, upper(trim(c2)) AS code FROM pops) SELECT snap, line_no, a.id, CASE WHEN a.id IS NOT NULL THEN 'iata' END AS how FROM p LEFT JOIN a ON a.code = nullif(p.code, '')")
-def join_airport(s, d):
-    a = table(s, d, "airports").where("iata_code IS NOT NULL").groupBy(F.upper("iata_code").alias("code")).agg(F.min("id").alias("id"))
-    p = table(s, d, "pops").select("snap", "line_no", F.upper(F.trim("c2")).alias("code")).distinct()
-    return p.join(a, F.nullif(p.code, F.lit("")) == a.code, "left").select("snap", "line_no", "id", F.when(F.col("id").isNotNull(), "iata").alias("how"))
-
-
-@query("WITH a AS (SELECT DISTINCT municipality, iso_country, iso_region, latitude_deg FROM airports WHERE latitude_deg IS NOT NULL), c AS (SELECT iso_country, iso_region, municipality, min(latitude_deg) AS v FROM a WHERE municipality IS NOT NULL GROUP BY ALL), r AS (SELECT iso_country, iso_region, min(latitude_deg) AS v FROM a GROUP BY ALL), k AS (SELECT iso_country, min(latitude_deg) AS v FROM a GROUP BY ALL), g AS (SELECT DISTINCT id, country, region, city FROM regions) SELECT g.id, coalesce(c.v, r.v, k.v) AS lat, CASE WHEN c.v IS NOT NULL THEN 'city' WHEN r.v IS NOT NULL THEN 'region' WHEN k.v IS NOT NULL THEN 'country' END AS exactness FROM g LEFT JOIN c ON c.iso_country = g.country AND c.iso_region = g.region AND c.municipality = g.city LEFT JOIN r ON r.iso_country = g.country AND r.iso_region = g.region LEFT JOIN k ON k.iso_country = g.country")
-def join_place(s, d):
-    """The first of a chain of lookups that has a place: city, region, country."""
-    a = table(s, d, "airports").where("latitude_deg IS NOT NULL").select(F.col("iso_country").alias("country"), F.col("iso_region").alias("region"), F.col("municipality").alias("city"), "latitude_deg")
-    by = lambda keys, out: a.groupBy(*keys).agg(F.min("latitude_deg").alias(out))
-    g = table(s, d, "regions").select("id", "country", "region", "city").distinct()
-    j = g.join(by(["country", "region", "city"], "c"), ["country", "region", "city"], "left").join(by(["country", "region"], "r"), ["country", "region"], "left").join(by(["country"], "k"), "country", "left")
-    return j.select("id", F.coalesce("c", "r", "k").alias("lat"), F.when(F.col("c").isNotNull(), "city").when(F.col("r").isNotNull(), "region").when(F.col("k").isNotNull(), "country").alias("exactness"))
-
-
 @query("WITH pop AS (SELECT node AS pop, lat AS plat, lon AS plon FROM fx_node_pos WHERE node BETWEEN 2000000 AND 2999999) SELECT eid, pop FROM (SELECT eid, pop, row_number() OVER (PARTITION BY eid ORDER BY floor((cos(radians(plat)) * cos(radians(plon)) * cos(radians(lat)) * cos(radians(lon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(lat)) * sin(radians(lon)) + sin(radians(plat)) * sin(radians(lat))) * 1e9 + 0.5) DESC, pop) AS k FROM fx_edges JOIN fx_node_pos ON node = b, pop) WHERE k = 1", "fx_edges fx_node_pos")
 def join_nearest_dot(s, d):
     """For each link the PoP that faces its far end, by the largest dot product."""
@@ -258,16 +241,6 @@ def join_probe_pop(s, d):
     return p.groupBy("prb_id").agg(best.alias("b")).select("prb_id", F.col("b.k").alias("via"), F.col("b.v").alias("pop"))
 
 
-@query("WITH m AS (SELECT l_partkey, s_nationkey AS nk, 1 AS pri FROM lineitem JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT p_partkey, p_size % 25, 2 FROM part) SELECT l_partkey, pri, floor(avg(nk) * 1000 + 0.5) / 1000 AS at FROM (SELECT *, min(pri) OVER (PARTITION BY l_partkey) AS best FROM m) WHERE pri = best GROUP BY 1, 2")
-def join_peering(s, d):
-    """Each exchange placed by the mean of the first group of candidates that isn't empty."""
-    li, sup, p = table(s, d, "lineitem"), table(s, d, "supplier"), table(s, d, "part")
-    a = li.join(sup, li.l_suppkey == sup.s_suppkey).select("l_partkey", F.col("s_nationkey").alias("nk"), F.lit(1).alias("pri"))
-    b = p.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 25).alias("nk"), F.lit(2).alias("pri"))
-    g = a.unionByName(b).groupBy("l_partkey", "pri").agg(F.avg("nk").alias("at"))
-    return g.groupBy("l_partkey").agg(F.min(F.struct("pri", "at")).alias("k")).select("l_partkey", F.col("k.pri").alias("pri"), fixed("k.at", 3).alias("at"))
-
-
 @query(f"WITH a AS (SELECT id, min(latitude_deg) AS la, min(longitude_deg) AS lo, min(icao_code) AS code FROM airports WHERE latitude_deg IS NOT NULL GROUP BY 1), k AS (SELECT x.id, min(y.id) AS twin FROM a x JOIN a y ON x.code = y.code AND x.id <> y.id GROUP BY 1), r AS (SELECT x.id, y.id AS twin, row_number() OVER (PARTITION BY x.id ORDER BY floor({_HAV.format(a='x.la', b='x.lo', c='y.la', d='y.lo')} * 1000 + 0.5), y.id) AS n FROM a x JOIN a y ON x.id <> y.id AND abs(x.la - y.la) < 0.02 AND {_HAV.format(a='x.la', b='x.lo', c='y.la', d='y.lo')} < 2 WHERE x.id NOT IN (SELECT id FROM k)) SELECT id, twin, 'code' AS how FROM k UNION ALL SELECT id, twin, 'near' FROM r WHERE n = 1")
 def join_crosscheck(s, d):
     """A partner by equal code, else the nearest within 2 km."""
@@ -417,14 +390,6 @@ def agg_pop_region(s, d):
     return x.groupBy("pop").agg(F.count("*").alias("regions"), F.sum("n").alias("prefixes"), F.min("id").alias("first_region"))
 
 
-@query(f"WITH v AS (SELECT iso_region, type IN ('large_airport', 'medium_airport') AS good, latitude_deg AS lat FROM airports WHERE latitude_deg IS NOT NULL) SELECT iso_region, {_fix('coalesce(avg(lat) FILTER (good), avg(lat))')} AS lat FROM v GROUP BY 1")
-def agg_centroids(s, d):
-    """Mean place of the preferred kind of airport; of any kind where there is none."""
-    a = table(s, d, "airports").where("latitude_deg IS NOT NULL")
-    good = F.col("type").isin("large_airport", "medium_airport")
-    return a.groupBy("iso_region").agg(fixed(F.coalesce(F.avg(F.when(good, F.col("latitude_deg"))), F.avg("latitude_deg"))).alias("lat"))
-
-
 def _merc_links(s, d):
     e = graph.place_edges(fx.edges(s, d), fx.node_positions(s, d))
     ax, ay = geo.mercator("alat", "alon")

@@ -60,14 +60,6 @@ def src_ripestat(s, d):
     return s.read.format("paged_json").schema("key long, name string").options(urls=json.dumps(_files(s, out, ".txt")), records="data.rows").load()
 
 
-@query("SELECT DISTINCT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 3))")
-def src_peeringdb(s, d):
-    """Three rounds, each asking only for what the last one named: semi joins that the runtime filters turn into scan filters."""
-    sup = table(s, d, "supplier").where("s_nationkey < 3").select(F.col("s_suppkey").alias("l_suppkey"))
-    li = table(s, d, "lineitem").join(sup, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("p_partkey"))
-    return table(s, d, "part").join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
-
-
 @query("SELECT count(*) AS frames FROM ris_frames")
 def src_ris_live(s, d):
     """A feed's frames as a stream."""
@@ -110,14 +102,6 @@ def snk_ip2asn(s, d):
     return s.read.schema(p.schema).parquet(out)
 
 
-@query("SELECT lower(iata_code) AS code, floor(min(latitude_deg) * 1000 + 0.5) / 1000 AS lat FROM airports WHERE iata_code IS NOT NULL AND latitude_deg IS NOT NULL GROUP BY 1")
-def snk_iata(s, d):
-    out = staged_path(s, "codes")
-    a = table(s, d, "airports").where("iata_code IS NOT NULL AND latitude_deg IS NOT NULL").groupBy(F.lower("iata_code").alias("code")).agg(fixed(F.min("latitude_deg"), 3).alias("lat"))
-    sinks.write_json_records(a, out)
-    return s.read.schema(a.schema).json(out)
-
-
 @query()
 def snk_feed_documents(s, d):
     """Two documents of the feed and the digest of each file."""
@@ -142,17 +126,6 @@ def snk_tile_server(s, d):
 # --- scalars ----------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT id, lower(iata_code) AS code FROM airports WHERE iata_code IS NOT NULL AND lower(iata_code) NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")")
-def fn_locate(s, d):
-    """The best hint in a router's name: a known code with digits after it, that isn't a word of the trade."""
-    a = table(s, d, "airports").where("iata_code IS NOT NULL")
-    codes = a.select(F.lower("iata_code").alias("code")).distinct()
-    host = a.select("id", F.concat(F.lit("ae1."), F.lower("iata_code"), F.lit("02.core.example.net")).alias("host")).distinct()
-    t = host.select("id", F.posexplode(text.host_tokens("host")).alias("pos", "token")).select("id", "pos", F.regexp_extract("token", r"^([a-z]{3})\d{1,3}$", 1).alias("code"))
-    hit = t.where(~F.col("code").isin(*text.STOP_WORDS)).join(F.broadcast(codes), "code")  # at most 26^3 codes
-    return hit.groupBy("id").agg(F.min(F.struct("pos", "code")).alias("k")).select("id", F.col("k.code").alias("code"))
-
-
 @query("SELECT id, CASE WHEN type = 'closed' THEN 'closed' WHEN scheduled_service = 'yes' AND type = 'large_airport' THEN 'main' WHEN iata_code IS NOT NULL THEN 'coded' WHEN icao_code IS NOT NULL THEN 'listed' WHEN latitude_deg IS NULL THEN 'unplaced' ELSE 'other' END AS tier FROM airports")
 def fn_classify_site(s, d):
     """Six tiers, by the first rule that holds."""

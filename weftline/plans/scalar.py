@@ -200,12 +200,6 @@ def fn_region_of(s, d):
     return table(s, d, "airports").select("id", text.region_of_country("iso_country", _REGIONS).alias("zone"))
 
 
-@query("SELECT rec_id, string_split(lower(dst_name), '.')[1] AS first FROM pings WHERE dst_name IS NOT NULL")
-def fn_hints(s, d):
-    p = table(s, d, "pings").where("dst_name IS NOT NULL").select("rec_id", text.host_tokens("dst_name").alias("t"))
-    return p.select("rec_id", F.get("t", F.lit(0)).alias("first"))
-
-
 @query(f"SELECT id, {_fix('cbrt(398600.4418 / pow((12 + id % 5) * 2 * 3.141592653589793 / 86400, 2)) - 6378.137')} AS km FROM airports")
 def fn_kepler(s, d):
     return table(s, d, "airports").select("id", fixed(geo.orbit_altitude_km((12 + F.col("id") % 5).cast("double"))).alias("km"))

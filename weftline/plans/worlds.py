@@ -263,13 +263,6 @@ def src_airports(s, d):
     return feeds.airport_ranks(table(s, d, "airports")).select("code", "id")
 
 
-@query("SELECT lower(iata_code) AS code, arg_min(municipality, id) AS name FROM airports WHERE regexp_matches(iata_code, '^[A-Za-z]{3}$') AND municipality IS NOT NULL GROUP BY 1")
-def src_iata_json(s, d):
-    a = table(s, d, "airports").select(F.to_json(F.struct("iata_code", "municipality", "id")).alias("value"))
-    rows = a.select(F.from_json("value", "iata_code string, municipality string, id long").alias("j")).select("j.*").where(F.col("iata_code").rlike("^[A-Za-z]{3}$") & F.col("municipality").isNotNull())
-    return rows.groupBy(F.lower("iata_code").alias("code")).agg(F.min_by("municipality", "id").alias("name"))
-
-
 @query("SELECT id::VARCHAR AS id, round(latitude_deg, 6) AS lat FROM (SELECT DISTINCT id, latitude_deg FROM airports WHERE latitude_deg IS NOT NULL)")
 def src_site_yaml(s, d):
     a = table(s, d, "airports").where("latitude_deg IS NOT NULL").select("id", "latitude_deg").distinct()
