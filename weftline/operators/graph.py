@@ -48,7 +48,10 @@ class Compact:
 
 
 def compact(edges: DataFrame, both: bool = True) -> Compact | None:
-    """The graph as arrays if it has at most KERNEL_LINKS links, which is counted first; None if it is larger."""
+    """The graph as arrays if it has at most KERNEL_LINKS links, which is counted first; None if it is larger.
+
+    As with a broadcast join, the two ways give the same rows; tests hold them against each other on a graph of as many links.
+    """
     if edges.count() > KERNEL_LINKS:
         return None
     p = edges.select("a", "b", "eid", "rel").toPandas()
@@ -82,6 +85,7 @@ def customer_cones(edges: DataFrame, rounds: int | None = None, kernel: bool | N
     A graph of counted size goes to all executors, which search from their share of the nodes. A larger one takes the semi-naive closure:
     each round extends only the pairs that the last one found; its pairs are the sum of all cones.
     """
+    edges = staged(edges.select("eid", "a", "b", "rel"), "edges")  # read several times
     graph = compact(edges.where(F.col("rel") == -1), False) if kernel is not False else None
     if graph is not None:
         sent = edges.sparkSession.sparkContext.broadcast(graph)
@@ -132,6 +136,7 @@ def coreness(edges: DataFrame, rounds: int | None = None, kernel: bool | None =
 
     The h-index comes from counts by value, so a hub's neighbours are never gathered.
     """
+    edges = staged(edges.select("eid", "a", "b", "rel"), "edges")  # read several times
     graph = compact(edges.where("a <> b")) if kernel is not False else None
     if graph is not None:
         sent = edges.sparkSession.sparkContext.broadcast(graph)
@@ -229,6 +234,7 @@ def sample_trees(edges: DataFrame, roots: DataFrame, rounds: int | None = None,
     A node's parent link is the one with the lowest eid from the layer before. Over a graph of counted size each tree is grown by itself, in
     parallel; over a larger one all trees grow together, one hop a round.
     """
+    edges = staged(edges.select("eid", "a", "b", "rel"), "edges")  # read several times
     graph = compact(edges) if kernel is not False else None
     if graph is not None:
         sent = edges.sparkSession.sparkContext.broadcast(graph)
@@ -329,6 +335,7 @@ def routes(edges: DataFrame, pairs: DataFrame, rounds: int | None = None, valley
     Links within one network fit anywhere. Breadth-first over (node, phase), all pairs together; of equal steps the lowest state and eid holds.
     Pairs without route are missing. A graph of counted size is searched as arrays, a source at a time, in parallel.
     """
+    edges = staged(edges.select("eid", "a", "b", "rel"), "edges")  # read several times
     graph = compact(edges) if kernel is not False else None
     if graph is not None:
         return _routes_kernel(graph, pairs, valley_free)

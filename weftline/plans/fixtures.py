@@ -31,13 +31,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     spend = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey", "l_suppkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("w"))
     top = spend.withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("w"), "l_suppkey"))).where("k <= 2")
+    # a supplier peers with the next four of its nation, so a nation with many suppliers has few links for each
+    following = [F.lead("s_suppkey", k).over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) for k in (1, 2, 3, 4)]
+    beside = s.select("s_suppkey", F.array(*following).alias("next")).select("s_suppkey", F.explode(F.array_compact("next")).alias("other"))
     link = lambda df, a, b, rel: df.select(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(rel).alias("rel"))
     parts = [
         link(n, F.col("n_regionkey") + 1_000_000, F.col("n_nationkey") + 2_000_000, -1),
         link(s, F.col("s_nationkey") + 2_000_000, F.col("s_suppkey") + 3_000_000, -1),
         link(top, F.col("l_suppkey") + 3_000_000, F.col("o_custkey") + 4_000_000, -1),
         link(r.alias("x").join(r.alias("y"), F.expr("x.r_regionkey < y.r_regionkey")), F.col("x.r_regionkey") + 1_000_000, F.col("y.r_regionkey") + 1_000_000, 0),
-        link(s.alias("x").join(s.alias("y"), F.expr("x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey")), F.col("x.s_suppkey") + 3_000_000, F.col("y.s_suppkey") + 3_000_000, 0),
+        link(beside, F.col("s_suppkey") + 3_000_000, F.col("other") + 3_000_000, 0),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -78,7 +81,7 @@ _CTE = {
       UNION ALL SELECT s_nationkey + 2000000, s_suppkey + 3000000, -1 FROM supplier
       UNION ALL SELECT l_suppkey + 3000000, o_custkey + 4000000, -1 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, l_suppkey) AS k FROM (SELECT o_custkey, l_suppkey, sum(round(l_extendedprice * 100)::BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)) WHERE k <= 2
       UNION ALL SELECT x.r_regionkey + 1000000, y.r_regionkey + 1000000, 0 FROM region x JOIN region y ON x.r_regionkey < y.r_regionkey
-      UNION ALL SELECT x.s_suppkey + 3000000, y.s_suppkey + 3000000, 0 FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey)"""),
+      UNION ALL SELECT x.s_suppkey + 3000000, y.s_suppkey + 3000000, 0 FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) x JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) y ON x.s_nationkey = y.s_nationkey AND y.k BETWEEN x.k + 1 AND x.k + 4)"""),
     "fx_nodes": ("fx_edges", "SELECT a AS node FROM fx_edges UNION SELECT b FROM fx_edges"),
     "fx_node_pos": ("", """SELECT node, -60.0::DOUBLE + 5 * nk AS lat, -170.0::DOUBLE + 13 * nk AS lon FROM (
       SELECT n_regionkey::BIGINT + 1000000 AS node, min(n_nationkey) AS nk FROM nation GROUP BY 1

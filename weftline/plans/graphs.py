@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions.geo import fixed
@@ -26,7 +27,9 @@ def query(sql: str | None = None, uses: str = ""):
 
 _FIX = "floor(({0}) * 1000000.0 + 0.5) / 1000000.0"
 _CONE = "r(top, low) AS (SELECT a, b FROM fx_edges WHERE rel = -1 UNION SELECT r.top, e.b FROM r JOIN fx_edges e ON e.a = r.low AND e.rel = -1), cone AS (SELECT node, 1 + count(low) FILTER (low <> node) AS cone FROM fx_nodes LEFT JOIN r ON r.top = node GROUP BY 1)"
-_LEVEL = f"{_CONE}, deg AS (SELECT node, count(*) AS k FROM (SELECT a AS node FROM fx_edges UNION ALL SELECT b FROM fx_edges) GROUP BY 1), lv AS (SELECT node, cone, least(1.0, greatest(0.0, 0.65 * ln(1 + cone - 1) / (SELECT max(ln(1 + cone - 1)) FROM cone) + 0.35 * pow(k / (SELECT max(k) FROM deg)::DOUBLE, 1.5))) AS level FROM cone JOIN deg USING (node))"
+# core numbers as the fixpoint of the h-index of the neighbours' values; sixty rounds are more than these graphs need
+_CORE = "both_ends AS MATERIALIZED (SELECT a AS node, b AS other FROM fx_edges WHERE a <> b UNION ALL SELECT b, a FROM fx_edges WHERE a <> b), kk(node, core, it) AS (SELECT node, count(*), 0 FROM both_ends GROUP BY 1 UNION ALL SELECT node, max(least(core, r)), max(it) + 1 FROM (SELECT n.node, k.core, k.it, row_number() OVER (PARTITION BY n.node ORDER BY k.core DESC) AS r FROM both_ends n JOIN kk k ON k.node = n.other) WHERE it < 60 GROUP BY 1), core AS (SELECT node, core FROM kk WHERE it = 60)"
+_LEVEL = f"{_CONE}, {_CORE}, lv AS (SELECT node, cone, least(1.0, greatest(0.0, 0.65 * ln(1 + cone - 1) / (SELECT max(ln(1 + cone - 1)) FROM cone) + 0.35 * pow(core / (SELECT max(core) FROM core)::DOUBLE, 1.5))) AS level FROM cone JOIN core USING (node))"
 
 
 @query(f"WITH {_CONE} SELECT node, cone FROM cone", "fx_nodes")
@@ -35,37 +38,37 @@ def gr_cone(s, d):
 
 
 def _levels(s, d):
-    cones = graph.customer_cones(fx.edges(s, d))
-    cores = graph.degrees(fx.edges(s, d)).select("node", F.col("degree").alias("core"))
-    return cones, graph.levels(cones, cores)
+    e = fx.edges(s, d)
+    cones = graph.customer_cones(e)
+    return cones, graph.levels(cones, graph.coreness(e))
 
 
 @query(f"WITH {_LEVEL} SELECT node, {_FIX.format('level')} AS level FROM lv", "fx_nodes")
 def gr_level(s, d):
-    """The blend with the degree in the core number's place, which SQL can check; gr_hierarchy has the real one."""
+    """Place of each node in the hierarchy: the blend of its cone and its core number."""
     return _levels(s, d)[1].select("node", fixed("level").alias("level"))
 
 
-@query()
-def gr_hierarchy(s, d):
-    e = fx.edges(s, d)
-    return graph.levels(graph.customer_cones(e), graph.coreness(e)).select("node", fixed("level").alias("level"))
-
-
 @query(f"WITH {_LEVEL}, best AS (SELECT eid FROM (SELECT eid, row_number() OVER (PARTITION BY b ORDER BY cone DESC, eid) AS k FROM fx_edges JOIN cone ON node = a WHERE rel = -1) WHERE k = 1), cust AS (SELECT DISTINCT b FROM fx_edges WHERE rel = -1) SELECT eid FROM best UNION SELECT eid FROM fx_edges JOIN lv x ON x.node = a JOIN lv y ON y.node = b WHERE x.level > 0.75 AND y.level > 0.75 UNION SELECT eid FROM fx_edges WHERE a NOT IN (SELECT b FROM cust) OR b NOT IN (SELECT b FROM cust)", "fx_nodes")
 def gr_backbone(s, d):
     cones, lv = _levels(s, d)
     return graph.backbone(fx.edges(s, d), cones, lv)
 
 
-@query()
+@query(f"WITH {_CORE} SELECT node, core::BIGINT AS core FROM core", "fx_edges")
 def gr_coreness(s, d):
     return graph.coreness(fx.edges(s, d))
 
 
-@query("WITH e AS (SELECT a, b FROM fx_edges WHERE rel = 0), w AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) AS (SELECT x, y FROM w UNION SELECT c.x, w.y FROM c JOIN w ON w.x = c.y) SELECT x AS node, least(x, min(y)) AS component FROM c GROUP BY 1", "fx_edges")
+_LABEL = "ways AS MATERIALIZED (SELECT a AS node, b AS other FROM fx_edges UNION SELECT b, a FROM fx_edges UNION SELECT a, a FROM fx_edges UNION SELECT b, b FROM fx_edges), ll(node, label, it) AS (SELECT DISTINCT node, node, 0 FROM ways UNION ALL SELECT w.node, min(l.label), max(l.it) + 1 FROM ways w JOIN ll l ON l.node = w.other WHERE l.it < 20 GROUP BY 1), component AS (SELECT node, label AS component FROM ll WHERE it = 20)"
+
+
+@query(f"WITH {_LABEL} SELECT node, component, component = (SELECT component FROM component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) AS giant FROM component", "fx_edges")
 def gr_components(s, d):
-    return graph.components(fx.edges(s, d).where("rel = 0"))
+    """Components over all links, and which nodes are in the largest (of equals the one with the least node)."""
+    label = graph.components(fx.edges(s, d))
+    giant = F.broadcast(giant_component(label).withColumn("giant", F.lit(True)))
+    return label.join(giant, "component", "left").select("node", "component", F.coalesce("giant", F.lit(False)).alias("giant"))
 
 
 @query("WITH n AS (SELECT a AS node, b AS other, eid FROM fx_edges UNION ALL SELECT b, a, eid FROM fx_edges) SELECT node, count(*)::INT AS degree, min_by(other, eid) AS first FROM n GROUP BY 1", "fx_edges")
@@ -75,21 +78,41 @@ def gr_adj(s, d):
     return n.select("node", F.size("out").alias("degree"), F.get("out", F.lit(0))["other"].alias("first"))
 
 
-@query()
-def gr_sample_rank(s, d):
-    """Breadth-first trees from up to 255 seeded roots of the largest component; each link's rank is the first tree that uses it, the number of trees if none does."""
+_TREES = f"{_LABEL}, roots AS (SELECT row_number() OVER (ORDER BY md5(node || '-7'), node) - 1 AS tree, node FROM component WHERE component = (SELECT component FROM component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) QUALIFY tree < 255), ends AS MATERIALIZED (SELECT eid, a AS u, b AS v FROM fx_edges UNION ALL SELECT eid, b, a FROM fx_edges), reach(tree, node, hops) AS (SELECT tree, node, 0 FROM roots UNION SELECT r.tree, e.v, r.hops + 1 FROM reach r JOIN ends e ON e.u = r.node WHERE r.hops < 10), near AS (SELECT tree, node, min(hops) AS hops FROM reach GROUP BY 1, 2), used AS (SELECT tree, min(eid) AS eid FROM (SELECT y.tree, y.node, e.eid FROM near y JOIN ends e ON e.v = y.node JOIN near x ON x.tree = y.tree AND x.node = e.u AND x.hops = y.hops - 1) GROUP BY tree, node), rank AS (SELECT f.eid, coalesce(min(tree), (SELECT count(*) FROM roots))::INT AS rank FROM fx_edges f LEFT JOIN used USING (eid) GROUP BY 1)"
+
+
+def _ranks(s, d):
+    """(eid, rank) of every link: the first of up to 255 breadth-first trees that uses it, the number of trees if none does."""
     e = fx.edges(s, d)
     start = sample_roots(e)
     trees = start.count()
     return e.select("eid").join(graph.sample_trees(e, start), "eid", "left").select("eid", F.coalesce("rank", F.lit(trees)).alias("rank"))
 
 
+@query(f"WITH {_TREES} SELECT eid, rank FROM rank", "fx_edges")
+def gr_sample_rank(s, d):
+    """Breadth-first trees from up to 255 seeded roots of the largest component; each link's rank is the first tree that uses it."""
+    return _ranks(s, d)
+
+
+@query(f"WITH {_TREES} SELECT rank, count(*) AS links, sum(count(*)) OVER (ORDER BY rank)::BIGINT AS shown FROM rank GROUP BY 1", "fx_edges")
+def agg_rank_cum(s, d):
+    """Links shown at each sampling rank: a histogram of 256 bins at most, and its running sum."""
+    h = _ranks(s, d).groupBy("rank").agg(F.count("*").alias("links"))
+    return h.select("rank", "links", F.sum("links").over(Window.orderBy("rank")).alias("shown"))
+
+
+def giant_component(label):
+    """(component): the one with the most nodes, of equals the one with the least node."""
+    return label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+
+
 def sample_roots(edges, most: int = 255):
-    """(tree, node): up to ``most`` nodes of the largest component, of equals the one with the least node, in the order of a hash."""
+    """(tree, node): up to ``most`` nodes of the largest component, in the order of a seeded digest."""
     s = edges.sparkSession
     label = graph.components(edges)
-    giant = label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    roots = label.join(F.broadcast(giant), "component", "left_semi").orderBy(F.xxhash64("node", F.lit(7)), "node").limit(most).select("node").collect()
+    inside = label.join(F.broadcast(giant_component(label)), "component", "left_semi")
+    roots = inside.orderBy(F.md5(F.concat("node", F.lit("-7")).cast("binary")), "node").limit(most).select("node").collect()
     return s.createDataFrame([(i, r[0]) for i, r in enumerate(roots)], "tree int, node long")
 
 

@@ -405,13 +405,6 @@ def agg_fibers(s, d):
     return profiles.fibers(_merc_links(s, d), 0.05).select("lo", "hi", "members", "transit", "peering", fixed("sx").alias("sx"), fixed("sy").alias("sy"))
 
 
-@query("WITH r AS (SELECT (eid % 97)::INT AS rank FROM fx_edges) SELECT rank, sum(count(*)) OVER (ORDER BY rank)::BIGINT AS shown FROM r GROUP BY 1", "fx_edges")
-def agg_rank_cum(s, d):
-    """Links shown at each sampling rank: a histogram (256 bins at most) and its running sum."""
-    h = fx.edges(s, d).groupBy((F.col("eid") % 97).cast("int").alias("rank")).agg(F.count("*").alias("n"))
-    return h.select("rank", F.sum("n").over(Window.orderBy("rank")).alias("shown"))
-
-
 @query(f"SELECT event_type, count(*) AS n, {_fix('quantile_cont(value, 0.5)')} AS median, {_fix('quantile_cont(value, 0.9)')} AS p90, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
 def agg_latency(s, d):
     e = table(s, d, "events")
