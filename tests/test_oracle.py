@@ -3,9 +3,9 @@
 import pytest
 
 from tests import oracle
-from weftline.plans import graphs, places, problems, relational, remaining, scalar, streams, worlds
+from weftline.plans import graphs, places, problems, relational, remaining, scalar, streams, summaries, worlds
 
-MODULES = [problems, scalar, relational, graphs, streams, worlds, remaining, places]
+MODULES = [problems, scalar, relational, graphs, streams, worlds, remaining, places, summaries]
 PAIRS = [(n, f, m.SQL.get(n)) for m in MODULES for n, f in m.QUERIES.items()]
 pytestmark = pytest.mark.skipif(not oracle.FOLDER.exists(), reason="no test tables")
 

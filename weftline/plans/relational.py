@@ -126,13 +126,6 @@ def join_align(s, d):
     return fx.nodes(s, d).withColumn("asn", F.col("node") % 97 + 1).join(own, "asn", "left").select("node", F.coalesce("addresses", F.lit(0)).alias("addresses"))
 
 
-@query("SELECT s_suppkey, coalesce(nullif(n_name, ''), concat('AS', s_suppkey)) AS name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND s_suppkey % 3 <> 0")
-def join_org(s, d):
-    sup, n = table(s, d, "supplier"), table(s, d, "nation")
-    j = sup.join(n, (sup.s_nationkey == n.n_nationkey) & (sup.s_suppkey % 3 != 0), "left")
-    return j.select("s_suppkey", F.coalesce(F.nullif("n_name", F.lit("")), F.concat(F.lit("AS"), "s_suppkey")).alias("name"))
-
-
 _SNAP2 = "n AS (SELECT DISTINCT snap, trim(c0) AS c0 FROM pops WHERE regexp_matches(trim(c0), '^[0-9.]+/[0-9]+$')), m AS (SELECT min(snap) AS a, max(snap) AS b FROM n)"
 
 
@@ -184,15 +177,6 @@ def join_router_pop(s, d):
     return li.select("l_orderkey", "l_linenumber", "l_suppkey").join(sup, "l_suppkey").join(home, "l_orderkey").select("l_orderkey", "l_linenumber", "from_pop", "to_pop")
 
 
-@query("WITH pop AS (SELECT node AS pop, lat AS plat, lon AS plon FROM fx_node_pos WHERE node BETWEEN 2000000 AND 2999999) SELECT eid, pop FROM (SELECT eid, pop, row_number() OVER (PARTITION BY eid ORDER BY floor((cos(radians(plat)) * cos(radians(plon)) * cos(radians(lat)) * cos(radians(lon)) + cos(radians(plat)) * sin(radians(plon)) * cos(radians(lat)) * sin(radians(lon)) + sin(radians(plat)) * sin(radians(lat))) * 1e9 + 0.5) DESC, pop) AS k FROM fx_edges JOIN fx_node_pos ON node = b, pop) WHERE k = 1", "fx_edges fx_node_pos")
-def join_nearest_dot(s, d):
-    """For each link the PoP that faces its far end, by the largest dot product."""
-    pos = fx.node_positions(s, d)
-    pop = pos.where("node BETWEEN 2000000 AND 2999999").select(F.col("node").alias("pop"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    e = fx.edges(s, d).join(pos.withColumnRenamed("node", "b"), "b")
-    return intervals.nearest_k(e, pop, ["eid"], -F.floor(geo.nearness("plat", "plon", "lat", "lon") * 1e9 + 0.5), ["pop"]).select("eid", "pop")
-
-
 @query(f"WITH c AS (SELECT node AS centre, lat AS clat, lon AS clon FROM fx_node_pos WHERE node BETWEEN 1000000 AND 1999999) SELECT c_custkey, centre, k AS rank FROM (SELECT node - 4000000 AS c_custkey, centre, row_number() OVER (PARTITION BY node ORDER BY floor({_HAV.format(a='lat', b='lon', c='clat', d='clon')} * 1000 + 0.5), centre) AS k FROM fx_node_pos, c WHERE node >= 4000000) WHERE k <= 2", "fx_node_pos")
 def join_nearest(s, d):
     """The two nearest centres of each customer."""
@@ -202,16 +186,6 @@ def join_nearest(s, d):
     return intervals.nearest_k(left, c, ["c_custkey"], F.floor(geo.haversine("lat", "lon", "clat", "clon") * 1000 + 0.5), ["centre"], 2).select("c_custkey", "centre", "rank")
 
 
-@query(f"WITH g AS (SELECT DISTINCT id, lat, lon, v4_prefixes FROM regions WHERE lat IS NOT NULL AND lon IS NOT NULL), f AS (SELECT g.id, min({_HAV.format(a='lat', b='lon', c='latitude_deg', d='longitude_deg')}) AS km FROM g, airports WHERE type = 'large_airport' AND latitude_deg IS NOT NULL GROUP BY 1) SELECT f.id FROM f WHERE km > 1000")
-def join_anti_gap(s, d):
-    """Regions without a large airport within 1000 km: those that the nearby join leaves out."""
-    from weftline.operators.spatial import near_pairs
-
-    g = table(s, d, "regions").where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon").distinct()
-    a = table(s, d, "airports").where("type = 'large_airport' AND latitude_deg IS NOT NULL").select(F.col("id").alias("aid"), F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"))
-    return g.select("id").join(near_pairs(g, a, {"id": "id"}, {"aid": "aid"}, 1000.0).select("id"), "id", "left_anti")
-
-
 @query("WITH h AS (SELECT doc_id, ip, n FROM fx_ips), r AS (SELECT lo, hi, min(asn) AS asn FROM (SELECT 3221225472 + start * 4096 AS lo, 3221225472 + start * 4096 + 65535 AS hi, asn FROM fx_prefix) GROUP BY 1, 2) SELECT doc_id, ip, CASE WHEN n IS NULL THEN 'timeout' WHEN n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 167772160 AND 184549375 THEN 'private' WHEN asn IS NULL THEN 'unrouted' WHEN asn % 5 = 0 THEN 'missing' ELSE 'ok' END AS status FROM h LEFT JOIN r ON n BETWEEN lo AND hi", "fx_ips fx_prefix")
 def join_trace_resolve(s, d):
     """Status of each address: the first of a cascade that holds."""
@@ -224,14 +198,6 @@ def join_trace_resolve(s, d):
     return hit.select("doc_id", "ip", status.alias("status"))
 
 
-@query(f"WITH p AS (SELECT DISTINCT id, geometry.coordinates[2] AS lat, geometry.coordinates[1] AS lon FROM probes WHERE len(geometry.coordinates) >= 2), q AS (SELECT DISTINCT id, lat AS rlat, lon AS rlon FROM regions WHERE lat IS NOT NULL) SELECT max({_fix(_HAV.format(a='lat', b='lon', c='rlat', d='rlon'), 3)}) AS worst, count(*) AS n FROM p JOIN q USING (id)")
-def join_check_anchors(s, d):
-    at = F.col("geometry.coordinates")
-    p = table(s, d, "probes").where(F.size(at) >= 2).select("id", F.get(at, F.lit(1)).alias("lat"), F.get(at, F.lit(0)).alias("lon")).distinct()
-    q = table(s, d, "regions").where("lat IS NOT NULL").select("id", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).distinct()
-    return p.join(q, "id").agg(F.max(fixed(geo.haversine("lat", "lon", "rlat", "rlon"), 3)).alias("worst"), F.count("*").alias("n"))
-
-
 @query(f"WITH {_POPS4}, l AS (SELECT rec_id, n, t.pop FROM a4 LEFT JOIN LATERAL (SELECT * FROM t4 WHERE n BETWEEN t4.lo AND t4.lo + pow(2, 32 - plen)::BIGINT - 1 ORDER BY plen DESC LIMIT 1) t ON true) SELECT p.prb_id, min(struct_pack(k := CASE WHEN l.pop IS NOT NULL THEN 1 ELSE 2 END, v := coalesce(l.pop, p.dst_name, '')))['k'] AS via, min(struct_pack(k := CASE WHEN l.pop IS NOT NULL THEN 1 ELSE 2 END, v := coalesce(l.pop, p.dst_name, '')))['v'] AS pop FROM pings p LEFT JOIN l USING (rec_id) GROUP BY 1")
 def join_probe_pop(s, d):
     """Each probe's PoP by the first source that knows one: its address, else the target's name."""
@@ -379,17 +345,6 @@ def agg_level_itdk(s, d):
     return g.crossJoin(top).select("node", fixed(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * (F.col("node") / 25.0) + 0.4 * F.col("l") / F.col("m")))).alias("level"))
 
 
-@query("SELECT snap, count(*) AS lines, count(DISTINCT trim(c0)) AS prefixes, count(*) FILTER (c0 LIKE '%:%') AS v6, count(*) FILTER (nullif(trim(c1), '') IS NULL) AS without_pop FROM pops GROUP BY 1")
-def agg_feed_counts(s, d):
-    return table(s, d, "pops").groupBy("snap").agg(F.count("*").alias("lines"), F.count_distinct(F.trim("c0")).alias("prefixes"), F.count_if(F.contains("c0", F.lit(":"))).alias("v6"), F.count_if(F.nullif(F.trim("c1"), F.lit("")).isNull()).alias("without_pop"))
-
-
-@query("WITH x AS (SELECT DISTINCT id, p.code AS pop, p.prefixes AS n FROM (SELECT id, unnest(pops) AS p FROM regions)) SELECT pop, count(*) AS regions, sum(n)::BIGINT AS prefixes, min(id) AS first_region FROM x GROUP BY 1")
-def agg_pop_region(s, d):
-    x = table(s, d, "regions").select("id", F.explode("pops").alias("p")).select("id", F.col("p.code").alias("pop"), F.col("p.prefixes").alias("n")).distinct()
-    return x.groupBy("pop").agg(F.count("*").alias("regions"), F.sum("n").alias("prefixes"), F.min("id").alias("first_region"))
-
-
 def _merc_links(s, d):
     e = graph.place_edges(fx.edges(s, d), fx.node_positions(s, d))
     ax, ay = geo.mercator("alat", "alon")
@@ -424,22 +379,6 @@ def agg_burst(s, d):
     return table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("frame")).agg(F.count("*").alias("draws"))
 
 
-@query("WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, median(gap) AS spacing_us FROM g WHERE gap IS NOT NULL GROUP BY 1")
-def agg_resolution(s, d):
-    """Median spacing of a source's samples."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = table(s, d, "events").select("user_id", "event_id", t.alias("t"))
-    g = e.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))).where("gap IS NOT NULL")
-    return g.groupBy("user_id").agg(F.median("gap").alias("spacing_us"))
-
-
-@query("WITH x AS (SELECT DISTINCT id, p.code AS pop, p.prefixes AS n FROM (SELECT id, unnest(pops) AS p FROM regions)) SELECT id, pop FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, pop) AS k FROM x) WHERE k = 1")
-def agg_assignments(s, d):
-    """Each region's serving PoP: the one with the most prefixes."""
-    x = table(s, d, "regions").select("id", F.explode("pops").alias("p")).select("id", F.col("p.code").alias("pop"), F.col("p.prefixes").alias("n")).distinct()
-    return profiles.weighted_mode(x, ["id"], "pop", "n", "pop")
-
-
 @query("SELECT DISTINCT id, CASE WHEN v4_addresses > 0 THEN v4_addresses ELSE v4_prefixes + v6_prefixes END AS demand FROM regions WHERE lat IS NOT NULL AND lon IS NOT NULL AND CASE WHEN v4_addresses > 0 THEN v4_addresses ELSE v4_prefixes + v6_prefixes END > 0")
 def agg_demand(s, d):
     w = F.when(F.col("v4_addresses") > 0, F.col("v4_addresses")).otherwise(F.col("v4_prefixes") + F.col("v6_prefixes"))
@@ -488,13 +427,6 @@ def x_top_lists(s, d):
     return e.orderBy(F.desc("n"), "k").limit(20)
 
 
-@query("WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS a, min(event_id) FILTER (event_type = 'click') AS b, min(event_id) FILTER (event_type = 'purchase') AS c FROM events GROUP BY 1) SELECT count(a) AS step1, count(*) FILTER (b > a) AS step2, count(*) FILTER (b > a AND c > b) AS step3 FROM f")
-def agg_funnel(s, d):
-    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("event_id")))
-    f = table(s, d, "events").groupBy("user_id").agg(first("view").alias("a"), first("click").alias("b"), first("purchase").alias("c"))
-    return f.agg(F.count("a").alias("step1"), F.count_if(F.expr("b > a")).alias("step2"), F.count_if(F.expr("b > a AND c > b")).alias("step3"))
-
-
 @query("SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT list(s_name ORDER BY s_suppkey) FROM (SELECT * FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_suppkey LIMIT 5))[1] AS first_name FROM nation")
 def agg_info_record(s, d):
     """A nested record of each node, cut to its first five sites."""
@@ -517,15 +449,6 @@ def agg_excluded(s, d):
     return table(s, d, "airports").groupBy(F.coalesce("type", F.lit("?")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("WITH h AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1), z AS (SELECT h, n, avg(n) OVER w AS m, stddev_samp(n) OVER w AS sd FROM h WINDOW w AS (PARTITION BY hour(h))) SELECT h AS at, n FROM z WHERE sd > 0 AND (n - m) / sd >= 2 AND n - m >= 4")
-def agg_spikes(s, d):
-    """Hours that stand out against the same hour of other days."""
-    h = table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.hour("at"))
-    z = h.withColumn("m", F.avg("n").over(w)).withColumn("sd", F.stddev_samp("n").over(w))
-    return z.where("sd > 0 AND (n - m) / sd >= 2 AND n - m >= 4").select("at", "n")
-
-
 _LATEST = "f AS (SELECT DISTINCT trim(c0) AS prefix, lower(trim(c1)) AS pop FROM pops WHERE snap = (SELECT max(snap) FROM pops) AND nullif(trim(c1), '') IS NOT NULL), a AS (SELECT DISTINCT trim(p) AS prefix FROM (SELECT unnest(flatten(list_transform(data.announcements, lambda x: x.prefixes))) AS p FROM ris_frames WHERE data.announcements IS NOT NULL))"
 
 
@@ -534,31 +457,6 @@ def _announced(s, d):
     return r.select(F.explode(F.flatten(F.transform("data.announcements", lambda x: x["prefixes"]))).alias("p")).select(F.trim("p").alias("prefix")).distinct()
 
 
-@query(f"WITH {_LATEST} SELECT pop, count(*) AS prefixes, count(a.prefix) AS announced FROM f LEFT JOIN a USING (prefix) GROUP BY 1")
-def agg_announced(s, d):
-    """Of each PoP's prefixes in the latest delivery, how many the updates announced."""
-    p = table(s, d, "pops").select("snap", F.trim("c0").alias("prefix"), F.nullif(F.lower(F.trim("c1")), F.lit("")).alias("pop"))
-    latest = F.broadcast(p.agg(F.max("snap").alias("snap")))
-    f = p.join(latest, "snap").where("pop IS NOT NULL").select("prefix", "pop").distinct()
-    return f.join(_announced(s, d).withColumn("hit", F.lit(1)), "prefix", "left").groupBy("pop").agg(F.count("*").alias("prefixes"), F.count("hit").alias("announced"))
-
-
-@query("WITH h AS (SELECT data.path AS path, unnest(range(1, len(data.path) + 1)) AS i FROM ris_frames WHERE data.path IS NOT NULL), n AS (SELECT path[i] AS asn, CASE WHEN i > 1 THEN path[i - 1] END AS l, CASE WHEN i < len(path) THEN path[i + 1] END AS r FROM h), u AS (SELECT asn, 'left' AS side, l AS other FROM n WHERE l <> asn UNION ALL SELECT asn, 'right', r FROM n WHERE r <> asn) SELECT asn, side, count(DISTINCT other) AS neighbours, count(*) AS power FROM u GROUP BY 1, 2")
-def agg_neighbours(s, d):
-    """Each network's neighbours on the way to the collector (left) and away from it (right), and how often they were seen."""
-    r = table(s, d, "ris_frames").where("data.path IS NOT NULL").select(F.col("data.path").alias("path"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
-    p = r.where(F.size("path") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    both = p.select(F.col("b").alias("asn"), F.lit("left").alias("side"), F.col("a").alias("other"), "n").union(p.select("a", F.lit("right"), "b", "n"))
-    return both.groupBy("asn", "side").agg(F.count_distinct("other").alias("neighbours"), F.sum("n").alias("power"))
-
-
-@query("SELECT data.host AS collector, count(DISTINCT data.peer) AS peers, sum(len(data.withdrawals))::BIGINT AS withdrawn FROM ris_frames WHERE data.host IS NOT NULL GROUP BY 1")
-def agg_visibility(s, d):
-    r = table(s, d, "ris_frames").where("data.host IS NOT NULL")
-    return r.groupBy(F.col("data.host").alias("collector")).agg(F.count_distinct("data.peer").alias("peers"), F.sum(F.size("data.withdrawals")).cast("long").alias("withdrawn"))
-
-
 # --- windows ---------------------------------------------------------------------
 
 

@@ -382,24 +382,6 @@ def x_model_time(s, d):
 # --- sorts, limits, top-k ----------------------------------------------------
 
 
-@query("WITH hits AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE contains(c_name, '1') ORDER BY c_custkey LIMIT 400), u AS (SELECT * FROM hits UNION SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 11) SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey = 11 DESC, c_acctbal DESC, c_custkey) AS k FROM u) WHERE k <= 25")
-def topk_search(s, d):
-    c = table(s, d, "customer")
-    hits = c.where(F.contains("c_name", F.lit("1"))).orderBy("c_custkey").limit(400)
-    exact = c.where("c_custkey = 11")
-    return hits.union(exact).select("c_custkey", "c_name", "c_acctbal").distinct().orderBy(F.desc(F.col("c_custkey") == 11), F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey", "c_name")
-
-
-@query("SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY degree DESC, b) AS k FROM fx_edges JOIN (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM fx_edges UNION ALL SELECT b FROM fx_edges) GROUP BY 1) ON node = b) WHERE k <= 40", "fx_edges")
-def topk_neighbours(s, d):
-    from weftline.operators.graph import degrees
-
-    e = fx.edges(s, d)
-    deg = degrees(e).select(F.col("node").alias("b"), "degree")
-    w = Window.partitionBy("a").orderBy(F.desc("degree"), "b")
-    return e.join(deg, "b").withColumn("k", F.row_number().over(w)).where("k <= 40").select("a", "b")
-
-
 @query(f"{_PAIRS} SELECT a, b FROM (SELECT a, b, row_number() OVER (ORDER BY round(km, 6) DESC, a, b) AS k FROM (SELECT a, b, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(blat - alat) / 2), 2) + cos(radians(alat)) * cos(radians(blat)) * pow(sin(radians(blon - alon) / 2), 2)))) AS km FROM p) WHERE km >= 500) WHERE k <= 10", "fx_node_pos")
 def topk_farthest(s, d):
     p = _placed_pairs(s, d).withColumn("km", F.round(geo.haversine("alat", "alon", "blat", "blon"), 6)).where("km >= 500")
