@@ -17,15 +17,16 @@ def col(x) -> Column:
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
-    """Great-circle kilometres between positions in degrees."""
+    """Great-circle kilometres between positions in degrees; null without one of them."""
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+    # least and greatest pass nulls over, so a missing position must be left out before
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
 
 
 def mercator(lat, lon) -> tuple[Column, Column]:
     """Position in the unit square of Web Mercator, y down."""
-    s = F.sin(F.radians(F.least(F.lit(MAX_LAT), F.greatest(F.lit(-MAX_LAT), col(lat)))))
+    s = F.when(col(lat).isNotNull(), F.sin(F.radians(F.least(F.lit(MAX_LAT), F.greatest(F.lit(-MAX_LAT), col(lat))))))
     return (col(lon) + 180) / 360, 0.5 - F.log((1 + s) / (1 - s)) / (4 * F.pi())
 
 

@@ -204,10 +204,10 @@ def agg_resolution(s, d):
     return g.groupBy("user_id").agg(F.median("gap").alias("spacing_us")).withColumn("resolves", F.coalesce(F.col("spacing_us") <= 7_500_000, F.lit(False)))
 
 
-_PLACED = f"{_IATA}, {_RANKED}, {_METRO}, best AS (SELECT lower(trim(iata_code)) AS k, arg_min((latitude_deg, longitude_deg), (r1, r2, id)) AS p FROM ranked WHERE len(trim(iata_code)) = 3 GROUP BY 1), spot AS (SELECT pop, coalesce(x.p, y.p) AS p FROM (SELECT pop, regexp_replace(iata, '\\d+$', '') AS bare FROM named) LEFT JOIN best x ON x.k = bare AND len(bare) = 3 LEFT JOIN metro ON area = bare LEFT JOIN best y ON y.k = main)"
+_PLACED = f"{_IATA}, {_RANKED}, {_METRO}, best AS (SELECT lower(trim(iata_code)) AS k, arg_min((latitude_deg, longitude_deg), (r1, r2, id, latitude_deg, longitude_deg)) AS p FROM ranked WHERE len(trim(iata_code)) = 3 GROUP BY 1), spot AS (SELECT pop, coalesce(x.p, y.p) AS p FROM (SELECT pop, regexp_replace(iata, '\\d+$', '') AS bare FROM named) LEFT JOIN best x ON x.k = bare AND len(bare) = 3 LEFT JOIN metro ON area = bare LEFT JOIN best y ON y.k = main)"
 
 
-@query(f"WITH {_CROSS}, {_PLACED}, g AS (SELECT id, min((lat, lon)) AS q FROM regions WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1), a AS (SELECT x.id, x.pop, x.n AS prefixes, {_fix(_HAV.format(a='q[1]', b='q[2]', c='p[1]', d='p[2]'), 3)} AS km FROM x LEFT JOIN g USING (id) LEFT JOIN spot ON spot.pop = lower(x.pop)) SELECT id, pop, prefixes, km, row_number() OVER (PARTITION BY id ORDER BY prefixes DESC NULLS LAST, pop) = 1 AS main, {_fix('prefixes / greatest(sum(prefixes) OVER (PARTITION BY pop), 1)::DOUBLE')} AS share, CASE WHEN km IS NOT NULL AND row_number() OVER (ORDER BY km DESC NULLS LAST, id, pop) <= 10 THEN row_number() OVER (ORDER BY km DESC NULLS LAST, id, pop) END::INT AS far FROM a")
+@query(f"WITH {_CROSS}, {_PLACED}, g AS (SELECT id, min((lat, lon)) AS q FROM regions WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1), a AS (SELECT x.id, x.pop, x.n AS prefixes, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN {_fix(_HAV.format(a='q[1]', b='q[2]', c='p[1]', d='p[2]'), 3)} END AS km FROM x LEFT JOIN g USING (id) LEFT JOIN spot ON spot.pop = lower(x.pop)) SELECT id, pop, prefixes, km, row_number() OVER (PARTITION BY id ORDER BY prefixes DESC NULLS LAST, pop) = 1 AS main, {_fix('prefixes / greatest(sum(prefixes) OVER (PARTITION BY pop), 1)::DOUBLE')} AS share, CASE WHEN km IS NOT NULL AND row_number() OVER (ORDER BY km DESC NULLS LAST, id, pop) <= 10 THEN row_number() OVER (ORDER BY km DESC NULLS LAST, id, pop) END::INT AS far FROM a")
 def agg_assignments(s, d):
     """Regions and the PoPs that serve them: prefixes, distance, whether it is the region's main PoP, its share of the PoP, and the ten farthest."""
     x = _cross(s, d)
