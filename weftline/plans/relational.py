@@ -421,12 +421,6 @@ def agg_event_param(s, d):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT k, n, users FROM (SELECT props->>'k' AS k, count(*) AS n, count(DISTINCT user_id) AS users, row_number() OVER (ORDER BY count(*) DESC, props->>'k') AS r FROM events GROUP BY 1) WHERE r <= 20")
-def x_top_lists(s, d):
-    e = table(s, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
-    return e.orderBy(F.desc("n"), "k").limit(20)
-
-
 @query("SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT list(s_name ORDER BY s_suppkey) FROM (SELECT * FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_suppkey LIMIT 5))[1] AS first_name FROM nation")
 def agg_info_record(s, d):
     """A nested record of each node, cut to its first five sites."""

@@ -82,15 +82,6 @@ def src_cache(s, d):
     return names.agg(F.max(F.regexp_extract("name", r"pops-(\d{8})-", 1)).alias("newest"))
 
 
-@query("SELECT DISTINCT CASE WHEN id % 2 = 0 THEN concat('F', id) ELSE name END AS key FROM airports")
-def src_satsim_json(s, d):
-    """The filing number in a name, else the name."""
-    a = table(s, d, "airports")
-    j = a.select(F.to_json(F.struct(F.when(F.col("id") % 2 == 0, F.concat(F.lit("Site [F"), "id", F.lit("]"))).otherwise(F.col("name")).alias("name"))).alias("value"))
-    n = j.select(F.from_json("value", "name string").alias("j")).select("j.name")
-    return n.select(F.coalesce(F.nullif(F.regexp_extract("name", r"\[(F\d+)\]", 1), F.lit("")), "name").alias("key")).distinct()
-
-
 # --- sinks -----------------------------------------------------------------------
 
 
@@ -126,14 +117,6 @@ def snk_tile_server(s, d):
 # --- scalars ----------------------------------------------------------------------
 
 
-@query("SELECT id, CASE WHEN type = 'closed' THEN 'closed' WHEN scheduled_service = 'yes' AND type = 'large_airport' THEN 'main' WHEN iata_code IS NOT NULL THEN 'coded' WHEN icao_code IS NOT NULL THEN 'listed' WHEN latitude_deg IS NULL THEN 'unplaced' ELSE 'other' END AS tier FROM airports")
-def fn_classify_site(s, d):
-    """Six tiers, by the first rule that holds."""
-    a = table(s, d, "airports")
-    tier = F.when(F.col("type") == "closed", "closed").when((F.col("scheduled_service") == "yes") & (F.col("type") == "large_airport"), "main").when(F.col("iata_code").isNotNull(), "coded").when(F.col("icao_code").isNotNull(), "listed").when(F.col("latitude_deg").isNull(), "unplaced").otherwise("other")
-    return a.select("id", tier.alias("tier"))
-
-
 @query("SELECT id, elevation_ft::VARCHAR AS elevation, iso_country AS country FROM airports WHERE elevation_ft IS NOT NULL")
 def fn_legacy_facts(s, d):
     a = table(s, d, "airports").where("elevation_ft IS NOT NULL")
@@ -150,23 +133,6 @@ def fn_designator(s, d):
     return t.select("s_suppkey", year.alias("year"), launch.alias("launch"), ((year > 2021) | ((year == 2021) & (launch >= 82))).alias("laser"))
 
 
-@query("SELECT event_type AS family, sum(8 + strlen(props))::BIGINT AS bytes, count(*) AS calls FROM events GROUP BY 1")
-def fn_call_cost(s, d):
-    """Estimated bytes of each kind of message: eight for a number and the length of its text."""
-    return table(s, d, "events").groupBy(F.col("event_type").alias("family")).agg(F.sum(8 + F.octet_length("props")).alias("bytes"), F.count("*").alias("calls"))
-
-
-@query("SELECT id, regexp_replace(name, ' (International )?(Airport|Airfield|Heliport)$', '') AS short FROM airports")
-def fn_site_name(s, d):
-    return table(s, d, "airports").select("id", F.regexp_replace("name", " (International )?(Airport|Airfield|Heliport)$", "").alias("short"))
-
-
-@query("SELECT DISTINCT data.peer_asn AS asn, regexp_matches(data.peer_asn, '^[1-9][0-9]{0,9}$') AS valid FROM ris_frames WHERE data.peer_asn IS NOT NULL")
-def fn_asn_link(s, d):
-    r = table(s, d, "ris_frames").where("data.peer_asn IS NOT NULL").select(F.col("data.peer_asn").alias("asn")).distinct()
-    return r.select("asn", F.col("asn").rlike("^[1-9][0-9]{0,9}$").alias("valid"))
-
-
 @query("SELECT a.n_nationkey AS centre, b.n_nationkey AS other, s.step FROM nation a, nation b, (SELECT unnest([1, 2, 3]) AS step) s WHERE a.n_nationkey <> b.n_nationkey AND a.n_regionkey = s.step")
 def gr_incident(s, d):
     """Each step's centres with a link to every other centre."""
@@ -178,12 +144,6 @@ def gr_incident(s, d):
 _INFRA = (("203.0.113.0", 24), ("198.51.100.0", 24))
 
 
-@query("SELECT rec_id, string_split(dst_addr, '.')[1:3] IN (['203', '0', '113'], ['198', '51', '100']) AS own FROM pings WHERE regexp_matches(dst_addr, '^\\d{1,3}(\\.\\d{1,3}){3}$')")
-def x_infra(s, d):
-    p = table(s, d, "pings").withColumn("n", net.ipv4_number("dst_addr")).where("n IS NOT NULL")
-    return p.select("rec_id", net.in_blocks("n", _INFRA).alias("own"))
-
-
 @query("SELECT node, floor(cos(radians(lat)) * cos(radians(lon)) * 1000000.0 + 0.5) / 1000000.0 AS up_x, floor(sin(radians(lat)) * 1000000.0 + 0.5) / 1000000.0 AS up_z FROM fx_node_pos", "fx_node_pos")
 def x_site(s, d):
     """A ground site: its place and its vertical."""

@@ -264,11 +264,6 @@ def fn_region_key(s, d):
     return table(s, d, "regions").select("id", text.region_key("country", "region", F.lit("?")).alias("key"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size * 1000 >= 1000000 THEN 'T' WHEN p_size * 1000 >= 1000 THEN concat(p_size, 'G') ELSE concat(p_size * 1000, 'M') END AS label FROM part")
-def fn_labels(s, d):
-    return table(s, d, "part").select("p_partkey", text.speed_label((F.col("p_size") * 1000).cast("double")).alias("label"))
-
-
 @query(f"SELECT node, stop, {_fix('lat + (lon - lat) * stop / 8.0')} AS at FROM fx_node_pos, (SELECT unnest(range(9)) AS stop)", "fx_node_pos")
 def fn_morph(s, d):
     """A value blended over nine stops between two layouts."""

@@ -270,19 +270,6 @@ def src_site_yaml(s, d):
     return feeds.site_documents(doc).select("id", F.round("lat", 6).alias("lat"))
 
 
-@query("SELECT DISTINCT s_suppkey AS number FROM supplier WHERE s_suppkey % 7 <> 0")
-def src_gp_json(s, d):
-    c = _constellation(s, d)
-    j = c.select(F.to_json(F.struct(F.col("sat").alias("NORAD_CAT_ID"), F.when(F.col("sat") % 7 != 0, F.col("mean_motion")).alias("MEAN_MOTION"), F.lit("2026-11-01T00:00:00").alias("EPOCH"))).alias("value"))
-    return feeds.elements(j).select(F.col("NORAD_CAT_ID").alias("number"))
-
-
-@query("SELECT s_nationkey AS g, s_suppkey AS k, sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::BIGINT AS id FROM supplier")
-def src_omm_compact(s, d):
-    sup = table(s, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("k"))
-    return feeds.running_deltas(sup, "g", "k", "k", "id")
-
-
 @query("WITH v AS (SELECT rec_id, list_filter(list_transform(coalesce(result, []), lambda r: r.rtt), lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) AS v FROM pings) SELECT rec_id, floor(list_median(v) * 1000 + 0.5) / 1000 AS rtt FROM v".replace("list_median(v)", "list_aggregate(v, 'median')"))
 def src_ping(s, d):
     return feeds.ping_results(table(s, d, "pings")).select("rec_id", fixed("rtt", 3).alias("rtt"))
@@ -317,13 +304,6 @@ def src_ip2asn(s, d):
     return s.read.parquet(out).agg(F.min("start").alias("least"), F.max("start").alias("most"), F.count("*").alias("n"))
 
 
-@query()
-def src_elements(s, d):
-    """The first source of elements that answers, with the span of its epochs."""
-    c = _constellation(s, d)
-    return c.agg(F.count("*").alias("satellites"), F.min("mean_motion").alias("least"), F.median("mean_motion").alias("middle"), F.max("mean_motion").alias("most"))
-
-
 @query("SELECT n_nationkey, n_name FROM nation")
 def src_columnar_json(s, d):
     n = table(s, d, "nation")

@@ -5,6 +5,8 @@ Malformed lines are left out; :func:`bad_lines` counts them. Where several lines
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,3 +209,39 @@ def zipped_columns(df: DataFrame, columns: list[str], nulls: dict[str, int] | No
     for c, code in (nulls or {}).items():
         rows = rows.withColumn(c, F.when(F.col(c) != code, F.col(c)))
     return rows
+
+
+# The compact document's columns, their element and their fixed-point scale.
+SCALES = (("n", "MEAN_MOTION", 1e8), ("e", "ECCENTRICITY", 1e7), ("i", "INCLINATION", 1e4), ("raan", "RA_OF_ASC_NODE", 1e4), ("argp", "ARG_OF_PERICENTER", 1e4), ("ma", "MEAN_ANOMALY", 1e4), ("bstar", "BSTAR", 1e9))
+
+
+def compact_elements(documents: DataFrame) -> DataFrame:
+    """Elements of compact column documents (``doc``, ``value``): (doc, pos, NORAD_CAT_ID, OBJECT_ID, epoch_ms, elements...).
+
+    Ids are differences to the one before, epochs milliseconds after the document's base, and a designator that is only a piece's letters is of
+    the launch before it, as far as that was one.
+    """
+    columns = ["id", "epoch", *[k for k, _, _ in SCALES]]
+    schema = "epochBase string, intlId array<string>, " + ", ".join(f"{c} array<long>" for c in columns)
+    j = documents.select("doc", F.from_json("value", schema).alias("j")).select("doc", "j.*")
+    rows = j.select("doc", F.unix_millis(F.to_timestamp(F.regexp_replace("epochBase", "Z$", "+00:00"))).alias("base"), F.posexplode(F.arrays_zip("intlId", *columns)).alias("pos", "r")).select("doc", "base", "pos", "r.*")
+    upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    letters = F.col("intlId").rlike("^[A-Z]+$")
+    launch = F.regexp_extract("intlId", r"^(\d{4}-\d{3})[A-Z]+$", 1)  # empty where it is none, which ends the last launch
+    last = F.last(F.when(~F.coalesce(letters, F.lit(False)), F.coalesce(launch, F.lit(""))), True).over(upto)
+    named = F.when(letters & (F.coalesce(last, F.lit("")) != ""), F.concat(last, "intlId")).otherwise(F.col("intlId"))
+    return rows.select("doc", "pos", F.sum("id").over(upto).alias("NORAD_CAT_ID"), named.alias("OBJECT_ID"), (F.col("base") + F.col("epoch")).alias("epoch_ms"), *[(F.col(k) / F.lit(scale)).alias(name) for k, name, scale in SCALES])
+
+
+def first_answer(sources: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[str, DataFrame, list[tuple[str, str]]]:
+    """(source, its rows, what the sources before said): the first source that gives rows; if none does, an error with all reasons."""
+    tried: list[tuple[str, str]] = []
+    for name, load in sources:
+        try:
+            rows = load()
+            if rows.head(1):
+                return name, rows, tried
+            tried.append((name, "no rows"))
+        except Exception as e:  # noqa: BLE001 - whatever a source does, the next one is asked
+            tried.append((name, type(e).__name__))
+    raise ValueError("no source answered: " + "; ".join(f"{n}: {e}" for n, e in tried))
