@@ -378,16 +378,21 @@ def routes_with_fallback(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def shortest_costs(edges: DataFrame, sources: DataFrame, cost: str, rounds: int | None = None) -> DataFrame:
-    """(node, dist, root): cheapest way from any of ``sources`` (node, start), by relaxing what has changed until nothing does. Costs below zero are refused."""
+    """(node, dist, root): cheapest way from any of ``sources`` (node, start), by relaxing what has changed until nothing does. Costs below zero are refused.
+
+    Sources are terminal: a way never leads through another source, which keeps its own start. Of equal ways the
+    one from the least source holds.
+    """
     if edges.where(F.col(cost) < 0).head(1):
         raise ValueError("a link's cost is below zero")
-    links = staged(both_ways(edges.select("eid", "a", "b", "rel")).join(edges.select("eid", F.col(cost).alias("cost")), "eid").select("node", "other", "cost"), "links")
+    links = both_ways(edges.select("eid", "a", "b", "rel")).join(edges.select("eid", F.col(cost).alias("cost")), "eid").select("node", "other", "cost")
+    links = staged(links.join(sources.select(F.col("node").alias("other")).distinct(), "other", "left_anti"), "links")
     dist = staged(sources.groupBy("node").agg(F.min(F.struct(F.col("start").alias("dist"), F.col("node").alias("root"))).alias("k")).select("node", "k.dist", "k.root"), "dist")
     moved = dist
     for _ in until_settled(rounds):
         step = moved.join(links, "node").select(F.col("other").alias("node"), F.struct((F.col("dist") + F.col("cost")).alias("dist"), "root").alias("k"))
         best = step.groupBy("node").agg(F.min("k").alias("k")).select("node", F.col("k.dist").alias("nd"), F.col("k.root").alias("nr"))
-        better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.col("nd") < F.col("dist")))
+        better = F.col("nd").isNotNull() & (F.col("dist").isNull() | (F.struct("nd", "nr") < F.struct("dist", "root")))
         all_ = staged(dist.join(best, "node", "full_outer").select("node", F.when(better, F.col("nd")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("nr")).otherwise(F.col("root")).alias("root"), better.alias("moved")), "dist")
         dist, moved = all_.select("node", "dist", "root"), all_.where("moved").select("node", "dist", "root")
         if not moved.head(1):

@@ -163,11 +163,11 @@ def boundaries(df: DataFrame, start: str = "start", end: str = "end", owner: str
 def nearest_k(left: DataFrame, right: DataFrame, left_key: list[str], score: Column, tie: list[str], k: int = 1, most_bytes: int = 8 << 20, row_bytes: int = 64) -> DataFrame:
     """The ``k`` best right rows for each left row by ascending ``score``; for a small table of centres.
 
-    The right side is counted: within ``most_bytes`` it is broadcast; a larger one is refused, as all pairs would be made (see the grid join
-    of nearby points for that).
+    The right side is counted: within ``most_bytes`` it is broadcast; a larger one is refused, as all pairs would be made: for positions
+    ``spatial.nearest_points`` finds the nearest of any number.
     """
     n = right.count()
     if n * row_bytes > most_bytes:
-        raise ValueError(f"{n} centres are too many to compare all with all; use near_pairs")
+        raise ValueError(f"{n} centres are too many to compare all with all; use spatial.nearest_points")
     w = Window.partitionBy(*left_key).orderBy("score", *tie)
     return left.join(F.broadcast(right)).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -20,8 +20,12 @@ XKE = 60.0 / np.sqrt(RE**3 / MU)
 TWO_PI = 2 * np.pi
 
 
-def sgp4(n_revs, ecc, incl, node, argp, mean, bstar, minutes):
-    """Positions (km) and velocities (km/s) in the true equator frame; angles in degrees, all arguments arrays of one length."""
+def coded_sgp4(n_revs, ecc, incl, node, argp, mean, bstar, minutes):
+    """Positions (km) and velocities (km/s) in the true equator frame, and codes; angles in degrees, all arguments arrays of one length.
+
+    Codes: 0 is fine, 1 a period of 225 minutes or more (the deep-space terms aren't modelled), 2 elements out of range, 3 decayed. All but
+    0 have no position.
+    """
     no, e = np.asarray(n_revs, float) * TWO_PI / 1440, np.asarray(ecc, float)
     i0, node0, w0, m0 = (np.radians(np.asarray(x, float)) for x in (incl, node, argp, mean))
     bstar, t = np.asarray(bstar, float), np.asarray(minutes, float)
@@ -123,7 +127,16 @@ def sgp4(n_revs, ecc, incl, node, argp, mean, bstar, minutes):
     ux, uy, uz = mx * np.sin(su) + np.cos(xn) * np.cos(su), my * np.sin(su) + np.sin(xn) * np.cos(su), np.sin(xi) * np.sin(su)
     vx, vy, vz = mx * np.cos(su) - np.cos(xn) * np.sin(su), my * np.cos(su) - np.sin(xn) * np.sin(su), np.sin(xi) * np.cos(su)
     speed = RE * XKE / 60
-    return np.stack([mr * RE * x for x in (ux, uy, uz)], -1), np.stack([(mv * x + rv * y) * speed for x, y in ((ux, vx), (uy, vy), (uz, vz))], -1)
+    pos, vel = np.stack([mr * RE * x for x in (ux, uy, uz)], -1), np.stack([(mv * x + rv * y) * speed for x, y in ((ux, vx), (uy, vy), (uz, vz))], -1)
+    code = np.where(~np.isfinite(pos).all(-1) | ~(e < 1) | (e < 0) | (pl < 0) | ~(ee < 1), 2, np.where(mr < 1, 3, 0))
+    code = np.where(TWO_PI / no >= 225.0, 1, code)
+    pos[code > 0], vel[code > 0] = np.nan, np.nan
+    return pos, vel, code
+
+
+def sgp4(*elements):
+    """Positions and velocities of :func:`coded_sgp4`."""
+    return coded_sgp4(*elements)[:2]
 
 
 def sidereal_angle(jd):
@@ -140,15 +153,19 @@ def to_earth_fixed(pos: np.ndarray, jd) -> np.ndarray:
 
 
 def propagate(sats: DataFrame) -> DataFrame:
-    """(sat, minutes, x, y, z, vx, vy, vz) for rows (sat, mean_motion, ecc, incl, node, argp, mean, bstar, minutes)."""
+    """(sat, minutes, x, y, z, vx, vy, vz, code) for rows (sat, mean_motion, ecc, incl, node, argp, mean, bstar, minutes); null places where the code isn't 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                p, v = sgp4(*[b[c].to_numpy() for c in ("mean_motion", "ecc", "incl", "node", "argp", "mean", "bstar", "minutes")])
-                yield pd.DataFrame({"sat": b["sat"], "minutes": b["minutes"], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "vx": v[:, 0], "vy": v[:, 1], "vz": v[:, 2]})
-
-    return sats.mapInPandas(run, "sat long, minutes double, x double, y double, z double, vx double, vy double, vz double")
+                with np.errstate(all="ignore"):
+                    p, v, code = coded_sgp4(*[b[c].to_numpy(float, na_value=np.nan) for c in ("mean_motion", "ecc", "incl", "node", "argp", "mean", "bstar", "minutes")])
+                places = {n: pd.array(np.where(code > 0, 0, a), "Float64") for n, a in zip(("x", "y", "z", "vx", "vy", "vz"), (*p.T, *v.T), strict=True)}
+                for a in places.values():
+                    a[code > 0] = pd.NA
+                yield pd.DataFrame({"sat": b["sat"], "minutes": b["minutes"], **places, "code": code.astype("int32")})
+
+    return sats.mapInPandas(run, "sat long, minutes double, x double, y double, z double, vx double, vy double, vz double, code int")
 
 
 def orbit_angles(states: DataFrame) -> DataFrame:

@@ -1,20 +1,26 @@
 """Line maps as tile pyramids: segments are sampled, splatted on pixels, toned and written as PNG.
 
-Segments go to the tiles that their boxes touch, level by level; a tile is one grouped task over its own segments. For the sum over pixels
-there is a relational form too, which needs no grouping by tile.
+Segments go to the tiles that their boxes touch, level by level. A tile with very many segments, as those of the first levels, is cut into blocks by
+hash: each block gives its light as a picture, and the tile is the sum of its blocks' light, toned once. For the sum over pixels there is a relational
+form too, which needs no grouping by tile.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK = 50_000  # segments that one task draws
+
+
 def png(rgb: np.ndarray) -> bytes:
     """An 8-bit RGB image as PNG."""
     h, w, _ = rgb.shape
@@ -56,18 +62,31 @@ def tile_segments(links: DataFrame, zooms: list[int], pad: float = 0.0) -> DataF
     return e.where(inside).withColumn("x", F.explode(cells("ax", "bx"))).withColumn("y", F.explode(cells("ay", "by")))
 
 
-def render_tiles(links: DataFrame, zooms: list[int], size: int = 256, gain: float = 0.5) -> DataFrame:
+def render_tiles(links: DataFrame, zooms: list[int], size: int = 256, gain: float = 0.5, block: int = BLOCK) -> DataFrame:
     """(z, x, y, lit, png) of every tile that isn't empty; brightness grows with the zoom."""
-
-    def draw(df: pd.DataFrame) -> pd.DataFrame:
-        z, x, y = (int(df[c].iloc[0]) for c in ("z", "x", "y"))
-        n = 1 << z
-        seg = (df[["ax", "ay", "bx", "by"]].to_numpy() * n - np.array([x, y, x, y])) * size
-        light = splat(seg, df[["r", "g", "b"]].to_numpy(float), size)
-        lit = int((light.sum(-1) > 0).sum())
-        return pd.DataFrame([(z, x, y, lit, png(tone(light, gain * 1.7**z)))] if lit else [], columns=["z", "x", "y", "lit", "png"])
-
-    return tile_segments(links, zooms).groupBy("z", "x", "y").applyInPandas(draw, "z int, x long, y long, lit int, png binary")
+    tile = ["z", "x", "y"]
+
+    def light(df: pd.DataFrame) -> pd.DataFrame:
+        z, x, y = (int(df[c].iloc[0]) for c in tile)
+        seg = (df[["ax", "ay", "bx", "by"]].to_numpy() * (1 << z) - np.array([x, y, x, y])) * size
+        out = splat(seg, df[["r", "g", "b"]].to_numpy(float), size).astype(np.float32)
+        return pd.DataFrame([(z, x, y, zlib.compress(out.tobytes(), 1))] if out.any() else [], columns=[*tile, "light"])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size, 3), np.float64)
+        for batch in parts:
+            for x in batch.column(batch.schema.get_field_index("light")):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.float32).reshape(size, size, 3)
+        z, x, y = (k.as_py() for k in key)
+        lit = int((total.sum(-1) > 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([x], pa.int64()), pa.array([y], pa.int64()), pa.array([lit], pa.int32()), pa.array([png(tone(total, gain * 1.7**z))], pa.binary())], names=[*tile, "lit", "png"])
+
+    segments = tile_segments(links, zooms)
+    # tiles with more than a block: at most segments / block of them
+    busy = segments.groupBy(*tile).agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).where("cuts > 1")
+    cut = segments.join(busy, tile, "left").withColumn("block", F.pmod(F.xxhash64("ax", "ay", "bx", "by"), F.coalesce("cuts", F.lit(1)))).drop("cuts")
+    parts = cut.groupBy(*tile, "block").applyInPandas(light, "z int, x long, y long, light binary")
+    return parts.groupBy(*tile).applyInArrow(add, "z int, x long, y long, lit int, png binary")
 
 
 def pixel_sums(links: DataFrame, z: int, size: int = 256) -> DataFrame:
@@ -80,7 +99,12 @@ def pixel_sums(links: DataFrame, z: int, size: int = 256) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, folder: str) -> None:
-    """Writes z/x/y.png below a folder that all executors share, from the executors."""
+    """Writes z/x/y.png below a folder that all executors share as a path (``file://``), from the executors.
+
+    Object stores and HDFS aren't paths to Python: there the tiles are written as a table (``tiles.write``), from which a server reads them.
+    """
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("write the tiles as a table where the folder isn't a shared path")
 
     def put(rows) -> None:
         import pathlib

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import staged
+
 SAMPLE = 20_000  # positions that the driver sees, at most about twice this
 LEAF = 12_000  # rows of either side that one task holds, about
 PAIRS = 4_000_000  # pairs that one task finds, about
@@ -319,3 +321,29 @@ def nearest(pairs: DataFrame, by: list[str], tie: list[str], k: int = 1) -> Data
 
     w = Window.partitionBy(*by).orderBy("km", *tie)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest_points(left: DataFrame, right: DataFrame, left_keys: dict[str, str], right_keys: dict[str, str], k: int = 1, start_km: float = 25.0, **at) -> DataFrame:
+    """The ``k`` nearest right rows of each left row, however many there are of either: left keys, right keys, ``km``, ``rank``.
+
+    A ring grows around what isn't settled yet: it is doubled until a left row has ``k`` rows in it, or the ring is the whole globe. Left rows must be
+    distinct in their keys; ties go by the right keys; rows without position have no neighbours.
+    """
+    by, tie = list(left_keys.values()), list(right_keys.values())
+    rest, km, found = left, start_km, []
+    while True:
+        pairs = staged(nearest(near_pairs(rest, right, left_keys, right_keys, km, **at), by, tie, k), "ring")
+        full = pairs.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= k) if km < 20_100 else pairs.select(*by).distinct()
+        full = staged(full.select(*by), "settled")
+        found.append(pairs.join(full, by, "left_semi"))
+        if km >= 20_100:
+            break
+        names = full.select(*[F.col(n).alias(c) for c, n in left_keys.items()])
+        rest = staged(rest.join(names, list(left_keys), "left_anti"), "open")
+        if rest.isEmpty():
+            break
+        km = min(2 * km, 20_100.0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

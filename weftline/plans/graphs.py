@@ -149,14 +149,47 @@ def join_search_route(s, d):
     return graph.routes_with_fallback(fx.edges(s, d), legs).select("src", F.posexplode("nodes").alias("i", "node")).where("i > 0 OR src = 2000000")
 
 
-@query()
+@query("WITH src AS (SELECT node, (node % 10)::DOUBLE AS start FROM fx_nodes WHERE node BETWEEN 1000000 AND 1999999), ways AS MATERIALIZED (SELECT a AS u, b AS v, (1 + eid % 7)::DOUBLE AS cost FROM fx_edges UNION ALL SELECT b, a, (1 + eid % 7)::DOUBLE FROM fx_edges), dd(node, dist, root, it) AS (SELECT node, start, node, 0 FROM src UNION ALL SELECT node, min(k)[1], min(k)[2], max(it) + 1 FROM (SELECT node, (dist, root) AS k, it FROM dd WHERE it < 25 UNION ALL SELECT v, (dist + cost, root), it FROM dd JOIN ways ON u = node WHERE it < 25 AND v NOT IN (SELECT node FROM src)) GROUP BY 1) SELECT node, dist, root FROM dd WHERE it = 25", "fx_nodes")
 def gr_dijkstra_ms(s, d):
-    """Cheapest way from any of the regions, links of different cost."""
+    """Cheapest way from any of the regions, links of different cost; a way never leads through another region."""
     e = fx.edges(s, d).withColumn("cost", (1 + F.col("eid") % 7).cast("double"))
     src = fx.nodes(s, d).where("node BETWEEN 1000000 AND 1999999").select("node", (F.col("node") % 10).cast("double").alias("start"))
     return graph.shortest_costs(e, src, "cost")
 
 
+_WLEVEL = f"{_LEVEL}, pl AS (SELECT s_nationkey AS x, c_nationkey AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), pe AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS w FROM pl WHERE x <> y GROUP BY 1, 2), pg AS (SELECT node, ln(1 + sum(w)) AS l FROM (SELECT a AS node, w FROM pe UNION ALL SELECT b, w FROM pe) GROUP BY 1)"
+
+
+@query(f"WITH {_WLEVEL} SELECT pg.node, {_FIX.format('least(1.0, greatest(0.0, 0.6 * coalesce(lv.level, 0) + 0.4 * l / (SELECT max(l) FROM pg)))')} AS level FROM pg LEFT JOIN lv ON lv.node = pg.node + 2000000", "fx_nodes")
+def agg_level_itdk(s, d):
+    """A PoP's level: that of its network, and its own share of router links."""
+    g = graph.degrees(_pop_links(s, d).withColumn("rel", F.lit(0)), "weight").select("node", F.log1p(F.col("degree").cast("double")).alias("l"))
+    top = F.broadcast(g.agg(F.max("l").alias("m")))
+    own = _levels(s, d)[1].select((F.col("node") - 2_000_000).alias("node"), "level")
+    mixed = 0.6 * F.coalesce("level", F.lit(0.0)) + 0.4 * F.col("l") / F.col("m")
+    return g.join(own, "node", "left").crossJoin(top).select("node", fixed(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed))).alias("level"))
+
+
+@query(f"WITH {_LEVEL}, best AS (SELECT eid FROM (SELECT eid, row_number() OVER (PARTITION BY b ORDER BY cone DESC, eid) AS k FROM fx_edges JOIN cone ON node = a WHERE rel = -1) WHERE k = 1), cust AS (SELECT DISTINCT b FROM fx_edges WHERE rel = -1), bb AS (SELECT eid FROM best UNION SELECT eid FROM fx_edges JOIN lv x ON x.node = a JOIN lv y ON y.node = b WHERE x.level > 0.75 AND y.level > 0.75 UNION SELECT eid FROM fx_edges WHERE a NOT IN (SELECT b FROM cust) OR b NOT IN (SELECT b FROM cust)), sh AS (SELECT node, cc, sum(n) AS n FROM (SELECT s_suppkey + 3000000 AS node, c_nationkey AS cc, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1, 2), pin AS (SELECT node FROM sh GROUP BY 1 HAVING max(n) * 10 >= sum(n)) SELECT (SELECT count(*) FROM fx_nodes) AS nodes, count(*) AS edges, count(*) FILTER (rel = -1) AS p2c, count(*) FILTER (rel = 0) AS p2p, (SELECT count(*) FROM fx_node_pos WHERE node IN (SELECT node FROM fx_nodes)) AS geolocated, (SELECT count(*) FROM pin) AS pinned, (SELECT count(*) FROM bb) AS backbone, (SELECT count(*) FROM sh) AS pops, (SELECT sum(k - 1)::BIGINT FROM (SELECT count(*) AS k FROM sh GROUP BY node)) AS routes FROM fx_edges", "fx_nodes fx_node_pos")
+def agg_counts(s, d):
+    """The dataset's counts: nodes, links by kind, placed and pinned nodes, backbone, PoPs (places of a supplier's goods) and the routes of their trees."""
+    from weftline.plans.tables import table
+
+    e = fx.edges(s, d)
+    cones, lv = _levels(s, d)
+    li, o, c = table(s, d, "lineitem"), table(s, d, "orders"), table(s, d, "customer")
+    sh = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).groupBy((F.col("l_suppkey") + 3_000_000).alias("node"), F.col("c_nationkey").alias("cc")).agg(F.count("*").alias("n"))
+    per = sh.groupBy("node").agg(F.max("n").alias("m"), F.sum("n").alias("t"), F.count("*").alias("k"))
+    pops = per.agg(F.count_if(F.col("m") * 10 >= F.col("t")).alias("pinned"), F.sum("k").alias("pops"), F.sum(F.col("k") - 1).alias("routes"))
+    links = e.agg(F.count("*").alias("edges"), F.count_if(F.col("rel") == -1).alias("p2c"), F.count_if(F.col("rel") == 0).alias("p2p"))
+    nodes = fx.nodes(s, d)
+    parts = [nodes.agg(F.count("*").alias("nodes")), nodes.join(fx.node_positions(s, d), "node", "left_semi").agg(F.count("*").alias("geolocated")), pops, graph.backbone(e, cones, lv).agg(F.count("*").alias("backbone"))]
+    out = links
+    for p in parts:  # one row each
+        out = out.crossJoin(F.broadcast(p))
+    return out.select("nodes", "edges", "p2c", "p2p", "geolocated", "pinned", "backbone", "pops", "routes")
+
+
 @query("WITH li AS (SELECT s_nationkey AS x, c_nationkey AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), l AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS w FROM li WHERE x <> y GROUP BY 1, 2), p AS (SELECT c_nationkey AS pop, count(*) AS routers FROM customer GROUP BY 1), k AS (SELECT pop FROM p WHERE routers >= (SELECT median(routers) FROM p)), e AS (SELECT * FROM l WHERE a IN (SELECT pop FROM k) AND b IN (SELECT pop FROM k)) SELECT a, b, w AS weight FROM e", "fx_edges")
 def gr_prune(s, d):
     from weftline.plans.tables import table

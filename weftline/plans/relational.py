@@ -186,18 +186,6 @@ def join_nearest(s, d):
     return intervals.nearest_k(left, c, ["c_custkey"], F.floor(geo.haversine("lat", "lon", "clat", "clon") * 1000 + 0.5), ["centre"], 2).select("c_custkey", "centre", "rank")
 
 
-@query("WITH h AS (SELECT doc_id, ip, n FROM fx_ips), r AS (SELECT lo, hi, min(asn) AS asn FROM (SELECT 3221225472 + start * 4096 AS lo, 3221225472 + start * 4096 + 65535 AS hi, asn FROM fx_prefix) GROUP BY 1, 2) SELECT doc_id, ip, CASE WHEN n IS NULL THEN 'timeout' WHEN n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 167772160 AND 184549375 THEN 'private' WHEN asn IS NULL THEN 'unrouted' WHEN asn % 5 = 0 THEN 'missing' ELSE 'ok' END AS status FROM h LEFT JOIN r ON n BETWEEN lo AND hi", "fx_ips fx_prefix")
-def join_trace_resolve(s, d):
-    """Status of each address: the first of a cascade that holds."""
-    h = fx.addresses(s, d)
-    r = fx.prefixes(s, d).select((F.lit(3221225472) + F.col("start") * 4096).alias("lo"), "asn")
-    private = F.col("n").between(3232235520, 3232301055) | F.col("n").between(167772160, 184549375)
-    hit = intervals.last_before(h, r.withColumn("owner", F.struct("lo", "asn")), "n", "lo", "owner")
-    asn = F.when(F.col("n") <= F.col("owner.lo") + 65535, F.col("owner.asn"))
-    status = F.when(F.col("n").isNull(), "timeout").when(private, "private").when(asn.isNull(), "unrouted").when(asn % 5 == 0, "missing").otherwise("ok")
-    return hit.select("doc_id", "ip", status.alias("status"))
-
-
 @query(f"WITH {_POPS4}, l AS (SELECT rec_id, n, t.pop FROM a4 LEFT JOIN LATERAL (SELECT * FROM t4 WHERE n BETWEEN t4.lo AND t4.lo + pow(2, 32 - plen)::BIGINT - 1 ORDER BY plen DESC LIMIT 1) t ON true) SELECT p.prb_id, min(struct_pack(k := CASE WHEN l.pop IS NOT NULL THEN 1 ELSE 2 END, v := coalesce(l.pop, p.dst_name, '')))['k'] AS via, min(struct_pack(k := CASE WHEN l.pop IS NOT NULL THEN 1 ELSE 2 END, v := coalesce(l.pop, p.dst_name, '')))['v'] AS pop FROM pings p LEFT JOIN l USING (rec_id) GROUP BY 1")
 def join_probe_pop(s, d):
     """Each probe's PoP by the first source that knows one: its address, else the target's name."""
@@ -338,13 +326,6 @@ def agg_wdegree(s, d):
     return graph.degrees(_pop_links(s, d).withColumn("rel", F.lit(0)), "weight").select("node", "degree")
 
 
-@query(_POP_LINKS + f", e AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS w FROM r WHERE x <> y GROUP BY 1, 2), g AS (SELECT node, ln(1 + sum(w)) AS l FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY 1) SELECT node, {_fix('least(1.0, greatest(0.0, 0.6 * (node / 25.0) + 0.4 * l / (SELECT max(l) FROM g)))')} AS level FROM g")
-def agg_level_itdk(s, d):
-    g = graph.degrees(_pop_links(s, d).withColumn("rel", F.lit(0)), "weight").select("node", F.log1p(F.col("degree").cast("double")).alias("l"))
-    top = F.broadcast(g.agg(F.max("l").alias("m")))
-    return g.crossJoin(top).select("node", fixed(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * (F.col("node") / 25.0) + 0.4 * F.col("l") / F.col("m")))).alias("level"))
-
-
 def _merc_links(s, d):
     e = graph.place_edges(fx.edges(s, d), fx.node_positions(s, d))
     ax, ay = geo.mercator("alat", "alon")
@@ -432,12 +413,6 @@ def agg_info_record(s, d):
     return r.select("n_nationkey", "n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.get("sites", F.lit(0))["s_name"].alias("first_name"))
 
 
-@query("SELECT count(*) AS links, count(*) FILTER (rel = -1) AS p2c, count(*) FILTER (rel = 0) AS p2p, (SELECT count(*) FROM fx_nodes) AS nodes FROM fx_edges", "fx_nodes")
-def agg_counts(s, d):
-    n = fx.nodes(s, d).agg(F.count("*").alias("nodes"))
-    return fx.edges(s, d).agg(F.count("*").alias("links"), F.count_if(F.col("rel") == -1).alias("p2c"), F.count_if(F.col("rel") == 0).alias("p2p")).crossJoin(F.broadcast(n))
-
-
 @query("SELECT coalesce(type, '?') AS reason, count(*) AS n FROM airports GROUP BY 1")
 def agg_excluded(s, d):
     return table(s, d, "airports").groupBy(F.coalesce("type", F.lit("?")).alias("reason")).agg(F.count("*").alias("n"))
@@ -494,30 +469,6 @@ def win_lag_diff(s, d):
     return e.select("event_id", (F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("event_id"))).alias("gap"))
 
 
-@query("WITH g AS (SELECT user_id, event_id, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY event_id) > 86400000 THEN 1 ELSE 0 END AS new FROM events), i AS (SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM g) SELECT user_id, island::BIGINT AS island, count(*) AS members FROM i GROUP BY 1, 2 HAVING count(*) >= 4")
-def win_gaps_islands(s, d):
-    """Runs of a user's events without a gap of a day."""
-    e = table(s, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    g = e.withColumn("new", F.when(F.col("t") - F.lag("t").over(w) > 86_400_000, 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
-    return g.groupBy("user_id", "island").agg(F.count("*").alias("members")).where("members >= 4")
-
-
-@query("WITH c AS (SELECT user_id, value, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN CURRENT ROW AND 12.0 FOLLOWING) AS n FROM events) SELECT user_id, max(n) AS densest FROM c GROUP BY 1")
-def win_densest(s, d):
-    """The most values of a group that lie within a span of twelve."""
-    w = Window.partitionBy("user_id").orderBy("value").rangeBetween(Window.currentRow, 12)
-    return table(s, d, "events").select("user_id", F.count("*").over(w).alias("n")).groupBy("user_id").agg(F.max("n").alias("densest"))
-
-
-@query("WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN value END AS v FROM events) SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS located FROM l")
-def win_last_located(s, d):
-    """The last known value so far, else the next one."""
-    e = table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("v"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return e.select("event_id", F.coalesce(F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing))).alias("located"))
-
-
 @query()
 def win_path_roles(s, d):
     """The part of the path that each hop is in: home, gateway, the network behind it, the internet, the target.

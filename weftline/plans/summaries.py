@@ -129,7 +129,7 @@ def agg_pop_region(s, d):
     return a.union(b)
 
 
-_IATA = "votes AS (SELECT lower(trim(c1)) AS pop, lower(trim(c2)) AS iata, count(DISTINCT trim(c0)) AS n, min(trim(c0)) AS first FROM pops WHERE nullif(trim(c1), '') IS NOT NULL GROUP BY 1, 2), named AS (SELECT pop, iata, n FROM (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY n DESC, first) AS k FROM votes) WHERE k = 1)"
+_IATA = "votes AS (SELECT lower(trim(c1)) AS pop, lower(trim(c2)) AS iata, count(DISTINCT trim(c0)) AS n, min(trim(c0)) AS first FROM pops WHERE nullif(trim(c1), '') IS NOT NULL GROUP BY 1, 2), named AS (SELECT pop, iata, n FROM (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY n DESC, first, iata NULLS FIRST) AS k FROM votes) WHERE k = 1)"
 
 
 def _dominant(s, d):

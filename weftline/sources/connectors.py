@@ -1,19 +1,21 @@
 """Connectors as Python data sources: paged JSON over any URL, and frames of a feed as a stream that goes on where it was.
 
-Both are read in parallel, a URL or a range of frames for each task. Requests that fail are tried again, after a wait that doubles
-each time; the API's own error text is raised.
+Both are read in parallel: a URL, or a range of a feed's bytes, for each task. Requests that fail are tried again, after a wait that doubles
+each time; the API's own error text is raised. :class:`AnswerCache` keeps answers for a time.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import random
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 RETRIED = {429, 500, 502, 503, 504}
@@ -87,8 +89,55 @@ class _PagedReader(DataSourceReader):
                 yield tuple(r.get(n) if isinstance(r, dict) else None for n in self.names)
 
 
+class AnswerCache:
+    """Answers by URL, for ``seconds`` each; at most ``most``, the oldest going first."""
+
+    def __init__(self, seconds: float = 1800, most: int = 256, now: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.now, self.held = seconds, most, now, {}
+
+    def get(self, url: str, ask: Callable[[str], bytes] = fetch) -> bytes:
+        hit = self.held.get(url)
+        if hit is not None and self.now() - hit[0] < self.seconds:
+            return hit[1]
+        answer = ask(url)
+        self.held.pop(url, None)
+        self.held[url] = (self.now(), answer)
+        while len(self.held) > self.most:
+            self.held.pop(next(iter(self.held)))
+        return answer
+
+
+def newest_day(names: list[str], prefix: str = "") -> str | None:
+    """The name with the latest YYYYMMDD among those that begin with a prefix."""
+    dated = [(m.group(0), n) for n in names if n.startswith(prefix) and (m := re.search(r"\d{8}", n))]
+    return max(dated)[1] if dated else None
+
+
+def feed_size(url: str) -> int:
+    """Bytes of a feed so far."""
+    if url.startswith("file://"):
+        return os.path.getsize(url.removeprefix("file://"))
+    with urllib.request.urlopen(urllib.request.Request(url, method="HEAD")) as r:
+        return int(r.headers["Content-Length"])
+
+
+def feed_bytes(url: str, a: int, b: int) -> bytes:
+    """Bytes from a up to b of a feed; only these are fetched."""
+    if b <= a:
+        return b""
+    if url.startswith("file://"):
+        with open(url.removeprefix("file://"), "rb") as f:
+            f.seek(a)
+            return f.read(b - a)
+    return fetch(urllib.request.Request(url, headers={"Range": f"bytes={a}-{b - 1}"}))
+
+
 class FrameFeed(DataSource):
-    """``format("frame_feed")``: the lines of ``url`` as a stream of frames; the offset is the number of frames read."""
+    """``format("frame_feed")``: the lines of ``url`` as a stream of frames; ``number`` is the byte at which a frame begins.
+
+    The offset is the number of bytes read, up to the end of the last whole line. A batch is cut into ranges of ``rangeBytes``, one for each task, which
+    fetches its own range only; a frame belongs to the range in which it begins.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -97,27 +146,62 @@ class FrameFeed(DataSource):
     def schema(self) -> str:
         return "number long, frame string"
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _FrameReader(dict(self.options))
 
 
-class _FrameReader(SimpleDataSourceStreamReader):
+class _Range(InputPartition):
+    def __init__(self, a: int, b: int, end: int):
+        self.a, self.b, self.end = a, b, end
+
+
+class _FrameReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.url, self.most = options["url"], int(options.get("framesAtOnce", 10_000))
+        self.url, self.range = options["url"], int(options.get("rangeBytes", options.get("rangebytes", 8 << 20)))
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
-    def _frames(self, a: int, b: int) -> list[tuple]:
-        lines = fetch(self.url).decode("utf-8", "replace").splitlines()
-        return [(i, x) for i, x in enumerate(lines[a:b], a)]
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._frames(start["n"], start["n"] + self.most)
-        return iter(rows), {"n": start["n"] + len(rows)}
+    def latestOffset(self) -> dict:
+        """The end of the last whole line: looked for from the feed's end backwards."""
+        size, step = feed_size(self.url), 1 << 16
+        at = size
+        while at > 0:
+            a = max(0, at - step)
+            cut = feed_bytes(self.url, a, at).rfind(b"\n")
+            if cut >= 0:
+                return {"n": a + cut + 1}
+            at = a
+        return {"n": 0}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._frames(start["n"], end["n"]))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, b = start["n"], end["n"]
+        return [_Range(x, min(x + self.range, b), b) for x in range(a, b, self.range)]
+
+    def read(self, part: _Range) -> Iterator[tuple]:
+        # the byte before tells whether a frame begins here; the last frame is read to its end
+        data = feed_bytes(self.url, max(part.a - 1, 0), part.b)
+        at = part.a
+        if part.a > 0:
+            cut = data.find(b"\n")
+            if cut < 0:
+                return
+            at, data = part.a + cut, data[cut + 1 :]
+        more = part.b
+        while data and not data.endswith(b"\n") and more < part.end:
+            tail = feed_bytes(self.url, more, min(more + (1 << 16), part.end))
+            cut = tail.find(b"\n")
+            data += tail if cut < 0 else tail[: cut + 1]
+            more += len(tail)
+            if cut >= 0:
+                break
+        for line in data.split(b"\n")[:-1]:
+            if at < part.b:
+                yield at, line.decode("utf-8", "replace").rstrip("\r")
+            at += len(line) + 1
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held."""
 
 
 def register(spark) -> None:
