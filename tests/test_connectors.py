@@ -56,3 +56,34 @@ def test_paged_json_reads_each_url(spark, tmp_path):
     urls = json.dumps([f"file://{tmp_path}/{n}.json" for n in "ab"])
     df = spark.read.format("paged_json").schema("id long, name string").options(urls=urls, records="results").load()
     assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, None)]
+
+
+def test_feed_is_read_by_ranges_and_goes_on(spark, tmp_path):
+    connectors.register(spark)
+    path = tmp_path / "feed.txt"
+    lines = ["x" * (k % 37) + f" é{k}" for k in range(500)]
+    path.write_text("\n".join(lines[:300]) + "\nhalf a li")
+
+    def run():
+        q = spark.readStream.format("frame_feed").options(url=f"file://{path}", rangeBytes="97").load().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return [r.frame for r in spark.read.schema("number long, frame string").parquet(f"{tmp_path}/out").orderBy("number").collect()]
+
+    assert run() == lines[:300]
+    path.write_text("\n".join(lines) + "\n")
+    assert run() == lines
+
+
+def test_answers_are_kept_for_a_time():
+    t, asked = [0.0], []
+    cache = connectors.AnswerCache(10, 2, lambda: t[0])
+    ask = lambda u: asked.append(u) or u.encode()
+    assert [cache.get("a", ask), cache.get("a", ask), cache.get("b", ask)] == [b"a", b"a", b"b"] and asked == ["a", "b"]
+    t[0] = 11
+    cache.get("a", ask)
+    cache.get("c", ask)
+    assert asked == ["a", "b", "a", "c"] and set(cache.held) == {"a", "c"}
+    assert connectors.newest_day(["f-20240102.csv", "f-20231231.csv", "g-20990101.csv", "f-x"], "f-") == "f-20240102.csv" and connectors.newest_day([]) is None

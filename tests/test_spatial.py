@@ -95,3 +95,22 @@ def test_very_many_rows_at_one_place(spark):
     got = near_pairs(a, b, {"id": "id"}, {"other": "other"}, 50.0)
     assert got.count() == 20_000 * 5_000
     assert got.agg({"km": "max"}).first()[0] < 1
+
+
+def test_nearest_of_any_number_by_growing_rings(spark):
+    from weftline.operators.spatial import nearest_points
+
+    rng = random.Random(21)
+    a = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(100, None, 1.0)]
+    b = [(i, rng.uniform(40, 41), rng.uniform(10, 11)) for i in range(40)] + [(50, -80.0, 170.0), (51, -80.0, 170.0)]
+    x, y = spark.createDataFrame(a, "id int, lat double, lon double"), spark.createDataFrame(b, "o int, lat double, lon double")
+    got = {}
+    for r in nearest_points(x, y, {"id": "id"}, {"o": "o"}, 2).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.o))
+    for i, la, lo in a:
+        if la is None:
+            assert i not in got
+            continue
+        want = sorted((float(great_circle(la, lo, p, q)), o) for o, p, q in b)[:2]
+        assert [o for _, o in sorted(got[i])] == [o for _, o in want]
+    assert nearest_points(x, y.where("false"), {"id": "id"}, {"o": "o"}).count() == 0

@@ -128,7 +128,7 @@ def coded_sgp4(n_revs, ecc, incl, node, argp, mean, bstar, minutes):
     vx, vy, vz = mx * np.cos(su) - np.cos(xn) * np.sin(su), my * np.cos(su) - np.sin(xn) * np.sin(su), np.sin(xi) * np.cos(su)
     speed = RE * XKE / 60
     pos, vel = np.stack([mr * RE * x for x in (ux, uy, uz)], -1), np.stack([(mv * x + rv * y) * speed for x, y in ((ux, vx), (uy, vy), (uz, vz))], -1)
-    code = np.where(~np.isfinite(pos).all(-1) | ~(e < 1) | (e < 0) | (pl < 0) | ~(ee < 1), 2, np.where(mr < 1, 3, 0))
+    code = np.where(~np.isfinite(pos).all(-1) | ~(e < 1) | (e < 0) | (pl < 0) | ~(e - te < 1) | (e - te < -0.001) | (a < 0.95), 2, np.where(mr < 1, 3, 0))
     code = np.where(TWO_PI / no >= 225.0, 1, code)
     pos[code > 0], vel[code > 0] = np.nan, np.nan
     return pos, vel, code
