@@ -3,9 +3,9 @@
 import pytest
 
 from tests import oracle
-from weftline.plans import graphs, parts, places, problems, relational, remaining, scalar, sequences, streams, summaries, worlds
+from weftline.plans import evidence, graphs, parts, places, problems, relational, remaining, scalar, sequences, streams, summaries, worlds
 
-MODULES = [problems, scalar, relational, graphs, streams, worlds, remaining, places, summaries, parts, sequences]
+MODULES = [problems, scalar, relational, graphs, streams, worlds, remaining, places, summaries, parts, sequences, evidence]
 PAIRS = [(n, f, m.SQL.get(n)) for m in MODULES for n, f in m.QUERIES.items()]
 pytestmark = pytest.mark.skipif(not oracle.FOLDER.exists(), reason="no test tables")
 

@@ -30,36 +30,68 @@ def png(rgb: np.ndarray) -> bytes:
 
 
 def splat(segments: np.ndarray, ink: np.ndarray, size: int) -> np.ndarray:
-    """(size, size, 3) light of segments (n, 4) in pixels: samples a pixel apart, each spread on its four nearest pixels."""
+    """(size, size, 3) light of segments (n, 4) in pixels: samples a pixel apart, each spread on its four nearest pixels.
+
+    Only samples that can touch the picture are made, so a long line costs each tile no more than the tile's own part of it.
+    """
     out = np.zeros((size * size, 3))
-    n = np.maximum(1, np.ceil(np.hypot(segments[:, 2] - segments[:, 0], segments[:, 3] - segments[:, 1]))).astype(int)
-    s = np.repeat(np.arange(len(segments)), n)
-    f = (np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + 0.5) / n[s]
-    x = segments[s, 0] + (segments[s, 2] - segments[s, 0]) * f - 0.5
-    y = segments[s, 1] + (segments[s, 3] - segments[s, 1]) * f - 0.5
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    for dx in (0, 1):
-        for dy in (0, 1):
-            px, py = x0 + dx, y0 + dy
-            w = np.abs(1 - dx - (x - x0)) * np.abs(1 - dy - (y - y0))
-            ok = (px >= 0) & (px < size) & (py >= 0) & (py < size)
-            at = py[ok] * size + px[ok]
-            for c in range(3):
-                out[:, c] += np.bincount(at, w[ok] * ink[s[ok], c], size * size)
+    start, step = segments[:, :2], segments[:, 2:] - segments[:, :2]
+    n = np.maximum(1, np.ceil(np.hypot(step[:, 0], step[:, 1]))).astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = (-1.0 - start) / step, (size + 1.0 - start) / step
+    flat = step == 0
+    inside = (start >= -1) & (start <= size + 1)
+    enter = np.where(flat, np.where(inside, 0.0, 2.0), np.minimum(p, q)).max(1)
+    leave = np.where(flat, np.where(inside, 1.0, -1.0), np.maximum(p, q)).min(1)
+    first = np.maximum(0, np.ceil(np.clip(enter, 0, 2) * n - 0.5)).astype(np.int64)
+    last = np.minimum(n - 1, np.floor(np.clip(leave, -1, 1) * n - 0.5)).astype(np.int64)
+    count = np.maximum(0, last - first + 1)
+    for a, b in _stretches(count):
+        c = count[a:b]
+        s = a + np.repeat(np.arange(b - a), c)
+        k = np.arange(len(s)) - np.repeat(np.cumsum(c) - c, c) + first[s]
+        f = (k + 0.5) / n[s]
+        x, y = start[s, 0] + step[s, 0] * f - 0.5, start[s, 1] + step[s, 1] * f - 0.5
+        x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+        for dx in (0, 1):
+            for dy in (0, 1):
+                px, py = x0 + dx, y0 + dy
+                ok = (px >= 0) & (px < size) & (py >= 0) & (py < size)
+                at = py[ok] * size + px[ok]
+                w = (np.abs(1 - dx - (x - x0)) * np.abs(1 - dy - (y - y0)))[ok]
+                for channel in range(3):
+                    out[:, channel] += np.bincount(at, w * ink[s[ok], channel], size * size)
     return out.reshape(size, size, 3)
 
 
+def _stretches(count: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Stretches of segments whose samples are at most about ``most``."""
+    part = (np.cumsum(count) - count) // most
+    edge = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(count)]
+    yield from zip(edge[:-1], edge[1:], strict=True)
+
+
 def tone(light: np.ndarray, gain: float) -> np.ndarray:
     return (255 * (1 - np.exp(-gain * light)) + 0.5).astype(np.uint8)
 
 
 def tile_segments(links: DataFrame, zooms: list[int], pad: float = 0.0) -> DataFrame:
-    """Links (ax, ay, bx, by in the unit square, r, g, b) with each tile (z, x, y) that their box touches."""
+    """Links (ax, ay, bx, by in the unit square, r, g, b) with each tile (z, x, y) that they pass, within ``pad`` tile widths.
+
+    A link is followed column by column, and in each column only over the rows that it crosses there, so the tiles go with its length, not with its box.
+    """
     z = F.explode(F.array(*[F.lit(k) for k in zooms])).alias("z")
-    e = links.select("*", z).withColumn("n", F.pow(F.lit(2.0), F.col("z")))
-    cells = lambda p, q: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.least(p, q) - pad) * F.col("n"))), F.least((F.col("n") - 1).cast("long"), F.floor((F.greatest(p, q) + pad) * F.col("n"))))
     inside = (F.greatest("ax", "bx") >= 0) & (F.least("ax", "bx") < 1) & (F.greatest("ay", "by") >= 0) & (F.least("ay", "by") < 1)
-    return e.where(inside).withColumn("x", F.explode(cells("ax", "bx"))).withColumn("y", F.explode(cells("ay", "by")))
+    e = links.where(inside).select("*", z).withColumn("n", F.pow(F.lit(2.0), F.col("z")))
+    low = lambda v: F.greatest(F.lit(0).cast("long"), F.floor(v * F.col("n") - pad))
+    high = lambda v: F.least((F.col("n") - 1).cast("long"), F.floor(v * F.col("n") + pad))
+    e = e.withColumn("x", F.explode(F.sequence(low(F.least("ax", "bx")), high(F.greatest("ax", "bx")))))
+    wide = F.col("bx") - F.col("ax")
+    share = lambda v: F.when(wide == 0, None).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v / F.col("n") - F.col("ax")) / wide)))
+    at = lambda t: F.col("ay") + (F.col("by") - F.col("ay")) * t
+    y0, y1 = at(F.coalesce(share(F.col("x") - pad), F.lit(0.0))), at(F.coalesce(share(F.col("x") + 1 + pad), F.lit(1.0)))
+    e = e.withColumn("y0", low(F.least(y0, y1))).withColumn("y1", high(F.greatest(y0, y1))).where("y0 <= y1")
+    return e.withColumn("y", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
 
 
 def render_tiles(links: DataFrame, zooms: list[int], size: int = 256, gain: float = 0.5, block: int = BLOCK) -> DataFrame:
@@ -81,7 +113,7 @@ def render_tiles(links: DataFrame, zooms: list[int], size: int = 256, gain: floa
         lit = int((total.sum(-1) > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array([z], pa.int32()), pa.array([x], pa.int64()), pa.array([y], pa.int64()), pa.array([lit], pa.int32()), pa.array([png(tone(total, gain * 1.7**z))], pa.binary())], names=[*tile, "lit", "png"])
 
-    segments = tile_segments(links, zooms)
+    segments = tile_segments(links, zooms, 1.0 / size)  # a sample lights the pixel beside it too
     # tiles with more than a block: at most segments / block of them
     busy = segments.groupBy(*tile).agg(F.ceil(F.count("*") / block).cast("int").alias("cuts")).where("cuts > 1")
     cut = segments.join(busy, tile, "left").withColumn("block", F.pmod(F.xxhash64("ax", "ay", "bx", "by"), F.coalesce("cuts", F.lit(1)))).drop("cuts")

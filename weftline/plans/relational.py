@@ -366,23 +366,6 @@ def agg_demand(s, d):
     return table(s, d, "regions").where("lat IS NOT NULL AND lon IS NOT NULL").select("id", w.alias("demand")).where("demand > 0").distinct()
 
 
-@query()
-def agg_backbone_evidence(s, d):
-    """Pairs of targets whose traceroutes cross one router: distinct traceroutes and routers for each pair.
-
-    Router lists are collapsed to (router, target) before the pairing; a router seen by very many targets would make
-    many pairs, so pairing goes by least and greatest target only where two differ.
-    """
-    from weftline.plans.problems import trace_replies
-
-    t = table(s, d, "traceroutes").where("dst_addr IS NOT NULL").select("rec_id", F.col("dst_addr").alias("target"))
-    hops = trace_replies(s, d).where(F.col("from_addr").startswith("203.0.113.")).select("rec_id", F.col("from_addr").alias("router")).distinct()
-    seen = hops.join(t, "rec_id").groupBy("router", "target").agg(F.count_distinct("rec_id").alias("n"))
-    x, y = seen.alias("x"), seen.alias("y")
-    pairs = x.join(y, F.expr("x.router = y.router AND x.target < y.target"))
-    return pairs.groupBy(F.col("x.target").alias("a"), F.col("y.target").alias("b")).agg(F.sum(F.col("x.n") + F.col("y.n")).alias("evidence"), F.count_distinct("x.router").alias("routers"))
-
-
 @query("SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, max(l_quantity) AS samples FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2")
 def agg_norm_backbone(s, d):
     li = table(s, d, "lineitem").where("l_suppkey <> l_partkey")

@@ -165,17 +165,19 @@ def ras_splat(s, d):
     return raster.pixel_sums(_inked(s, d), 0)
 
 
-_TILES = "l AS (SELECT eid, (p.lon + 180) / 360 AS ax, 0.5 - ln((1 + sin(radians(p.lat))) / (1 - sin(radians(p.lat)))) / (4 * pi()) AS ay, (q.lon + 180) / 360 AS bx, 0.5 - ln((1 + sin(radians(q.lat))) / (1 - sin(radians(q.lat)))) / (4 * pi()) AS cy FROM fx_edges JOIN fx_node_pos p ON p.node = a JOIN fx_node_pos q ON q.node = b), t AS (SELECT eid, z, unnest(range(greatest(0, floor(least(ax, bx) * (1 << z))::BIGINT), least((1 << z) - 1, floor(greatest(ax, bx) * (1 << z))::BIGINT) + 1)) AS x, least(ay, cy) AS y0, greatest(ay, cy) AS y1 FROM l, (SELECT unnest([0, 1, 2, 3]) AS z)), u AS (SELECT eid, z, x, unnest(range(greatest(0, floor(y0 * (1 << z))::BIGINT), least((1 << z) - 1, floor(y1 * (1 << z))::BIGINT) + 1)) AS y FROM t)"
+_TILES = "l AS (SELECT eid, (p.lon + 180) / 360 AS ax, 0.5 - ln((1 + sin(radians(p.lat))) / (1 - sin(radians(p.lat)))) / (4 * pi()) AS ay, (q.lon + 180) / 360 AS bx, 0.5 - ln((1 + sin(radians(q.lat))) / (1 - sin(radians(q.lat)))) / (4 * pi()) AS cy FROM fx_edges JOIN fx_node_pos p ON p.node = a JOIN fx_node_pos q ON q.node = b), zz AS (SELECT unnest(range(8)) AS z), lz AS (SELECT *, pow(2, z) AS n FROM l, zz WHERE greatest(ax, bx) >= 0 AND least(ax, bx) < 1 AND greatest(ay, cy) >= 0 AND least(ay, cy) < 1), c AS (SELECT *, unnest(range(greatest(0, floor(least(ax, bx) * n)::BIGINT), least(n - 1, floor(greatest(ax, bx) * n))::BIGINT + 1)) AS x FROM lz), y AS (SELECT *, ay + (cy - ay) * CASE WHEN bx = ax THEN 0 ELSE least(1.0, greatest(0.0, (x / n - ax) / (bx - ax))) END AS u, ay + (cy - ay) * CASE WHEN bx = ax THEN 1 ELSE least(1.0, greatest(0.0, ((x + 1) / n - ax) / (bx - ax))) END AS v FROM c), u AS (SELECT z, x, unnest(range(greatest(0, floor(least(u, v) * n)::BIGINT), least(n - 1, floor(greatest(u, v) * n))::BIGINT + 1)) AS y FROM y)"
 
 
-@query(f"WITH {_TILES} SELECT z, x, y, count(*) AS links FROM u GROUP BY 1, 2, 3", "fx_edges fx_node_pos")
+@query(f"WITH {_TILES} SELECT z::INT AS z, x, y, count(*) AS links FROM u GROUP BY 1, 2, 3", "fx_edges fx_node_pos")
 def ras_pyramid(s, d):
-    return raster.tile_segments(_inked(s, d), [0, 1, 2, 3]).groupBy("z", "x", "y").agg(F.count("*").alias("links"))
+    """Links of every tile of the pyramid, levels 0 to 7."""
+    return raster.tile_segments(_inked(s, d), list(range(8))).groupBy("z", "x", "y").agg(F.count("*").alias("links"))
 
 
 @query()
 def snk_tiles(s, d):
-    t = raster.render_tiles(_inked(s, d), [0, 1], 128)
+    """The pyramid as pictures of 256 pixels, levels 0 to 5."""
+    t = raster.render_tiles(_inked(s, d), list(range(6)))
     return t.select("z", "x", "y", "lit", F.octet_length("png").alias("bytes"))
 
 
