@@ -190,6 +190,39 @@ def agg_counts(s, d):
     return out.select("nodes", "edges", "p2c", "p2p", "geolocated", "pinned", "backbone", "pops", "routes")
 
 
+_SITES = "sh AS (SELECT s_suppkey + 3000000 AS node, c_nationkey AS place, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), site AS (SELECT node, place, n / sum(n) OVER (PARTITION BY node)::DOUBLE AS share, row_number() OVER (PARTITION BY node ORDER BY n DESC, place) AS k FROM sh), five AS (SELECT node, string_agg(concat(place, ':', printf('%.3f', floor(share * 1000 + 0.5) / 1000)), ' ' ORDER BY k) FILTER (k <= 5) AS sites, max(share) AS concentration, count(*) AS pops FROM site GROUP BY 1)"
+_OWNED = "owned AS (SELECT asn, sum(\"end\" - start + 1)::BIGINT AS addrs, count(*) AS nprefix, string_agg(start, ' ' ORDER BY start) FILTER (k <= 4) AS prefixes FROM (SELECT *, row_number() OVER (PARTITION BY asn ORDER BY start) AS k FROM fx_prefix) GROUP BY 1)"
+
+
+@query(f"WITH {_LEVEL}, {_SITES}, {_OWNED}, dg AS (SELECT node, sum(1)::BIGINT AS degree, sum(c)::BIGINT AS customers, sum(p)::BIGINT AS providers, (sum(1) - sum(c) - sum(p))::BIGINT AS peers FROM (SELECT a AS node, CASE WHEN rel = -1 THEN 1 ELSE 0 END AS c, 0 AS p FROM fx_edges UNION ALL SELECT b, 0, CASE WHEN rel = -1 THEN 1 ELSE 0 END FROM fx_edges) GROUP BY 1), rk AS (SELECT node, row_number() OVER (ORDER BY cone DESC, degree DESC, node) AS rank FROM cone JOIN dg USING (node)) SELECT s_suppkey AS asn, s_name AS name, n_name AS as_name, r_name AS country, coalesce(addrs, 0) AS addrs, coalesce(nprefix, 0) AS nprefix, coalesce(prefixes, '') AS prefixes, coalesce(sites, '') AS sites, coalesce(pops, 0) AS pops, floor(coalesce(concentration, 0) * 1000 + 0.5) / 1000 AS concentration, coalesce(concentration, 0) >= 0.1 AS pinned, degree, providers, customers, peers, cone, core::BIGINT AS coreness, rank, floor(level * 1000 + 0.5) / 1000 AS level FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN dg ON dg.node = s_suppkey + 3000000 JOIN lv ON lv.node = dg.node JOIN core ON core.node = dg.node JOIN rk ON rk.node = dg.node LEFT JOIN five ON five.node = dg.node LEFT JOIN owned ON owned.asn = dg.node % 97 + 1", "fx_nodes fx_prefix")
+def agg_info_record(s, d):
+    """A network's record: names, country, addresses and first prefixes, five sites with their shares, concentration, links by kind, cone, core, rank and level."""
+    from weftline.operators.ranking import global_rank
+    from weftline.plans.tables import table
+
+    e = fx.edges(s, d)
+    cones = graph.customer_cones(e)
+    cores = graph.coreness(e)
+    level = graph.levels(cones, cores)
+    degree = graph.degrees(e)
+    rank = global_rank(cones.join(degree.select("node", "degree"), "node"), [F.desc("cone"), F.desc("degree"), F.col("node")], "rank").select("node", "rank")
+    sup, n, r = table(s, d, "supplier"), table(s, d, "nation"), table(s, d, "region")
+    who = sup.join(n, sup.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select((F.col("s_suppkey") + 3_000_000).alias("node"), F.col("s_suppkey").alias("asn"), F.col("s_name").alias("name"), F.col("n_name").alias("as_name"), F.col("r_name").alias("country"))
+    li, o, c = table(s, d, "lineitem"), table(s, d, "orders"), table(s, d, "customer")
+    sh = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).groupBy((F.col("l_suppkey") + 3_000_000).alias("node"), F.col("c_nationkey").alias("place")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("node")
+    site = sh.withColumn("share", F.col("n") / F.sum("n").over(by)).withColumn("k", F.row_number().over(by.orderBy(F.desc("n"), "place")))
+    label = F.concat("place", F.lit(":"), F.format_string("%.3f", F.floor(F.col("share") * 1000 + 0.5) / 1000))
+    few = lambda k, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= k, F.struct("k", x.alias("x"))))), lambda v: v["x"]), " ")
+    five = site.groupBy("node").agg(few(5, label).alias("sites"), F.max("share").alias("concentration"), F.count("*").alias("pops"))
+    p = fx.prefixes(s, d).withColumn("k", F.row_number().over(Window.partitionBy("asn").orderBy("start")))
+    owned = p.groupBy(F.col("asn").alias("owner")).agg(F.sum(F.col("end") - F.col("start") + 1).alias("addrs"), F.count("*").alias("nprefix"), few(4, F.col("start").cast("string")).alias("prefixes"))
+    j = who.join(degree, "node").join(cones, "node").join(cores, "node").join(level, "node").join(rank, "node").join(five, "node", "left").join(owned, F.col("node") % 97 + 1 == F.col("owner"), "left")
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    share = F.coalesce("concentration", F.lit(0.0))
+    return j.select("asn", "name", "as_name", "country", zero("addrs"), zero("nprefix"), F.coalesce("prefixes", F.lit("")).alias("prefixes"), F.coalesce("sites", F.lit("")).alias("sites"), zero("pops"), fixed(share, 3).alias("concentration"), (share >= 0.1).alias("pinned"), "degree", "providers", "customers", "peers", "cone", F.col("core").alias("coreness"), "rank", fixed("level", 3).alias("level"))
+
+
 @query("WITH li AS (SELECT s_nationkey AS x, c_nationkey AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), l AS (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS w FROM li WHERE x <> y GROUP BY 1, 2), p AS (SELECT c_nationkey AS pop, count(*) AS routers FROM customer GROUP BY 1), k AS (SELECT pop FROM p WHERE routers >= (SELECT median(routers) FROM p)), e AS (SELECT * FROM l WHERE a IN (SELECT pop FROM k) AND b IN (SELECT pop FROM k)) SELECT a, b, w AS weight FROM e", "fx_edges")
 def gr_prune(s, d):
     from weftline.plans.tables import table

@@ -385,17 +385,6 @@ def agg_event_param(s, d):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, (SELECT list(s_name ORDER BY s_suppkey) FROM (SELECT * FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_suppkey LIMIT 5))[1] AS first_name FROM nation")
-def agg_info_record(s, d):
-    """A nested record of each node, cut to its first five sites."""
-    sup = table(s, d, "supplier")
-    k = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    few = sup.withColumn("k", k).where("k <= 5").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("sites"))
-    n = sup.groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
-    r = table(s, d, "nation").join(few, F.col("n_nationkey") == F.col("s_nationkey"), "left").drop("s_nationkey").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return r.select("n_nationkey", "n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.get("sites", F.lit(0))["s_name"].alias("first_name"))
-
-
 @query("SELECT coalesce(type, '?') AS reason, count(*) AS n FROM airports GROUP BY 1")
 def agg_excluded(s, d):
     return table(s, d, "airports").groupBy(F.coalesce("type", F.lit("?")).alias("reason")).agg(F.count("*").alias("n"))
