@@ -73,7 +73,22 @@ def addresses(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(src).withColumn("n", ipv4_number("ip"))
 
 
+_RUNS = "CASE " + " ".join(f"WHEN regexp_matches(t, '(^|:)0(:0){{{k - 1}}}(:|$)') THEN regexp_replace(t, '(^|:)0(:0){{{k - 1}}}(:|$)', '::')" for k in range(8, 1, -1)) + " ELSE t END"
+# canonical prefixes of the PoP feed in SQL: octets or hextets as numbers, host bits cleared, the longest run of zeros (the first of equals) compressed
+_CANONICAL = f"""WITH raw AS (SELECT *, string_split(trim(c0), '/') AS p FROM pops),
+cut AS (SELECT snap, line_no, c0, c1, c2, lower(p[1]) AS a, TRY_CAST(p[2] AS INT) AS n FROM raw WHERE len(p) = 2 AND regexp_full_match(p[2], '[0-9]+')),
+four AS (SELECT * EXCLUDE (a), list_transform(string_split(a, '.'), lambda x: x::INT) AS o FROM cut WHERE regexp_full_match(a, '(0|[1-9][0-9]{{0,2}})(\\.(0|[1-9][0-9]{{0,2}})){{3}}') AND n <= 32),
+net4 AS (SELECT * REPLACE ([o[i] & ((255::BIGINT << (8 - least(8, greatest(0, n - 8 * (i - 1))))) & 255) for i in [1, 2, 3, 4]] AS o) FROM four WHERE list_max(o) <= 255),
+halves AS (SELECT *, string_split(a, '::') AS h FROM cut WHERE a LIKE '%:%' AND n <= 128),
+sides AS (SELECT * EXCLUDE (h), len(h) AS k, CASE WHEN h[1] = '' THEN [] ELSE string_split(h[1], ':') END AS l, CASE WHEN coalesce(h[2], '') = '' THEN [] ELSE string_split(h[2], ':') END AS r FROM halves WHERE len(h) <= 2),
+six AS (SELECT * EXCLUDE (l, r), list_concat(l, list_transform(range(8 - len(l) - len(r)), lambda z: '0'), r) AS g FROM sides WHERE k = 2 AND len(l) + len(r) <= 7 OR k = 1 AND len(l) = 8),
+num6 AS (SELECT * REPLACE (list_transform(g, lambda x: ('0x' || x)::INT) AS g) FROM six WHERE len(list_filter(g, lambda x: NOT regexp_full_match(x, '[0-9a-f]{{1,4}}'))) = 0),
+net6 AS (SELECT * REPLACE ([g[i] & ((65535::BIGINT << (16 - least(16, greatest(0, n - 16 * (i - 1))))) & 65535) for i in [1, 2, 3, 4, 5, 6, 7, 8]] AS g) FROM num6),
+plain6 AS (SELECT *, lower(array_to_string(list_transform(g, lambda x: to_hex(x)), ':')) AS t FROM net6)
+SELECT snap, line_no, c0, c1, c2, 4 AS version, n AS plen, array_to_string(o, '.') || '/' || n AS text, array_to_string(list_transform(o, lambda x: lpad(bin(x), 8, '0')), '') AS bits FROM net4
+UNION ALL SELECT snap, line_no, c0, c1, c2, 6, n, {_RUNS} || '/' || n, array_to_string(list_transform(g, lambda x: lpad(bin(x), 16, '0')), '') FROM plain6"""
 _CTE = {
+    "fx_canon": ("", _CANONICAL),
     "fx_prefix": ("", "SELECT k * 16 AS start, k * 16 + 15 AS \"end\", asn FROM (SELECT o_orderkey // 16 AS k, min_by(o_custkey, o_orderkey) % 97 + 1 AS asn FROM orders GROUP BY 1)"),
     "fx_geo": ("", "SELECT k * 24 AS start, k * 24 + 23 AS \"end\", -60.0::DOUBLE + 5 * nk AS lat, -170.0::DOUBLE + 13 * nk AS lon, n_name AS cc, concat('C', nk) AS city FROM (SELECT o_orderkey // 24 AS k, min_by(c_nationkey, o_orderkey) AS nk FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) JOIN nation ON nk = n_nationkey"),
     "fx_edges": ("", """SELECT a * 10000000 + b AS eid, a, b, rel FROM (

@@ -10,6 +10,7 @@ from weftline.operators.nested import Field, Table, flat_table, flat_tables
 from weftline.operators.redelivery import surplus
 from weftline.operators.snapshots import snapshot_changes, with_canonical_prefix
 from weftline.operators.spatial import containing_regions, near_pairs, nearest
+from weftline.plans.fixtures import with_sql
 from weftline.plans.tables import table
 
 SAME = ["msm_id", "prb_id"]
@@ -163,6 +164,7 @@ timed AS (SELECT begun.*, coalesce(close, begun.start + 3600) AS close FROM begu
 
 
 SQL = {
+    "p5_found": with_sql("fx_canon", "WITH held AS (SELECT snap, text AS c0, nullif(lower(trim(c1)), '') AS c1, nullif(lower(trim(c2)), '') AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY snap, text ORDER BY line_no NULLS LAST) AS k FROM fx_canon WHERE snap IS NOT NULL) WHERE k = 1), snaps AS (SELECT snap, row_number() OVER (ORDER BY snap) AS at_ FROM (SELECT DISTINCT snap FROM held)), m AS (SELECT held.*, at_ FROM held JOIN snaps USING (snap)), ch AS (SELECT coalesce(y.at_, x.at_ + 1) AS at_, coalesce(y.c0, x.c0) AS c0, CASE WHEN x.c0 IS NULL THEN 'added' WHEN y.c0 IS NULL THEN 'removed' WHEN x.c1 IS DISTINCT FROM y.c1 OR x.c2 IS DISTINCT FROM y.c2 THEN 'changed' END AS change FROM m x FULL JOIN m y ON y.at_ = x.at_ + 1 AND y.c0 = x.c0) SELECT snap, c0, change FROM ch JOIN snaps USING (at_) WHERE change IS NOT NULL AND at_ > 1"),
     "p1_found": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, reply_pos::INT AS reply_pos, hop FROM replies WHERE from_addr <> '' AND rtt >= 0",
     "p1_hops": f"WITH {_HOPS} SELECT rec_id, hop_pos::INT AS hop_pos, hop, error FROM numbered",
     "p1_tables": f"WITH {_HOPS} SELECT 'hops' AS \"table\", rec_id, hop_pos::INT AS hop_pos, NULL::INT AS reply_pos, hop, error, NULL::VARCHAR AS from_addr, NULL::DOUBLE AS rtt FROM numbered UNION ALL SELECT 'replies', rec_id, hop_pos::INT, reply_pos::INT, NULL, NULL, from_addr, rtt FROM replies",

@@ -150,7 +150,7 @@ def _ends_any(s, d):
     return j.groupBy("version", "lo", "plen", "text").agg(F.max(F.col("snap") == F.col("a")).alias("in_first"), F.max(F.col("snap") == F.col("b")).alias("in_last"))
 
 
-@query()
+@query("WITH ends AS (SELECT version, plen, text AS prefix, bool_or(snap = a) AS in_first, bool_or(snap = b) AS in_last FROM fx_canon, (SELECT min(snap) AS a, max(snap) AS b FROM fx_canon) WHERE snap IN (a, b) GROUP BY ALL) SELECT * FROM ends", "fx_canon")
 def join_feed_any(s, d):
     """Two deliveries side by side on the canonical prefix, both families in prefix order."""
     return _ends_any(s, d).orderBy("version", "lo", "plen").select("version", "plen", F.col("text").alias("prefix"), "in_first", "in_last")
@@ -477,7 +477,10 @@ def set_union_keys(s, d):
     return a.union(b).distinct()
 
 
-@query()
+_ENDS_ANY = "WITH ends AS (SELECT version, plen, text AS prefix, bits, bool_or(snap = a) AS in_first, bool_or(snap = b) AS in_last FROM fx_canon, (SELECT min(snap) AS a, max(snap) AS b FROM fx_canon) WHERE snap IN (a, b) GROUP BY ALL) "
+
+
+@query(_ENDS_ANY + "SELECT version, plen, prefix, row_number() OVER (ORDER BY version, bits, plen) AS place FROM ends", "fx_canon")
 def set_union_keys_any(s, d):
     """Canonical prefixes of two deliveries, both families, with their place in prefix order."""
     keys = [F.col("version"), F.col("lo"), F.col("plen")]

@@ -124,7 +124,7 @@ def fn_cidr_fmt(s, d):
     return _pop_prefixes(s, d).select("c0", F.concat(net.ipv4_text("lo"), F.lit("/"), "plen").alias("text"))
 
 
-@query()
+@query("SELECT DISTINCT c0, version, plen, text FROM fx_canon", "fx_canon")
 def fn_cidr_any(s, d):
     """Prefixes of both families, canonical, in prefix order."""
     p = table(s, d, "pops").select("c0").distinct().withColumn("p", net.cidr("c0"))
@@ -146,7 +146,7 @@ def _prefixes_any(s, d) -> DataFrame:
     return table(s, d, "pops").select("c0").distinct().select(net.cidr("c0").alias("p")).where("p.version IS NOT NULL").select("p.version", "p.lo", "p.plen", "p.text").distinct()
 
 
-@query()
+@query("WITH k AS (SELECT DISTINCT version, plen, text, bits FROM fx_canon), inner_ AS (SELECT y.version, y.bits, y.plen, unnest(range(0, y.plen + 1)) AS w FROM k y), n AS (SELECT version, left(bits, w::INT) AS head, count(*) AS inside FROM inner_ GROUP BY ALL) SELECT k.version, k.plen, k.text AS prefix, n.inside FROM k JOIN n ON n.version = k.version AND n.head = left(k.bits, k.plen) AND len(n.head) = k.plen", "fx_canon")
 def fn_contains_any(s, d):
     """How many prefixes of the feed each one of either family holds, itself included."""
     from weftline.operators.intervals import prefixes_inside
@@ -177,7 +177,7 @@ def fn_prefix_key(s, d):
     return global_rank(_pop_prefixes(s, d).select("lo", "plen").distinct(), [F.col("lo"), F.col("plen")], "place")
 
 
-@query()
+@query("WITH k AS (SELECT DISTINCT version, plen, text, bits FROM fx_canon) SELECT version, plen, text AS prefix, row_number() OVER (ORDER BY version, bits, plen) AS place FROM k", "fx_canon")
 def fn_prefix_key_any(s, d):
     """Place of each prefix of either family in prefix order: IPv4 first, then address and length."""
     from weftline.operators.ranking import global_rank
