@@ -81,6 +81,12 @@ def gr_adj(s, d):
 _TREES = f"{_LABEL}, roots AS (SELECT row_number() OVER (ORDER BY md5(node || '-7'), node) - 1 AS tree, node FROM component WHERE component = (SELECT component FROM component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) QUALIFY tree < 255), ends AS MATERIALIZED (SELECT eid, a AS u, b AS v FROM fx_edges UNION ALL SELECT eid, b, a FROM fx_edges), reach(tree, node, hops) AS (SELECT tree, node, 0 FROM roots UNION SELECT r.tree, e.v, r.hops + 1 FROM reach r JOIN ends e ON e.u = r.node WHERE r.hops < 10), near AS (SELECT tree, node, min(hops) AS hops FROM reach GROUP BY 1, 2), used AS (SELECT tree, min(eid) AS eid FROM (SELECT y.tree, y.node, e.eid FROM near y JOIN ends e ON e.v = y.node JOIN near x ON x.tree = y.tree AND x.node = e.u AND x.hops = y.hops - 1) GROUP BY tree, node), rank AS (SELECT f.eid, coalesce(min(tree), (SELECT count(*) FROM roots))::INT AS rank FROM fx_edges f LEFT JOIN used USING (eid) GROUP BY 1)"
 
 
+@query(f"WITH {_LABEL} SELECT (row_number() OVER (ORDER BY md5(node || '-7'), node) - 1)::INT AS tree, node FROM component WHERE component = (SELECT component FROM component GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) QUALIFY tree < 255", "fx_edges")
+def smp_perm(s, d):
+    """The roots of the sampling trees: the first 255 of a seeded order of the largest component."""
+    return sample_roots(fx.edges(s, d))
+
+
 def _ranks(s, d):
     """(eid, rank) of every link: the first of up to 255 breadth-first trees that uses it, the number of trees if none does."""
     e = fx.edges(s, d)
@@ -116,7 +122,7 @@ def sample_roots(edges, most: int = 255):
     return s.createDataFrame([(i, r[0]) for i, r in enumerate(roots)], "tree int, node long")
 
 
-@query()
+@query("WITH li AS (SELECT s_nationkey AS x, c_nationkey AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), e AS MATERIALIZED (SELECT a * 1000 + b AS eid, a, b, 1.0::DOUBLE / (1 + w) AS cost FROM (SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS w FROM li WHERE x <> y GROUP BY 1, 2)), ways AS (SELECT eid, cost, a AS u, b AS v FROM e UNION ALL SELECT eid, cost, b, a FROM e), r(eid, node) AS (SELECT eid, a FROM e UNION SELECT r.eid, w.v FROM r JOIN e me ON me.eid = r.eid JOIN ways w ON w.u = r.node AND (w.cost < me.cost OR w.cost = me.cost AND w.eid < me.eid)) SELECT eid FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.eid = e.eid AND r.node = e.b)", "fx_edges")
 def gr_msf(s, d):
     """Forest of the PoP links with the most weight."""
     e = _pop_links(s, d).select((F.col("a") * 1000 + F.col("b")).alias("eid"), "a", "b", (1.0 / (1 + F.col("weight"))).alias("cost"))

@@ -77,7 +77,7 @@ def fn_gcircle(s, d):
     return _placed_pairs(s, d).select("a", "b", F.posexplode(geo.great_circle_path("alat", "alon", "blat", "blon", 500.0)).alias("i", "p")).select("a", "b", "i", fixed("p.lat").alias("lat"), fixed("p.lon").alias("lon"))
 
 
-@query()
+@query(f"WITH p AS (SELECT node, radians(lat) AS p, radians(lon) AS l, radians(8.0) AS d, i, i * (2 * 3.141592653589793 / 24) AS az FROM fx_node_pos, (SELECT unnest(range(25)) AS i) WHERE node BETWEEN 2000000 AND 2999999), q AS (SELECT *, asin(least(1.0, greatest(-1.0, sin(p) * cos(d) + cos(p) * sin(d) * cos(az)))) AS lat2 FROM p) SELECT node, i::INT AS i, {_fix('degrees(lat2)')} AS lat, {_fix('degrees(l + atan2(sin(az) * sin(d) * cos(p), cos(d) - sin(p) * sin(lat2)))')} AS lon FROM q", "fx_node_pos")
 def fn_ring(s, d):
     n = fx.node_positions(s, d).where("node BETWEEN 2000000 AND 2999999")
     return n.select("node", F.posexplode(geo.ring("lat", "lon", F.lit(8.0), 24)).alias("i", "p")).select("node", "i", fixed("p.lat").alias("lat"), fixed("p.lon").alias("lon"))
@@ -247,7 +247,7 @@ def fn_slot(s, d):
     return table(s, d, "events").select("event_id", geo.slot_of(F.unix_millis(F.col("ts").cast("timestamp"))).cast("long").alias("slot"))
 
 
-@query()
+@query("WITH h AS (SELECT delivery_id, unnest(data.path) AS hop, generate_subscripts(data.path, 1) AS k FROM ris_frames WHERE data.path IS NOT NULL), f AS (SELECT *, CASE WHEN hop = lag(hop) OVER w AND NOT starts_with(hop, '{') THEN 0 ELSE 1 END AS fresh FROM h WINDOW w AS (PARTITION BY delivery_id ORDER BY k)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY delivery_id ORDER BY k) - 1 AS i FROM f) SELECT delivery_id, i::INT AS i, any_value(hop) AS hop, count(*)::INT AS n FROM r GROUP BY delivery_id, i")
 def fn_fold_path(s, d):
     r = table(s, d, "ris_frames").where("data.path IS NOT NULL")
     return r.select("delivery_id", F.posexplode(text.fold_path("data.path")).alias("i", "p")).select("delivery_id", "i", "p.hop", "p.n")
@@ -292,7 +292,7 @@ def flt_bbox(s, d):
     return e.where(box).select("eid")
 
 
-@query()
+@query(f"WITH e AS (SELECT eid, p.lon AS x0, p.lat AS y0, q.lon - p.lon AS dx, q.lat - p.lat AS dy FROM fx_edges JOIN fx_node_pos p ON p.node = a JOIN fx_node_pos q ON q.node = b), s AS (SELECT *, [(-dx, x0 + 60.0), (dx, 10.0 - x0), (-dy, y0 + 30.0), (dy, 20.0 - y0)] AS c FROM e), t AS (SELECT *, greatest(0.0, list_max(list_transform(list_filter(c, lambda v: v[1] < 0), lambda v: v[2] / v[1]))) AS t0, least(1.0, list_min(list_transform(list_filter(c, lambda v: v[1] > 0), lambda v: v[2] / v[1]))) AS t1 FROM s WHERE len(list_filter(c, lambda v: v[1] = 0 AND v[2] < 0)) = 0) SELECT eid, {_fix('x0 + dx * t0')} AS x0, {_fix('y0 + dy * t0')} AS y0, {_fix('x0 + dx * t1')} AS x1, {_fix('y0 + dy * t1')} AS y1 FROM t WHERE t0 <= t1", "fx_edges fx_node_pos")
 def fn_clip(s, d):
     from weftline.operators.graph import place_edges
 
@@ -383,11 +383,12 @@ def topk_farthest(s, d):
     return p.orderBy(F.desc("km"), "a", "b").limit(10).select("a", "b")
 
 
-@query()
+@query("SELECT a, b, k::INT AS k FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY -ln(-ln((('0x' || left(md5(eid || '-7'), 7))::BIGINT + 1) / 268435457.0)) DESC, b) AS k FROM fx_edges WHERE rel = -1) WHERE k <= 4", "fx_edges")
 def topk_partition(s, d):
-    """Four of each customer's neighbours drawn without replacement, by the greatest random keys (seeded by a hash)."""
+    """Four of each customer's neighbours drawn without replacement, by the greatest random keys (seeded by a digest)."""
     e = fx.edges(s, d).where("rel = -1")
-    u = (F.pmod(F.xxhash64("eid", F.lit(7)), F.lit(1_000_003)) + 1) / 1_000_005.0
+    draw = F.conv(F.substring(F.md5(F.concat("eid", F.lit("-7")).cast("binary")), 1, 7), 16, 10).cast("long")
+    u = (draw + 1) / 268_435_457.0
     w = Window.partitionBy("a").orderBy(F.desc(-F.log(-F.log(u))), "b")
     return e.withColumn("k", F.row_number().over(w)).where("k <= 4").select("a", "b", "k")
 
@@ -405,7 +406,3 @@ def lim_moved(s, d):
     return e.orderBy("event_id").limit(1000).select("event_id").crossJoin(F.broadcast(total))
 
 
-@query()
-def smp_perm(s, d):
-    """A seeded order of the nodes, the first 255 of it."""
-    return fx.nodes(s, d).orderBy(F.xxhash64("node", F.lit(7)), "node").limit(255)
