@@ -20,3 +20,8 @@ def scans(monkeypatch, spark, name):
 
 def test_gr_level(spark, monkeypatch):
     assert scans(monkeypatch, spark, "gr_level") == 1
+
+
+def test_agg_level_itdk(spark, monkeypatch):
+    """Once for the links, once for those between PoPs."""
+    assert scans(monkeypatch, spark, "agg_level_itdk") == 2
