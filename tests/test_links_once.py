@@ -25,3 +25,8 @@ def test_gr_level(spark, monkeypatch):
 def test_agg_level_itdk(spark, monkeypatch):
     """Once for the links, once for those between PoPs."""
     assert scans(monkeypatch, spark, "agg_level_itdk") == 2
+
+
+def test_agg_counts(spark, monkeypatch):
+    """Once for the links, once for the places of goods."""
+    assert scans(monkeypatch, spark, "agg_counts") == 2
