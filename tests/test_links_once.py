@@ -30,3 +30,8 @@ def test_agg_level_itdk(spark, monkeypatch):
 def test_agg_counts(spark, monkeypatch):
     """Once for the links, once for the places of goods."""
     assert scans(monkeypatch, spark, "agg_counts") == 2
+
+
+def test_agg_info_record(spark, monkeypatch):
+    """Once for the links, once for the places of goods."""
+    assert scans(monkeypatch, spark, "agg_info_record") == 2
