@@ -35,3 +35,7 @@ def test_agg_counts(spark, monkeypatch):
 def test_agg_info_record(spark, monkeypatch):
     """Once for the links, once for the places of goods."""
     assert scans(monkeypatch, spark, "agg_info_record") == 2
+
+
+def test_gr_backbone(spark, monkeypatch):
+    assert scans(monkeypatch, spark, "gr_backbone") == 1
